@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landloom.llm.common import bounded_sample, read
 
@@ -74,7 +75,10 @@ class Encoder:
 
     def vector(self, text: str | None) -> np.ndarray | None:
         codes, counts = self.trigrams(text or "")
-        return counts.astype(np.float32) @ self.table[self.rows_of(codes)] if len(codes) else None
+        if not len(codes):
+            return None
+        rows = self.rows_of(codes)
+        return counts.astype(np.float32) @ self.table[rows]
 
 
 def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bound: int = LEARN_ROWS, key: str = "doc_id") -> tuple[list[str], np.ndarray]:
@@ -123,7 +127,7 @@ def predict_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray,
                         names.append(langs[best]), scores.append(min(1.0, max(0.0, float(cosines[best]))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return rest.mapInArrow(judge, rest.schema.add("lang_pred", "string").add("score", "double"))
+    return rest.mapInArrow(judge, T.StructType([*rest.schema.fields]).add("lang_pred", "string").add("score", "double"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landloom.llm.common import bounded_sample, read
 
@@ -32,7 +33,17 @@ ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.1, 3
 #: Score from which a text is predicted to be good (fixed value of the task).
 THRESHOLD = 0.3
 
-_SHAPES = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
+
+class _Shapes(dict):
+    """What stands for a character in a word's shape."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = shape = "0" if c.isdigit() else "A" if "A" <= c <= "Z" else "a" if c.isalpha() else c if point < 128 else "#"
+        return shape
+
+
+_SHAPES = _Shapes()
 _RUN = re.compile(r"(.)\1+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,7 +57,7 @@ class Features:
     def _hashes(self, word: str) -> int:
         if len(self.met) > 400_000:
             self.met.clear()
-        shape = _RUN.sub(r"\1", "".join(c if c < "\x80" else "a" if c.isalpha() else "#" for c in word).translate(_SHAPES))[:12]
+        shape = _RUN.sub(r"\1", word.translate(_SHAPES))[:12]
         h = self.met[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(shape.encode())
         return h
 
@@ -119,7 +130,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text")
                 scores.append(_logistic(float(w[slots] @ values) + float(w[-1])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    return rest.mapInArrow(judge, rest.schema.add("score", "double"))
+    return rest.mapInArrow(judge, T.StructType([*rest.schema.fields]).add("score", "double"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

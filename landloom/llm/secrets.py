@@ -179,7 +179,7 @@ def _oracle() -> str:
         "assign": assign, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "github": "gh[opsu]_[A-Za-z0-9]{36,}", "slack": "xox[abprs]-[A-Za-z0-9-]{10,}",
         "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "live_key": "[rs]k_live_[0-9A-Za-z]{20,}", "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}", "upper_hex": "[0-9A-F]{32,}",
     }
-    keep = {"assign": f"length(regexp_extract(hit, '{assign}', 1)) >= 6", "upper_hex": "NOT regexp_matches(substr(t, s, 1), '[0-9A-Za-z]') AND NOT regexp_matches(substr(t, e + 1, 1), '[0-9A-Za-z]')"}
+    keep = {"assign": f"length(regexp_extract(hit, '{assign}', 1)) >= 6", "upper_hex": "NOT regexp_matches(substr(t, s::BIGINT, 1), '[0-9A-Za-z]') AND NOT regexp_matches(substr(t, e::BIGINT + 1, 1), '[0-9A-Za-z]')"}
     parts = " UNION ALL ".join(
         f"""SELECT rid, '{kind}' AS kind, {rank} AS rank, s, e FROM (
               SELECT rid, t, hit, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS s, s + length(hit) AS e
