@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/landloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,8 @@ Strings that can repeat are found first. Of the GRAM-byte strings inside each
 LENGTH-byte string the one with the least hash is its anchor; equal strings have
 equal anchors, so each repeat shows as an anchor hash that two places share. The
 bytes that an anchor stands for (all strings whose anchor it is) are its context.
-Contexts are dealt by anchor hash; equal ones are reduced to the earliest before
-that. Where an anchor has several different contexts, a task builds their suffix
+Contexts are dealt by anchor hash; equal ones of a batch are reduced to the earliest
+before that. Where an anchor has several different contexts, a task builds their suffix
 array by two-stage sorting: suffixes smaller than their successors are sorted
 directly, the rest is induced from them by one scan over the buckets of first
 bytes. Neighbours with a common prefix of LENGTH bytes or more are repeats of the
@@ -156,8 +156,8 @@ def repeated_starts(contexts: list[bytes], heads: list[tuple]) -> list[np.ndarra
     doc = np.array([docs[h[:2]] for h in heads])[owner]
     start = np.array([h[2] for h in heads])[owner] + array_of - where[owner]
     order = np.lexsort((start, doc, group))
-    later = np.concatenate([[False], group[order][1:] == group[order][:-1]])
-    hit = order[later]
+    heads_of = order[np.searchsorted(group[order], group[order])]
+    hit = order[(doc[order] != doc[heads_of]) | (start[order] != start[heads_of])]
     offsets, whose = (array_of - where[owner])[hit], owner[hit]
     sort = np.lexsort((offsets, whose))
     cuts = np.searchsorted(whose[sort], np.arange(len(contexts) + 1))
@@ -173,81 +173,113 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """key, fp, pos of every anchor."""
+    """deal, known, key, pos of every anchor, copies of a text in one batch once.
+
+    An anchor that a batch holds several times is known to be shared there: one of its
+    rows goes on under the anchor's hash and speaks for all in other batches, the rest
+    is dealt out at random. So no hash has more rows to itself than there are batches.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                found = [anchors(t)[:2] for t in part["text"].cast(pa.binary()).to_pylist()]
-                lengths = [len(f) for f, _ in found]
-                keys = part["key"].take(pa.array(np.repeat(np.arange(part.num_rows), lengths)))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([f for f, _ in found]).view(np.int64)), pa.array(np.concatenate([p for _, p in found]).astype(np.int32))], ["key", "fp", "pos"])
+            at = {key: i for i, key in enumerate(batch["key"].to_pylist())}
+            texts = batch["text"].cast(pa.binary())
+            found = [(i, *anchors(texts[i].as_py())[:2]) for i in at.values()]
+            fp, pos = np.concatenate([f for _, f, _ in found]), np.concatenate([p for _, _, p in found])
+            row = np.repeat([i for i, _, _ in found], [len(f) for _, f, _ in found])
+            order = np.argsort(fp, kind="stable")
+            ranked = fp[order]
+            new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(fp)]
+            known = ~new | np.concatenate([~new[1:], [False]])[: len(fp)]
+            deal = np.where(new, ranked, mix(ranked + mix(pos[order].astype(np.uint64) * _STEP + row[order].astype(np.uint64))))
+            yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(known), batch["key"].take(pa.array(row[order])), pa.array(pos[order].astype(np.int32))], ["deal", "known", "key", "pos"])
 
-    return docs.select("key", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(make, "key binary, fp long, pos int")
+    return docs.select("key", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(make, "deal long, known boolean, key binary, pos int")
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """fp, ctx, first, key, lo: the context of every wanted anchor. texts: first, key, text, places."""
+    """deal, ctx, first, key, start, stop: the context of every wanted anchor, dealt by its hash. texts: first, key, text, places.
+
+    Of equal contexts in a batch the earliest goes on; the others are repeats at once: ranges without a context, dealt at random.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            earliest: dict[tuple[int, bytes], tuple] = {}
+            rows: list[tuple] = []
             for first, key, data, places in zip(batch["first"].to_pylist(), batch["key"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["places"].to_pylist(), strict=True):
                 fps, at, lo, hi = anchors(data)
                 keep = np.isin(at, places)
-                low, high, n = lo[keep].tolist(), hi[keep].tolist(), int(keep.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fps[keep].view(np.int64)), pa.array([data[a : b + LENGTH] for a, b in zip(low, high, strict=True)], pa.binary()), pa.array([first] * n, pa.int64()), pa.array([key] * n, pa.binary()), pa.array(low, pa.int32())],
-                    ["fp", "ctx", "first", "key", "lo"],
-                )
-
-    return texts.mapInArrow(make, "fp long, ctx binary, first long, key binary, lo int")
+                for fp, a, b in zip(fps[keep].view(np.int64).tolist(), lo[keep].tolist(), (hi[keep] + LENGTH).tolist(), strict=True):
+                    own = (first, key, a, b)
+                    held = earliest.setdefault((fp, data[a:b]), own)
+                    if held != own:
+                        if own < held:
+                            earliest[fp, data[a:b]], own = own, held
+                        rows.append((fp ^ hash(own[1:3]), None, *own))
+            rows += [(fp, ctx, *own) for (fp, ctx), own in earliest.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["deal", "ctx", "first", "key", "start", "stop"])
 
+    return texts.mapInArrow(make, "deal long, ctx binary, first long, key binary, start int, stop int")
 
-_RANGES = "key binary, start int, stop int"
 
-
-def _sorted_ranges(heads: DataFrame) -> DataFrame:
-    """Ranges that suffix arrays find. heads: fp, ctx, first, key, lo, all of an fp in one partition and in a row."""
+def _repeats(contexts: DataFrame) -> DataFrame:
+    """key, start, stop: ranges that repeat, by suffix arrays; with a digest, instead: a string of an anchor with very many contexts.
+    contexts: all of an anchor in one partition and in a row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts: list[bytes] = []
         rows: list[tuple] = []
-        held, last = 0, None
-
-        def flush() -> pa.RecordBatch:
-            found = [(r[1], r[2] + a, r[2] + b) for r, starts in zip(rows, repeated_starts(contexts, rows), strict=True) for a, b in _runs(starts)]
-            keys, starts, stops = zip(*found, strict=True) if found else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["key", "start", "stop"])
-
+        group: list[tuple] = []
+        out: list[tuple] = []
+        held, hot = 0, False
+
+        def close() -> None:
+            """The group ends: to the contexts to be sorted, if it has several."""
+            nonlocal held
+            if len(group) > 1:
+                contexts.extend(r[0] for r in group)
+                rows.extend(r[1:] for r in group)
+                held += sum(len(r[0]) for r in group)
+            group.clear()
+
+        def strings() -> None:
+            for ctx, first, key, start in group:
+                out.extend((key, start + i, start + i + LENGTH, first, hashlib.blake2b(ctx[i : i + LENGTH], digest_size=16).digest()) for i in range(len(ctx) - LENGTH + 1))
+            group.clear()
+
+        def told() -> pa.RecordBatch:
+            nonlocal held
+            if rows:
+                out.extend((r[1], r[2] + a, r[2] + b, None, None) for r, starts in zip(rows, repeated_starts(contexts, rows), strict=True) for a, b in _runs(starts))
+            contexts.clear(), rows.clear()
+            held = 0
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["key", "start", "stop", "first", "digest"])
+            out.clear()
+            return batch
+
+        last = None
         for batch in batches:
-            for fp, ctx, first, key, lo in zip(*(batch[c].to_pylist() for c in ("fp", "ctx", "first", "key", "lo")), strict=True):
-                if held > SORTED_BYTES and fp != last:
-                    yield flush()
-                    contexts, rows, held = [], [], 0
-                contexts.append(ctx)
-                rows.append((first, key, lo))
-                held, last = held + len(ctx), fp
-        if rows:
-            yield flush()
-
-    return heads.mapInArrow(make, _RANGES)
-
-
-def _hot_ranges(heads: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: each string by its digest, the earliest of a digest stays."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ctx, first, key, lo in zip(*(batch[c].to_pylist() for c in ("ctx", "first", "key", "lo")), strict=True):
-                digests = [hashlib.blake2b(ctx[i : i + LENGTH], digest_size=16).digest() for i in range(len(ctx) - LENGTH + 1)]
-                n = len(digests)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([first] * n, pa.int64()), pa.array([key] * n, pa.binary()), pa.array(range(lo, lo + n), pa.int32())], ["digest", "first", "key", "start"])
-
-    strings = staged(heads.select("ctx", "first", "key", "lo").mapInArrow(split, "digest binary, first long, key binary, start int"))
-    earliest = strings.groupBy("digest").agg(F.min(F.struct("first", "key", "start")).alias("e"))
-    later = strings.join(earliest, "digest").where(F.struct("first", "key", "start") != F.col("e"))
-    return later.select("key", "start", (F.col("start") + LENGTH).alias("stop"))
+            for deal, ctx, first, key, start, stop in zip(*(batch[c].to_pylist() for c in ("deal", "ctx", "first", "key", "start", "stop")), strict=True):
+                if ctx is None:
+                    out.append((key, start, stop, None, None))
+                    continue
+                if deal != last:
+                    close()
+                    last, hot = deal, False
+                    if held > SORTED_BYTES:
+                        yield told()
+                group.append((ctx, first, key, start))
+                if hot or len(group) > HOT_CONTEXTS:
+                    strings()
+                    hot = True
+                if len(out) > 100_000:
+                    yield told()
+        close()
+        yield told()
+
+    return contexts.mapInArrow(make, "key binary, start int, stop int, first long, digest binary")
 
 
 def _kept(texts: DataFrame) -> DataFrame:
@@ -275,23 +307,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("rank"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     earliest = texts.groupBy("key").agg(F.min("rank").alias("first"))
-    table = staged(_anchored(texts))
-    ends = table.groupBy("fp").agg(*[f("key").alias(f"{n}_key") for n, f in (("least", F.min), ("most", F.max))], *[f("pos").alias(f"{n}_pos") for n, f in (("least", F.min), ("most", F.max))])
-    shared = ends.where("least_key < most_key OR least_pos < most_pos").select("fp")
-    places = table.join(shared, "fp").groupBy("key").agg(F.collect_set("pos").alias("places"))
-    wanted = places.join(earliest, "key")
+    table = _anchored(texts).repartition("deal")
+    own = F.xxhash64("key", "pos")
+    ends = table.groupBy("deal").agg(F.min(own).alias("least"), F.max(own).alias("most"))
+    shared = table.join(ends.where("least < most").select("deal", F.lit(True).alias("met")), "deal", "left").where("known OR met")
+    places = shared.groupBy("key").agg(F.collect_set("pos").alias("places"))
+    wanted = staged(places.join(earliest, "key"))
     chosen = staged(texts.join(wanted, "key").where("rank = first").select("key", "first", "text", "places"))
-    contexts = staged(_contexts(chosen))
-    # Rows that repeat a context are dealt by its digest; its earliest row alone goes to the sorting.
-    digest = F.md5("ctx")
-    heads = staged(contexts.groupBy("fp", digest.alias("digest")).agg(F.min_by("ctx", F.struct("first", "key", "lo")).alias("ctx"), F.min(F.struct("first", "key", "lo")).alias("head")))
-    copies = contexts.select("fp", digest.alias("digest"), F.length("ctx").alias("n"), "first", "key", "lo").join(heads.select("fp", "digest", "head"), ["fp", "digest"])
-    copied = copies.where(F.struct("first", "key", "lo") != F.col("head")).select("key", F.col("lo").alias("start"), (F.col("lo") + F.col("n")).alias("stop"))
-    crowds = heads.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
-    several = heads.join(crowds, "fp").select("fp", "n", "ctx", "head.*")
-    sorted_ = _sorted_ranges(several.where(F.col("n") <= HOT_CONTEXTS).repartition("fp").sortWithinPartitions("fp"))
-    ranges = copied.union(sorted_).union(_hot_ranges(several.where(F.col("n") > HOT_CONTEXTS)))
-    found = _kept(chosen.select("key", "text").dropDuplicates(["key"]).join(ranges.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "key"))
+    repeats = staged(_repeats(_contexts(chosen).repartition("deal").sortWithinPartitions("deal")))
+    strings = repeats.where("digest IS NOT NULL")
+    heads = strings.groupBy("digest").agg(F.min(F.struct("first", "key", "start")).alias("head"))
+    later = strings.join(heads, "digest").where(F.struct("first", "key", "start") != F.col("head"))
+    ranges = repeats.where("digest IS NULL").select("key", "start", "stop").union(later.select("key", "start", "stop"))
+    found = _kept(chosen.select("key", "text").join(ranges.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "key"))
+    found = found.dropDuplicates(["key"])
     whole = texts.select("doc_id", "rank", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     told = whole.join(earliest.join(found, "key", "left"), "key")
     copy = (F.col("rank") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
