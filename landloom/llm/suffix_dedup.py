@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landloom.llm.common import read, staged
@@ -36,7 +36,9 @@ from landloom.llm.shingles import mix
 
 LENGTH, GRAM = 100, 32
 #: Different contexts of an anchor that one task sorts, and bytes of contexts sorted at once.
-HOT_CONTEXTS, SORTED_BYTES = 2_000, 1_000_000
+HOT_CONTEXTS, SORTED_BYTES = 2_000, 500_000
+#: Texts whose contexts a worker holds at once.
+CONTEXT_ROWS = 1_000
 
 _FIRST = -(2**63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -190,9 +192,11 @@ def _anchored(docs: DataFrame) -> DataFrame:
             order = np.argsort(fp, kind="stable")
             ranked = fp[order]
             new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(fp)]
-            known = ~new | np.concatenate([~new[1:], [False]])[: len(fp)]
-            deal = np.where(new, ranked, mix(ranked + mix(pos[order].astype(np.uint64) * _STEP + row[order].astype(np.uint64))))
-            yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(known), batch["key"].take(pa.array(row[order])), pa.array(pos[order].astype(np.int32))], ["deal", "known", "key", "pos"])
+            known = np.empty(len(fp), bool)
+            known[order] = ~new | np.concatenate([~new[1:], [False]])[: len(fp)]
+            extra = order[~new]
+            fp[extra] = mix(fp[extra] + mix(pos[extra].astype(np.uint64) * _STEP + row[extra].astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(known), batch["key"].take(pa.array(row)), pa.array(pos.astype(np.int32))], ["deal", "known", "key", "pos"])
 
     return docs.select("key", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(make, "deal long, known boolean, key binary, pos int")
 
@@ -204,7 +208,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, CONTEXT_ROWS) for whole in batches for i in range(0, whole.num_rows, CONTEXT_ROWS)):
             earliest: dict[tuple[int, bytes], tuple] = {}
             rows: list[tuple] = []
             for first, key, data, places in zip(batch["first"].to_pylist(), batch["key"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["places"].to_pylist(), strict=True):
@@ -307,10 +311,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("rank"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     earliest = texts.groupBy("key").agg(F.min("rank").alias("first"))
-    table = _anchored(texts).repartition("deal")
-    own = F.xxhash64("key", "pos")
-    ends = table.groupBy("deal").agg(F.min(own).alias("least"), F.max(own).alias("most"))
-    shared = table.join(ends.where("least < most").select("deal", F.lit(True).alias("met")), "deal", "left").where("known OR met")
+    own, same = F.xxhash64("key", "pos"), Window.partitionBy("deal")  # as many rows as there are batches at most
+    met = F.min(own).over(same) < F.max(own).over(same)
+    shared = _anchored(texts).withColumn("met", met | F.bool_or("known").over(same)).where("met")
     places = shared.groupBy("key").agg(F.collect_set("pos").alias("places"))
     wanted = staged(places.join(earliest, "key"))
     chosen = staged(texts.join(wanted, "key").where("rank = first").select("key", "first", "text", "places"))
