@@ -36,9 +36,9 @@ from landloom.llm.shingles import mix
 
 LENGTH, GRAM = 100, 32
 #: Different contexts of an anchor that one task sorts, and bytes of contexts sorted at once.
-HOT_CONTEXTS, SORTED_BYTES = 2_000, 500_000
+HOT_CONTEXTS, SORTED_BYTES = 1_000, 150_000
 #: Texts whose contexts a worker holds at once.
-CONTEXT_ROWS = 1_000
+CONTEXT_ROWS = 500
 
 _FIRST = -(2**63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -278,7 +278,7 @@ def _repeats(contexts: DataFrame) -> DataFrame:
                 if hot or len(group) > HOT_CONTEXTS:
                     strings()
                     hot = True
-                if len(out) > 100_000:
+                if len(out) > 30_000:
                     yield told()
         close()
         yield told()
@@ -311,9 +311,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("rank"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     earliest = texts.groupBy("key").agg(F.min("rank").alias("first"))
-    own, same = F.xxhash64("key", "pos"), Window.partitionBy("deal")  # as many rows as there are batches at most
-    met = F.min(own).over(same) < F.max(own).over(same)
-    shared = _anchored(texts).withColumn("met", met | F.bool_or("known").over(same)).where("met")
+    same = Window.partitionBy("deal")  # as many rows as there are batches at most
+    several = lambda c: F.min(c).over(same) < F.max(c).over(same)
+    shared = _anchored(texts).withColumn("met", several("key") | several("pos") | F.max("known").over(same)).where("met")
     places = shared.groupBy("key").agg(F.collect_set("pos").alias("places"))
     wanted = staged(places.join(earliest, "key"))
     chosen = staged(texts.join(wanted, "key").where("rank = first").select("key", "first", "text", "places"))
