@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("url_filters", "secrets", "mixing", "languages", "quality", "near_duplicates", "decontamination", "suffix_dedup")
+MODULES = ("url_filters", "secrets", "mixing", "languages", "quality", "near_duplicates", "decontamination", "suffix_dedup", "pii")
 
 
 def _collect(attribute: str) -> dict:

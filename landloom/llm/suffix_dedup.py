@@ -36,7 +36,7 @@ from landloom.llm.shingles import mix
 
 LENGTH, GRAM = 100, 32
 #: Different contexts of an anchor that one task sorts, and bytes of contexts sorted at once.
-HOT_CONTEXTS, SORTED_BYTES = 1_000, 150_000
+HOT_CONTEXTS, SORTED_BYTES = 4_000, 150_000
 #: Texts whose contexts a worker holds at once.
 CONTEXT_ROWS = 500
 
@@ -234,7 +234,7 @@ def _repeats(contexts: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts: list[bytes] = []
         rows: list[tuple] = []
-        group: list[tuple] = []
+        group: dict[bytes, tuple] = {}
         out: list[tuple] = []
         held, hot = 0, False
 
@@ -242,13 +242,13 @@ def _repeats(contexts: DataFrame) -> DataFrame:
             """The group ends: to the contexts to be sorted, if it has several."""
             nonlocal held
             if len(group) > 1:
-                contexts.extend(r[0] for r in group)
-                rows.extend(r[1:] for r in group)
-                held += sum(len(r[0]) for r in group)
+                contexts.extend(group)
+                rows.extend(group.values())
+                held += sum(map(len, group))
             group.clear()
 
         def strings() -> None:
-            for ctx, first, key, start in group:
+            for ctx, (first, key, start) in group.items():
                 out.extend((key, start + i, start + i + LENGTH, first, hashlib.blake2b(ctx[i : i + LENGTH], digest_size=16).digest()) for i in range(len(ctx) - LENGTH + 1))
             group.clear()
 
@@ -274,7 +274,12 @@ def _repeats(contexts: DataFrame) -> DataFrame:
                     last, hot = deal, False
                     if held > SORTED_BYTES:
                         yield told()
-                group.append((ctx, first, key, start))
+                own = (first, key, start)
+                earliest = group.setdefault(ctx, own)
+                if earliest != own:
+                    if own < earliest:
+                        group[ctx], own = own, earliest
+                    out.append((own[1], own[2], own[2] + len(ctx), None, None))
                 if hot or len(group) > HOT_CONTEXTS:
                     strings()
                     hot = True
