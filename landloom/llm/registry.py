@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("url_filters", "secrets", "mixing", "languages", "quality", "near_duplicates", "decontamination", "suffix_dedup", "pii")
+MODULES = ("url_filters", "secrets", "decontamination", "suffix_dedup", "pii", "media", "near_duplicates", "languages", "quality", "mixing")
 
 
 def _collect(attribute: str) -> dict:
@@ -18,7 +18,7 @@ def _collect(attribute: str) -> dict:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _collect("QUERIES")
+    return _collect("QUERIES") | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
