@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+MODULES = ("taxes", "tiles", "owners", "places", "activity")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
