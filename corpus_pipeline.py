@@ -16,7 +16,7 @@ from landloom.llm.common import read, staged
 from landloom.llm.decontamination import find_leaks
 from landloom.llm.languages import learn_prototypes, predict_languages
 from landloom.llm.mixing import mix_sources, sized_documents
-from landloom.llm.near_duplicates import near_duplicates
+from landloom.llm.near_duplicates import keyed, text_classes
 from landloom.llm.secrets import secret_spans
 from landloom.llm.spans import redacted
 
@@ -32,12 +32,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least doc_id stays; rows that repeat its doc_id go, too."""
-    classes = staged(near_duplicates(docs))
-    kept = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    stay = docs.select(*COLUMNS).join(kept, "doc_id")
-    once, more = stay.where("n = 1"), stay.where("n > 1")
-    return once.select(*COLUMNS).union(more.dropDuplicates(["doc_id"]).select(*COLUMNS)).union(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """Of each class of near duplicates one row stays: of its least doc_id (null last), there of its least text key, there the least in its columns."""
+    rows = text_classes(docs).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "key", "n")).alias("of"))
+    kept = staged(least.select(F.col("of.doc_id").alias("id"), F.col("of.key").alias("of_key"), "of.n"))
+    stay = keyed(docs.select(*COLUMNS)).join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of_key")))
+    more = stay.where("n > 1").groupBy("doc_id", "key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return stay.where("n = 1").select(*COLUMNS).union(more.select("row.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,20 +20,23 @@ Classes are the connected components of the links.
 
 Cases: null counts as empty; texts without a word form classes of equal texts; texts
 of fewer than five words have one shingle; rows that repeat a doc_id are alike to
-each other only by their text, rows with a null doc_id are left out (a class can't
-name them); an empty table gives an empty result; other columns are ignored.
+each other only by their text, whose key stands for it throughout; near_duplicates
+leaves out rows with a null doc_id (a class can't name them), text_classes does not; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landloom.llm.common import read, staged
 from landloom.llm.shingles import Words, mix, occurrence_labelled, shingles
@@ -97,6 +100,11 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOL
     return matched / (most - matched) if matched >= least else 0.0
 
 
+def text_key(text: str | None, w: np.ndarray) -> bytes:
+    """The key of a text of the words w: equal for texts of equal words, of texts without words for equal ones."""
+    return hashlib.blake2b(w.tobytes() or b"\0" + (text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, key (equal for texts of equal words), n (its k-mers), bands (one sketch a hash function; none without words)."""
 
@@ -106,7 +114,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             keys, sizes, bands = [], [], []
             for text in batch["text"].to_pylist():
                 w = words(text)
-                keys.append(hashlib.blake2b(w.tobytes() or b"\0" + (text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                keys.append(text_key(text, w))
                 kmers = occurrence_labelled(shingles(w))
                 sizes.append(len(kmers))
                 bands.append(order_sketches(kmers).view(np.int64) if len(w) else None)
@@ -115,16 +123,32 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sketch, "doc_id long, key binary, n long, bands array<long>")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key of each text."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            keys = pa.array([text_key(t, words(t or "")) for t in batch["text"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "key"])
+
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("key", T.BinaryType())]))
+
+
 def _sequences(docs: DataFrame) -> DataFrame:
-    """doc_id, seq: the labelled k-mers as bytes, 32 bits each (two of a pair of texts of 500 words are mixed up once in 17,000 pairs)."""
+    """key, seq: the labelled k-mers as bytes, 32 bits each (two of a pair of texts of 500 words are mixed up once in 17,000 pairs)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            seqs = [(occurrence_labelled(shingles(words(t))) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(seqs, pa.binary())], ["doc_id", "seq"])
+            keys, seqs = [], []
+            for text in batch["text"].to_pylist():
+                w = words(text)
+                keys.append(text_key(text, w))
+                seqs.append((occurrence_labelled(shingles(w)) >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(seqs, pa.binary())], ["key", "seq"])
 
-    return docs.mapInArrow(make, "doc_id long, seq binary")
+    return docs.mapInArrow(make, "key binary, seq binary")
 
 
 def _verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
@@ -135,8 +159,8 @@ def _verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
             found = [aligned_similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold) for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
-    b = seqs.select(F.col("doc_id").alias("b"), F.col("seq").alias("sb")).hint("merge")
-    a = seqs.select(F.col("doc_id").alias("a"), F.col("seq").alias("sa")).hint("merge")
+    b = seqs.select(F.col("rep").alias("b"), F.col("seq").alias("sb")).hint("merge")
+    a = seqs.select(F.col("rep").alias("a"), F.col("seq").alias("sa")).hint("merge")
     judged = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, similarity double")
     return judged.where("similarity > 0").select("a", "b")
 
@@ -158,25 +182,25 @@ def components(links: DataFrame, vertices: tuple[str, str] = ("a", "b")) -> Data
 
 def _crowded(entries: DataFrame, keys: list[str]) -> DataFrame:
     """The entries of buckets with several members, with their number n and the first of them, pivot."""
-    crowds = entries.groupBy(*keys).agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    crowds = entries.groupBy(*keys).agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     return staged(entries.join(crowds, keys))
 
 
 def _met_in_full(met: DataFrame, keys: list[str], small: int = SMALL_NODE) -> DataFrame:
     """a, b of all pairs in small buckets."""
-    x, y = (met.where(F.col("n") <= small).select(*keys, F.col("doc_id").alias(c)) for c in "ab")
+    x, y = (met.where(F.col("n") <= small).select(*keys, F.col("rep").alias(c)) for c in "ab")
     return x.join(y, keys).where("a < b").select("a", "b")
 
 
 def _met_pivot(met: DataFrame) -> DataFrame:
     """a, b of the first members of large buckets with all others."""
-    return met.where((F.col("n") > SMALL_NODE) & (F.col("doc_id") > F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    return met.where((F.col("n") > SMALL_NODE) & (F.col("rep") > F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
 
 
 def _extended(nodes: DataFrame) -> DataFrame:
-    """doc_id, at, value of nodes (doc_id, held, at, value) with one more of the sketches held, after the place at."""
-    longer = nodes.select("doc_id", "at", "value", F.posexplode("held").alias("place", "sketch")).where("place > at")
-    return longer.select("doc_id", F.col("place").alias("at"), F.xxhash64("value", "sketch.band", "sketch.value").alias("value"))
+    """rep, at, value of nodes (rep, held, at, value) with one more of the sketches held, after the place at."""
+    longer = nodes.select("rep", "at", "value", F.posexplode("held").alias("place", "sketch")).where("place > at")
+    return longer.select("rep", F.col("place").alias("at"), F.xxhash64("value", "sketch.band", "sketch.value").alias("value"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -189,44 +213,56 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _of_like_size(pairs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose numbers of k-mers allow the threshold."""
     for c in "ba":
-        pairs = pairs.join(sizes.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}")), c)
+        pairs = pairs.join(sizes.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}")), c)
     return pairs.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-6).drop("size_a", "size_b")
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts whose ids are listed, without a shuffle of texts while the ids are few enough to broadcast."""
+def _of_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose column is among ids (null for null), without a shuffle of rows while the ids are few enough to broadcast."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return texts.join(ids.hint("broadcast" if few else "merge"), "doc_id", "left_semi")
+    ids = ids.select(F.col(column).alias("wanted")).hint("broadcast" if few else "merge")
+    return rows.join(ids, F.col(column).eqNullSafe(F.col("wanted")), "left_semi")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), n_links (links of its text to other texts that were verified, which connect the class but are not all its links), one row for each row of docs."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _numbered(reps: DataFrame) -> tuple[DataFrame, Callable[[], Column]]:
+    """reps with a number of each key, rep, and the expression that makes it: a hash under the first seed that gives no two keys the same."""
+    for seed in count(1):
+        number = partial(F.xxhash64, "key", F.lit(seed))
+        if reps.groupBy(number().alias("rep")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return reps.withColumn("rep", number()), number
+
+
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, key (of the text), class_id (the least doc_id of its class; null if it has none), root (a number of the class) and n_links, one row for each row of docs. The text alone decides; doc_id may repeat or be null."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = staged(sketched(texts))
-    reps = staged(table.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "bands"), "doc_id").alias("of")).select("key", "rep", "of.*"))
-    sketches = reps.where("bands IS NOT NULL").groupBy(F.col("rep").alias("doc_id")).agg(F.min_by(F.struct(F.col("n").alias("size"), "bands"), "key").alias("of")).select("doc_id", "of.*")
+    reps = staged(table.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "bands")).alias("of")).select("key", "doc_id", "of.*"))
+    reps, number = _numbered(reps)
+    sketches = reps.where("bands IS NOT NULL").select("rep", F.col("n").alias("size"), "bands")
     bucket = ["band", "value"]
-    met = _crowded(reps.where("bands IS NOT NULL").select(F.col("rep").alias("doc_id"), F.posexplode("bands").alias(*bucket)).distinct(), bucket)
-    sketches = staged(sketches.join(met.select("doc_id").distinct(), "doc_id", "left_semi"))
-    sizes = sketches.select("doc_id", "size")
+    met = _crowded(reps.where("bands IS NOT NULL").select("rep", F.posexplode("bands").alias(*bucket)).distinct(), bucket)
+    sketches = staged(sketches.join(met.select("rep").distinct(), "rep", "left_semi"))
+    sizes = sketches.select("rep", "size")
 
     pairs = _met_in_full(met, bucket, SMALL_BUCKET).groupBy("a", "b").agg(F.count("*").alias("times"))
     for c in "ba":
-        pairs = pairs.join(sketches.select(F.col("doc_id").alias(c), F.col("bands").alias(f"of_{c}")), c)
+        pairs = pairs.join(sketches.select(F.col("rep").alias(c), F.col("bands").alias(f"of_{c}")), c)
     agreed = F.size(F.filter(F.zip_with("of_a", "of_b", lambda p, q: p == q), lambda same: same))
     pairs = pairs.where(agreed >= LEAST_AGREED).select("a", "b", "times")
-    held = met.where(F.col("n") > SMALL_BUCKET).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*bucket))).alias("held"))
+    held = met.where(F.col("n") > SMALL_BUCKET).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(*bucket))).alias("held"))
     held = staged(held)
-    start = held.select("doc_id", "held", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("value"))
-    met = _crowded(_extended(_extended(start).join(held, "doc_id")), ["value"])
+    start = held.select("rep", "held", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("value"))
+    met = _crowded(_extended(_extended(start).join(held, "rep")), ["value"])
     pairs = pairs.union(_met_in_full(met, ["value"]).union(_met_pivot(met)).withColumn("times", F.lit(1)))
     pairs = staged(_of_like_size(pairs.groupBy("a", "b").agg(F.sum("times").alias("times")), sizes, threshold))
 
-    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(held.select("doc_id")).distinct())
-    seqs = staged(_sequences(_texts_of(texts, needed)))
-    if not table.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        seqs = staged(seqs.groupBy("doc_id").agg(F.min("seq").alias("seq")))
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(held.select("rep")).distinct())
+    ids = staged(reps.select("rep", "doc_id").join(needed, "rep").select("doc_id").distinct())
+    seqs = _sequences(_of_ids(texts, ids, "doc_id")).select(number().alias("rep"), "seq")
+    seqs = staged(_of_ids(seqs, needed, "rep"))
+    if not seqs.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        seqs = staged(seqs.groupBy("rep").agg(F.min("seq").alias("seq")))
+    first = pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("times"), "a")).alias("a")).select("a", "b")
     first = staged(first)
     links = staged(_verified(first, seqs, threshold))
     near = links.select(F.col("b").alias("id"), F.col("a").alias("root"))
@@ -235,11 +271,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(staged(_verified(_apart(rest, roots), seqs, threshold)))
     judged, roots = pairs.select("a", "b"), components(links)
     for depth in range(3, SKETCHES + 1):
-        large = met.where(F.col("n") > SMALL_NODE).select("doc_id", "at", "value")
-        rooted = large.join(roots, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("root", "doc_id"))
-        mixed = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "doc_id").alias("settled")).where("low < high")
-        open_nodes = rooted.join(mixed, "value").where("root != settled" if depth > 3 else "true").select("doc_id", "at", "value")
-        met = _crowded(_extended(open_nodes.join(held, "doc_id")), ["value"])
+        large = met.where(F.col("n") > SMALL_NODE).select("rep", "at", "value")
+        rooted = large.join(roots, F.col("rep") == F.col("id"), "left").withColumn("root", F.coalesce("root", "rep"))
+        mixed = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "rep").alias("settled")).where("low < high")
+        open_nodes = rooted.join(mixed, "value").where("root != settled" if depth > 3 else "true").select("rep", "at", "value")
+        met = _crowded(_extended(open_nodes.join(held, "rep")), ["value"])
         new = _met_in_full(met, ["value"]).union(_met_pivot(met)).distinct()
         new = staged(_of_like_size(_apart(new.join(judged, ["a", "b"], "left_anti"), roots), sizes, threshold))
         if not new.isEmpty():
@@ -250,9 +286,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = reps.select("key", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = classes.select("key", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return table.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "n_links")
+    classes = reps.select("key", "doc_id", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+    classes = staged(classes.select("key", "doc_id", F.coalesce("root", "rep").alias("root"), F.col("root").isNotNull().alias("linked"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    names = classes.where("linked").groupBy("root").agg(F.min("doc_id").alias("name"))
+    named = classes.where("linked").join(names, "root").select("key", F.col("name").alias("class_id"), "root", "n_links")
+    classes = named.union(classes.where("NOT linked").select("key", F.col("doc_id").alias("class_id"), "root", "n_links"))
+    return table.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "class_id", "root", "n_links")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), n_links (links of its text to other texts that were verified, which connect the class but are not all its links), one row for each row of docs."""
+    return text_classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, threshold).select("doc_id", "class_id", "n_links")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

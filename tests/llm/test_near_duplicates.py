@@ -69,3 +69,11 @@ def test_large_group_of_near_copies_against_brute_force(spark):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
     assert got == dict(enumerate(label))
+
+
+def test_two_texts_under_one_doc_id_keep_their_own_classes(spark):
+    rng = random.Random(3)
+    x, y = (" ".join(words(rng, 120)) for _ in range(2))
+    rows = [(5, x, ""), (5, y, ""), (2, x + " more", ""), (3, y + " more", "")]
+    got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == [(2, 2, 1), (3, 3, 1), (5, 2, 1), (5, 3, 1)]
