@@ -5,14 +5,14 @@ representative of each goes on. Its k-mers are word shingles labelled with their
 occurrence, so that none is found twice. For each of several hash functions the
 SAMPLED least k-mers are taken and hashed in the order in which they stand in the
 text: two sketches agree only where the same k-mers come in the same order.
-Representatives that share a sketch meet, and those that agree on LEAST_AGREED (two)
-sketches are candidates if their lengths allow the threshold. Buckets of up to
-SMALL_BUCKET (SMALL_NODE under several sketches) are compared in full. Texts in larger ones meet again under every two of
-their sketches that lie in large buckets, which brings together whatever agrees on two
-and was not compared before; a bucket of two sketches that is large, too, is compared
-with its first member, and if its members are not one class by then they meet again
-under three sketches, and so on; from the fourth on without those that are in the class
-of the first member. A candidate pair is verified by a banded alignment: the longest
+Representatives that agree on LEAST_AGREED (two) sketches are candidates if their
+lengths allow the threshold. Buckets of up to SMALL_BUCKET are compared in full. Texts
+in larger ones meet again in nodes, one for every two of their sketches that lie in
+large buckets. A node of up to SMALL_NODE is compared in full, a larger one with its
+first member; what then is not one class there is compared in blocks, each text outside
+the node's largest class with every member of another class. A pair is compared in
+blocks only in the node of the first two sketches it agrees on.
+A candidate pair is verified by a banded alignment: the longest
 common subsequence of the labelled k-mers within the band that the threshold leaves, as
 matched / (na + nb - matched). First each text is verified with the partner it met
 most often; pairs that this has put in one class already are not verified again.
@@ -48,6 +48,8 @@ SKETCHES, SAMPLED = 14, 3
 SMALL_BUCKET, LEAST_AGREED = 6, 2
 #: The same for buckets of two sketches and more, whose pairs mostly are met before or in one class already.
 SMALL_NODE = 16
+#: What names a node, and texts and k-mers that a block of one holds, about.
+NODE, BLOCK_TEXTS, BLOCK_KMERS = ["p", "q", "value"], 64, 50_000
 #: Ids that may be broadcast to pick the texts to align; with more of them, texts are shuffled by id instead.
 BROADCAST_IDS = 4_000_000
 
@@ -197,10 +199,11 @@ def _met_pivot(met: DataFrame) -> DataFrame:
     return met.where((F.col("n") > SMALL_NODE) & (F.col("rep") > F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
 
 
-def _extended(nodes: DataFrame) -> DataFrame:
-    """rep, at, value of nodes (rep, held, at, value) with one more of the sketches held, after the place at."""
-    longer = nodes.select("rep", "at", "value", F.posexplode("held").alias("place", "sketch")).where("place > at")
-    return longer.select("rep", F.col("place").alias("at"), F.xxhash64("value", "sketch.band", "sketch.value").alias("value"))
+def _nodes(held: DataFrame) -> DataFrame:
+    """rep, p, q, value: every two of the sketches held, by their bands p < q."""
+    one = held.select("rep", "held", F.explode("held").alias("x"))
+    two = one.select("rep", "x", F.explode("held").alias("y")).where("x.band < y.band")
+    return two.select("rep", F.col("x.band").alias("p"), F.col("y.band").alias("q"), F.xxhash64("x.value", "y.value").alias("value"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -217,6 +220,64 @@ def _of_like_size(pairs: DataFrame, sizes: DataFrame, threshold: float) -> DataF
     return pairs.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-6).drop("size_a", "size_b")
 
 
+def _linked_in_blocks(nodes: DataFrame, roots: DataFrame, sketches: DataFrame, seqs: DataFrame, threshold: float, whole: bool) -> DataFrame:
+    """a, b at the threshold or above that roots (id, root) do not put in one class, of nodes (NODE, rep); unless whole, with one block of each node only.
+
+    Rows of the join are pairs of blocks. A pair of texts is left out if an earlier link of its pair of blocks has joined their classes.
+    """
+    rooted = nodes.join(roots, F.col("rep") == F.col("id"), "left").select(*NODE, "rep", F.coalesce("root", "rep").alias("root"))
+    rooted = staged(rooted.join(sketches, "rep"))
+    classes = rooted.groupBy(*NODE, "root").agg(F.count("*").alias("n"), F.sum("size").alias("kmers"))
+    mixed = classes.groupBy(*NODE).agg(F.max_by(F.struct("root", "n", "kmers"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("kmers").alias("kmers"), F.count("*").alias("classes")).where("classes > 1")
+    blocks = lambda n, kmers: F.ceil(F.greatest(n / BLOCK_TEXTS, kmers / BLOCK_KMERS)).cast("int")
+    mixed = mixed.select(*NODE, F.col("main.root").alias("main"), blocks(F.col("n"), F.col("kmers")).alias("blocks"), blocks(F.col("n") - F.col("main.n"), F.col("kmers") - F.col("main.kmers")).alias("open_blocks"))
+    members = rooted.join(staged(mixed), NODE)
+    number = lambda of: F.pmod(F.xxhash64("rep", F.lit(7)), F.col(of)).cast("int")
+    all_, open_ = members.withColumn("block", number("blocks")), members.where("root != main").withColumn("open_block", number("open_blocks"))
+    if not whole:
+        all_ = all_.where("block = 0")
+    texts = lambda rows, *keys: rows.join(seqs, "rep").groupBy(*NODE, *keys).agg(F.sort_array(F.collect_list(F.struct("rep", "root", "main", "size", "bands", "seq"))).alias("texts"))
+    x = texts(open_, "open_block", "blocks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1) if whole else F.array(F.lit(0))))
+    x = x.select(*NODE, "block", F.col("texts").alias("xs")).hint("merge")
+    y = texts(all_, "block").select(*NODE, "block", F.col("texts").alias("ys")).hint("merge")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for row in range(batch.num_rows):
+                p, q, xs, ys = (batch[c][row].as_py() for c in ("p", "q", "xs", "ys"))
+                links += _block_links(p, q, xs, ys, threshold)
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return x.join(y, [*NODE, "block"]).select("p", "q", "xs", "ys").mapInArrow(verify, "a long, b long")
+
+
+def _block_links(p: int, q: int, xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Links of texts xs (outside the node's main class) with ys that agree on the sketches p and q, and on no other before q."""
+    same = np.array([x["bands"] for x in xs])[:, None, : q + 1] == np.array([y["bands"] for y in ys])[None, :, : q + 1]
+    size_x, size_y = (np.array([t["size"] for t in ts]) for ts in (xs, ys))
+    met = same[:, :, p] & same[:, :, q] & (same.sum(2) == LEAST_AGREED)
+    met &= np.minimum(size_x[:, None], size_y) >= threshold * np.maximum(size_x[:, None], size_y) - 1e-6
+    joined: dict[int, int] = {}
+
+    def root_of(r: int) -> int:
+        while r in joined:
+            r = joined[r]
+        return r
+
+    links = []
+    for i, j in np.argwhere(met).tolist():
+        x, y = xs[i], ys[j]
+        if y["root"] != y["main"] and x["rep"] >= y["rep"]:  # both are among the xs of the node: met from the other side
+            continue
+        rx, ry = root_of(x["root"]), root_of(y["root"])
+        if rx != ry and aligned_similarity(np.frombuffer(x["seq"], np.uint32), np.frombuffer(y["seq"], np.uint32), threshold) > 0:
+            joined[rx] = ry
+            links.append((min(x["rep"], y["rep"]), max(x["rep"], y["rep"])))
+    return links
+
+
 def _of_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows whose column is among ids (null for null), without a shuffle of rows while the ids are few enough to broadcast."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -251,9 +312,8 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = pairs.where(agreed >= LEAST_AGREED).select("a", "b", "times")
     held = met.where(F.col("n") > SMALL_BUCKET).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(*bucket))).alias("held"))
     held = staged(held)
-    start = held.select("rep", "held", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("value"))
-    met = _crowded(_extended(_extended(start).join(held, "rep")), ["value"])
-    pairs = pairs.union(_met_in_full(met, ["value"]).union(_met_pivot(met)).withColumn("times", F.lit(1)))
+    nodes = _crowded(_nodes(held), NODE)
+    pairs = pairs.union(_met_in_full(nodes, NODE).union(_met_pivot(nodes)).withColumn("times", F.lit(1)))
     pairs = staged(_of_like_size(pairs.groupBy("a", "b").agg(F.sum("times").alias("times")), sizes, threshold))
 
     needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(held.select("rep")).distinct())
@@ -269,20 +329,10 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = staged(near.join(near.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root")))
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
     links = links.union(staged(_verified(_apart(rest, roots), seqs, threshold)))
-    judged, roots = pairs.select("a", "b"), components(links)
-    for depth in range(3, SKETCHES + 1):
-        large = met.where(F.col("n") > SMALL_NODE).select("rep", "at", "value")
-        rooted = large.join(roots, F.col("rep") == F.col("id"), "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "rep").alias("settled")).where("low < high")
-        open_nodes = rooted.join(mixed, "value").where("root != settled" if depth > 3 else "true").select("rep", "at", "value")
-        met = _crowded(_extended(open_nodes.join(held, "rep")), ["value"])
-        new = _met_in_full(met, ["value"]).union(_met_pivot(met)).distinct()
-        new = staged(_of_like_size(_apart(new.join(judged, ["a", "b"], "left_anti"), roots), sizes, threshold))
-        if not new.isEmpty():
-            links, judged = links.union(staged(_verified(new, seqs, threshold))), judged.union(new)
-            roots = components(links) if depth == 3 else roots
-        if met.where(F.col("n") > SMALL_NODE).isEmpty():
-            break
+    large = nodes.where(F.col("n") > SMALL_NODE).select(*NODE, "rep")
+    for whole in () if large.isEmpty() else (False, True):  # what one block of each node joins to the others need not meet them all
+        found = staged(_linked_in_blocks(large, components(links), sketches, seqs, threshold, whole))
+        links = staged(links.union(found).distinct())
 
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))

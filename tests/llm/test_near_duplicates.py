@@ -77,3 +77,28 @@ def test_two_texts_under_one_doc_id_keep_their_own_classes(spark):
     rows = [(5, x, ""), (5, y, ""), (2, x + " more", ""), (3, y + " more", "")]
     got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(tuple, got)) == [(2, 2, 1), (3, 3, 1), (5, 2, 1), (5, 3, 1)]
+
+
+def bands(text):
+    return N.order_sketches(N.occurrence_labelled(N.shingles(N.Words()(text))))
+
+
+def test_large_nodes_lose_no_partner(spark):
+    """120 texts share most of one passage and are no duplicates; two more are, and agree on two sketches only, both of the passage."""
+    rng = random.Random(11)
+    passage = words(rng, 120)
+    crowd = [" ".join([*passage, *words(rng, 30)]) for _ in range(120)]
+    common = bands(" ".join(passage))
+    while True:
+        w = [*passage, *words(rng, 30)]
+        x, v = bands(" ".join(w)), list(w)
+        for place in (rng.randint(10, 40), rng.randint(50, 80), rng.randint(90, 140)):
+            v[place] = f"edit{rng.randint(0, 50_000)}"
+        same = x == bands(" ".join(v))
+        if same.sum() == 2 and (x == common)[same].all():
+            break
+    assert sum((bands(t) == common)[same].all() for t in crowd) > N.SMALL_NODE
+    texts = [*crowd, " ".join(w), " ".join(v)]
+    assert shingle_similarity(*texts[-2:]) >= 0.8 and all(shingle_similarity(t, u) < 0.8 for t in crowd for u in texts[-2:])
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got == dict(enumerate([*range(121), 120]))
