@@ -1,11 +1,14 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The corpus is dealt into shards by a hash of the document. In each shard every
-source's share of its target is cut into blocks of equal tokens, and the shard's
-blocks go one by one to the source with the highest quotient share / (2k + 1):
-integer quotas for each shard. Inside a cell (shard and source) documents follow in
-a seeded order; the first pass takes them until the quota's tokens are reached, the
-last one in part, and a quota above the cell's size begins a second pass.
+The corpus is dealt into shards by a hash of the document. Of each source's target a
+shard is due the part that its documents have of the source's tokens. Dues are added up
+over the shards in order and rounded as Sainte-Laguë rounds, half up at divisor one;
+a shard's quota is what its own due adds to the rounded sum. So quotas are integers, each
+within a token of its due, and what rounding leaves is carried to the next shard: a
+source's quotas make up its target however small its documents are. Inside a cell (shard
+and source) documents follow in a seeded order; the first pass takes them until the
+quota's tokens are reached, the last one in part, and a quota above the cell's size
+begins a second pass.
 
 Cases: a null text has size 0, its document takes nothing; the null source is a
 source of its own, the last; ties in the seeded order are broken by id and size, so
@@ -22,10 +25,6 @@ from landloom.llm.common import read, staged, text_of
 
 #: Documents a shard holds on average; bounds what a cell's window sorts, whatever share of the rows a source has.
 DOCS_PER_SHARD = 512
-#: Tokens of a block at most; less where the corpus is so small that blocks would be coarse.
-BLOCK_TOKENS = 256
-#: Blocks that the smallest corpus is cut into for each source, about.
-LEAST_BLOCKS = 200
 #: Weights of the sources in order, repeating (fixed values of the task).
 WEIGHTS = (3, 1, 2)
 #: Sources whose totals may come to the driver.
@@ -64,28 +63,16 @@ def mix_sources(sized: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS,
     targets = source_targets(sizes, {r["source"]: weights[i % len(weights)] for i, r in enumerate(order)}, share)
     table = spark.createDataFrame([(s, sizes[s], float(targets[s])) for s in sizes], "source string, source_size long, target double")
     shards = max(1, -(-sum(r["n"] for r in order) // DOCS_PER_SHARD))
-    block = int(max(1, min(BLOCK_TOKENS, share * sum(sizes.values()) // max(1, LEAST_BLOCKS * len(order)))))
 
     spread = F.xxhash64(F.col("doc_id"), F.lit(seed))
     dealt = sized.withColumn("draw", spread).withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int"))
     known = F.broadcast(table) if len(order) <= 10_000 else table
     cells = dealt.groupBy("shard", "source").agg(F.sum("size").alias("cell"))
     cells = cells.join(known.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    portion = F.when(F.col("source_size") > 0, F.col("target") * F.col("cell") / F.col("source_size")).otherwise(0.0)
-    cells = cells.withColumn("portion", portion).withColumn("most", F.ceil(MAX_REPEATS * F.col("cell") / block))
-    seats = Window.partitionBy("shard")
-    by_quotient = Window.partitionBy("shard").orderBy(F.col("quotient").desc(), F.col("source").asc_nulls_last(), "k")
-    quotas = (
-        cells.withColumn("blocks", F.round(F.sum("portion").over(seats) / block))
-        .where("most > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("most").cast("int") - 1)))
-        .withColumn("quotient", F.col("portion") / (2 * F.col("k") + 1)).withColumn("place", F.row_number().over(by_quotient))
-        .where("place <= blocks").groupBy("shard", "source").agg(F.count("*").alias("quota"))
-    )
-    cells = (
-        cells.select("shard", "source", "cell", "source_size", "target").alias("c")
-        .join(quotas.alias("q"), F.expr("c.shard = q.shard AND c.source <=> q.source"), "left")
-        .select(F.col("c.shard").alias("cell_shard"), F.col("c.source").alias("cell_source"), "cell", "source_size", "target", F.least(F.coalesce("quota", F.lit(0)) * block, MAX_REPEATS * F.col("cell")).alias("quota"))
-    )
+    reached = F.sum("cell").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    due = lambda cell: F.when(F.col("source_size") > 0, F.floor(F.col("target") * cell / F.col("source_size") + 0.5)).otherwise(F.lit(0)).cast("long")
+    quota = F.least(due(F.col("reached")) - due(F.col("reached") - F.col("cell")), MAX_REPEATS * F.col("cell"))
+    cells = cells.withColumn("reached", reached).select(F.col("shard").alias("cell_shard"), F.col("source").alias("cell_source"), "cell", "source_size", "target", quota.alias("quota"))
     before = F.sum("size").over(Window.partitionBy("shard", "source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = dealt.withColumn("before", before).join(cells, (F.col("shard") == F.col("cell_shard")) & F.col("source").eqNullSafe(F.col("cell_source")))
     passed = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - start))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from landloom.llm import decontamination, languages, mixing, registry, secrets, url_filters
 from tests.oracle import same
@@ -64,3 +65,10 @@ def test_languages_without_letters(spark):
     langs, prototypes = languages.learn_prototypes(df)
     got = {r["doc_id"]: r["lang_pred"] for r in languages.predict_languages(df, langs, prototypes).collect()}
     assert langs == ["de", "en"] and got == {1: "en", 2: "de", 3: "und", 4: "und", 5: "de"}
+
+
+def test_mix_meets_the_target_of_a_source_of_few_short_documents(spark):
+    rows = [(i, "tiny" if i % 2000 == 7 else "thin" if i % 400 == 9 else f"s{i % 3}", 5 if i % 2000 == 7 else 180 if i % 400 == 9 else 20 + i % 90) for i in range(20_000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, size long"))
+    sums = {r["source"]: (r["taken"], r["target"]) for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert sums["tiny"][1] == 100 and all(abs(taken - target) <= 1 for taken, target in sums.values()), sums
