@@ -1,9 +1,8 @@
 """Corpus pipeline: language ID, near duplicates, benchmark decontamination, secrets, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept;
-all but the last return the columns of documents. Rows with a null doc_id are judged
-by the stages that need no id (language, secrets, mixing) and kept by the others,
-which can't name them. Null and empty texts have no letter: the language stage
+all but the last return the columns of documents. Rows are judged
+by their own text in every stage, also those whose doc_id is null or repeated. Null and empty texts have no letter: the language stage
 rejects them. Empty tables give empty results.
 """
 
@@ -12,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm.common import read, staged
-from landloom.llm.decontamination import find_leaks
+from landloom.llm.common import read, staged, text_of
+from landloom.llm.decontamination import without_leaks
 from landloom.llm.languages import learn_prototypes, predict_languages
-from landloom.llm.mixing import mix_sources, sized_documents
+from landloom.llm.mixing import mix_sources, word_count
 from landloom.llm.near_duplicates import keyed, text_classes
 from landloom.llm.secrets import secret_spans
 from landloom.llm.spans import redacted
@@ -43,8 +42,7 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    leaks = find_leaks(docs.where("doc_id IS NOT NULL"), read(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return without_leaks(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +55,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, with size, target of the source, and taken."""
-    mixed = mix_sources(staged(sized_documents(docs))).where("taken > 0")
-    told = mixed.groupBy("doc_id").agg(F.max("size").alias("size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
-    return docs.select(*COLUMNS).join(told, "doc_id")
+    sized = docs.select("doc_id", "source", word_count(text_of()).alias("size"), F.struct(*COLUMNS).alias("row"))
+    return mix_sources(sized, carried="row").where("taken > 0").select("row.*", "size", "target", "taken")
 
 
 STAGES = [

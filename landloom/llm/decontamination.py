@@ -25,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,13 +114,10 @@ class ItemIndex:
         return best
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each row of docs and item it leaks: doc_id, item_id, similarity, start (first word of the best window), n_words."""
-    schema = "doc_id long, item_id long, similarity double, start int, n_words int"
+def _index_passes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
+    """The items' indexes by words of a shingle, one broadcast for each block of items."""
     items = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     passes = -(-items.count() // ITEM_BLOCK)
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
     for number in range(passes):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number) if passes > 1 else items
         words, by_k = Words(), {}
@@ -127,9 +125,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             w = words(r["text"])
             if len(w):
                 by_k.setdefault(min(SHINGLE_WORDS, len(w)), []).append((r["item_id"], shingles(w)))
-        if not by_k:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast({k: ItemIndex(v) for k, v in sorted(by_k.items())})
+        if by_k:
+            yield benchmark.sparkSession.sparkContext.broadcast({k: ItemIndex(v) for k, v in sorted(by_k.items())})
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row for each row of docs and item it leaks: doc_id, item_id, similarity, start (first word of the best window), n_words."""
+    schema = "doc_id long, item_id long, similarity double, start int, n_words int"
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for shared in _index_passes(benchmark, item_col, item_text_col):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words, indexes = Words(), shared.value
@@ -147,6 +152,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that leak no item, each judged by its own text, whatever its id."""
+    for shared in _index_passes(benchmark, item_col, item_text_col):
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            words, indexes = Words(), shared.value
+            for batch in batches:
+                clean = []
+                for text in batch[text_col].to_pylist():
+                    w = words(text)
+                    clean.append(not any(len(w) >= k and index.leaks(shingles(w, k), threshold) for k, index in indexes.items()))
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents leak."""
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

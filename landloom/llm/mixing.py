@@ -52,8 +52,8 @@ def source_targets(sizes: dict, weights: dict, share: float, most: float = MAX_R
     return out
 
 
-def mix_sources(sized: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, seed: int = 42) -> DataFrame:
-    """sized: doc_id, source, size (long). Adds source_size, target and taken (tokens of the document in the mix, repeats counted)."""
+def mix_sources(sized: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, seed: int = 42, carried: str | None = None) -> DataFrame:
+    """sized: doc_id, source, size (long). Adds source_size, target and taken (tokens of the document in the mix, repeats counted). A column carried goes on with its row and tells apart rows of one doc_id."""
     spark = sized.sparkSession
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -64,7 +64,9 @@ def mix_sources(sized: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS,
     table = spark.createDataFrame([(s, sizes[s], float(targets[s])) for s in sizes], "source string, source_size long, target double")
     shards = max(1, -(-sum(r["n"] for r in order) // DOCS_PER_SHARD))
 
-    spread = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    tie = ["tie"] if carried else []
+    sized = sized.withColumn("tie", F.xxhash64(carried)) if carried else sized
+    spread = F.xxhash64(F.col("doc_id"), F.lit(seed), *tie)
     dealt = sized.withColumn("draw", spread).withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int"))
     known = F.broadcast(table) if len(order) <= 10_000 else table
     cells = dealt.groupBy("shard", "source").agg(F.sum("size").alias("cell"))
@@ -73,11 +75,11 @@ def mix_sources(sized: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS,
     due = lambda cell: F.when(F.col("source_size") > 0, F.floor(F.col("target") * cell / F.col("source_size") + 0.5)).otherwise(F.lit(0)).cast("long")
     quota = F.least(due(F.col("reached")) - due(F.col("reached") - F.col("cell")), MAX_REPEATS * F.col("cell"))
     cells = cells.withColumn("reached", reached).select(F.col("shard").alias("cell_shard"), F.col("source").alias("cell_source"), "cell", "source_size", "target", quota.alias("quota"))
-    before = F.sum("size").over(Window.partitionBy("shard", "source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    before = F.sum("size").over(Window.partitionBy("shard", "source").orderBy("draw", "doc_id", "size", *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = dealt.withColumn("before", before).join(cells, (F.col("shard") == F.col("cell_shard")) & F.col("source").eqNullSafe(F.col("cell_source")))
     passed = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - start))
     taken = passed(F.col("before")) + passed(F.col("before") + F.col("cell"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *([carried] if carried else []))
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -16,3 +16,23 @@ def test_one_row_of_each_class_stays_whatever_the_ids(spark):
     rows = [(5, x, "a"), (5, y, "a"), (5, y, "b"), (7, x + " more", "a"), (None, z, "b"), (None, z, "a"), (None, y + " more", "a"), (9, "", "a")]
     got = sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in P.keep_one_of_each_class(spark, table(spark, rows), "").collect())
     assert got == sorted([(5, x, "a"), (5, y, "a"), (0, z, "a"), (9, "", "a")])
+
+
+def test_leaks_are_dropped_row_by_row(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before {item} after", "a"), (3, f"before {item} after", "a"), (3, "a clean text of the same id", "a"), (None, "a clean text without one", "a"), (4, None, "a")]
+    df = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], SCHEMA)
+    got = {(r["doc_id"], r["text"]) for r in P.drop_leaks(spark, df, str(tmp_path)).collect()}
+    assert got == {(i, t) for i, t, _ in rows[2:]}
+
+
+def test_mix_takes_rows_of_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 == 0 else i // 2, f"text number {i} of all", "ab"[i % 2]) for i in range(600)]
+    got = P.mix(spark, table(spark, rows), "").collect()
+    again = P.mix(spark, table(spark, rows).repartition(5), "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert len({r["text"] for r in got}) == len(got) and any(r["doc_id"] is None for r in got)
+    for s in "ab":
+        of = [r for r in got if r["source"] == s]
+        assert all(0 < r["taken"] <= 2 * r["size"] for r in of) and abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 1
