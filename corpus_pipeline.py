@@ -67,7 +67,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Language profiles and sketches can't be said in SQL; tests/llm holds the brute-force counterpart.
+#: Language profiles and sketches can't be said in SQL; tests/llm compares near duplicates with brute force, the other stages with planted rows.
 ORACLE_SQL = None
 
 
