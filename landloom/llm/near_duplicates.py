@@ -6,22 +6,30 @@ occurrence, so that none is found twice. For each of several hash functions the
 SAMPLED least k-mers are taken and hashed in the order in which they stand in the
 text: two sketches agree only where the same k-mers come in the same order.
 Representatives that agree on LEAST_AGREED (two) sketches are candidates if their
-lengths allow the threshold. Buckets of up to SMALL_BUCKET are compared in full. Texts
-in larger ones meet again in nodes, one for every two of their sketches that lie in
-large buckets. A node of up to SMALL_NODE is compared in full, a larger one with its
-first member; what then is not one class there is compared in blocks, each text outside
-the node's largest class with every member of another class. A pair is compared in
-blocks only in the node of the first two sketches it agrees on.
-A candidate pair is verified by a banded alignment: the longest
-common subsequence of the labelled k-mers within the band that the threshold leaves, as
-matched / (na + nb - matched). First each text is verified with the partner it met
-most often; pairs that this has put in one class already are not verified again.
-Classes are the connected components of the links.
+lengths allow the threshold.
+
+Buckets (texts with one sketch in common) of up to SMALL_BUCKET are compared in full.
+In a larger one every member is first compared with the pivot, the member whose
+sketches most other texts share: of the copies of one text that is the least edited
+one. What is not one class then is compared in blocks, each text outside the bucket's
+largest class with every member of another class, so that no candidate pair is passed
+over; a pair only in the bucket of the first sketch it agrees on. A block counts the
+k-mers that its pairs share by matrix products; as no alignment can match more, only
+pairs with enough of them are aligned. So a group whose members are alike to its pivot
+costs rows in proportion to its size; of one that is not, the texts outside the largest
+class meet all members, as pairs of blocks.
+
+A pair is verified by a banded alignment: the longest common subsequence of the
+labelled k-mers within the band that the threshold leaves, as matched / (na + nb -
+matched). Classes are the connected components of the links.
 
 Cases: null counts as empty; texts without a word form classes of equal texts; texts
-of fewer than five words have one shingle; rows that repeat a doc_id are alike to
-each other only by their text, whose key stands for it throughout; near_duplicates
-leaves out rows with a null doc_id (a class can't name them), text_classes does not; an empty table gives an empty result; other columns are ignored.
+of fewer than five words have one shingle; whole texts are read, however long (a block
+holds BLOCK_KMERS k-mers or one text); rows that repeat a doc_id are alike to each other
+only by their text, whose key stands for it throughout; near_duplicates leaves out rows
+with a null doc_id (a class can't name them), text_classes does not; ties between pivots
+go to the greater number; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,14 +52,12 @@ from landloom.llm.shingles import Words, mix, occurrence_labelled, shingles
 THRESHOLD = 0.8
 #: Hash functions, and k-mers sampled by each. At the threshold a pair is missed with a probability of about (1 - 0.8**3)**14 < 0.0001.
 SKETCHES, SAMPLED = 14, 3
-#: Buckets that are compared in full, and sketches that a candidate pair agrees on (at the threshold about 7 of 14 do; fewer than 2 with a probability below 0.001).
-SMALL_BUCKET, LEAST_AGREED = 6, 2
-#: The same for buckets of two sketches and more, whose pairs mostly are met before or in one class already.
-SMALL_NODE = 16
-#: What names a node, and texts and k-mers that a block of one holds, about.
-NODE, BLOCK_TEXTS, BLOCK_KMERS = ["p", "q", "value"], 64, 50_000
+#: Sketches that a candidate pair agrees on (at the threshold about 7 of 14 do; fewer than 2 with a probability below 0.001), and buckets that are compared in full.
+LEAST_AGREED, SMALL_BUCKET = 2, 6
+#: What names a bucket, texts and k-mers that a block of one holds, about, and k-mers of one matrix product.
+BUCKET, BLOCK_TEXTS, BLOCK_KMERS, PRODUCT_KMERS = ["band", "value"], 256, 60_000, 4_096
 #: Ids that may be broadcast to pick the texts to align; with more of them, texts are shuffled by id instead.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 
 #: Two numbers for each hash function: k-mers, well spread as they are, are flipped by one and multiplied by the other.
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -138,7 +144,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
-    """key, seq: the labelled k-mers as bytes, 32 bits each (two of a pair of texts of 500 words are mixed up once in 17,000 pairs)."""
+    """key, seq: the labelled k-mers as bytes, 64 bits each."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -147,7 +153,7 @@ def _sequences(docs: DataFrame) -> DataFrame:
             for text in batch["text"].to_pylist():
                 w = words(text)
                 keys.append(text_key(text, w))
-                seqs.append((occurrence_labelled(shingles(w)) >> np.uint64(32)).astype(np.uint32).tobytes())
+                seqs.append(occurrence_labelled(shingles(w)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(seqs, pa.binary())], ["key", "seq"])
 
     return docs.mapInArrow(make, "key binary, seq binary")
@@ -158,7 +164,7 @@ def _verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [aligned_similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold) for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]
+            found = [aligned_similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
     b = seqs.select(F.col("rep").alias("b"), F.col("seq").alias("sb")).hint("merge")
@@ -182,83 +188,94 @@ def components(links: DataFrame, vertices: tuple[str, str] = ("a", "b")) -> Data
         labels = moved.select("id", F.col("next").alias("root"))
 
 
-def _crowded(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """The entries of buckets with several members, with their number n and the first of them, pivot."""
-    crowds = entries.groupBy(*keys).agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    return staged(entries.join(crowds, keys))
-
-
-def _met_in_full(met: DataFrame, keys: list[str], small: int = SMALL_NODE) -> DataFrame:
-    """a, b of all pairs in small buckets."""
-    x, y = (met.where(F.col("n") <= small).select(*keys, F.col("rep").alias(c)) for c in "ab")
-    return x.join(y, keys).where("a < b").select("a", "b")
-
-
-def _met_pivot(met: DataFrame) -> DataFrame:
-    """a, b of the first members of large buckets with all others."""
-    return met.where((F.col("n") > SMALL_NODE) & (F.col("rep") > F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each x shares with each y; none holds a number twice."""
+    owners = [np.repeat(np.arange(len(side)), [len(v) for v in side]) for side in (xs, ys)]
+    values = [np.concatenate(side) for side in (xs, ys)]
+    both = np.intersect1d(*values)
+    places = [np.searchsorted(both, v) for v in values]
+    known = [both[np.minimum(at, len(both) - 1)] == v if len(both) else np.zeros(len(v), bool) for at, v in zip(places, values, strict=True)]
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for low in range(0, len(both), PRODUCT_KMERS):
+        width = min(PRODUCT_KMERS, len(both) - low)
+        sides = []
+        for n, owner, at, hit in zip(out.shape, owners, places, known, strict=True):
+            inside = hit & (at >= low) & (at < low + width)
+            m = np.zeros((n, width), np.float32)
+            m[owner[inside], at[inside] - low] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
 
 
-def _nodes(held: DataFrame) -> DataFrame:
-    """rep, p, q, value: every two of the sketches held, by their bands p < q."""
-    one = held.select("rep", "held", F.explode("held").alias("x"))
-    two = one.select("rep", "x", F.explode("held").alias("y")).where("x.band < y.band")
-    return two.select("rep", F.col("x.band").alias("p"), F.col("y.band").alias("q"), F.xxhash64("x.value", "y.value").alias("value"))
+def _small_pairs(met: DataFrame) -> DataFrame:
+    """a, b of all pairs in small buckets. met: BUCKET, rep, n."""
+    x, y = (met.where(F.col("n") <= SMALL_BUCKET).select(*BUCKET, F.col("rep").alias(c)) for c in "ab")
+    return x.join(y, BUCKET).where("a < b").select("a", "b")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that roots (id, root) do not put in one class."""
-    for c in "ab":
-        pairs = pairs.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+def _pivot_pairs(met: DataFrame) -> DataFrame:
+    """a, b of the pivots of large buckets with all other members."""
+    weights = met.groupBy("rep").agg(F.sum("n").alias("weight"))
+    large = met.where(F.col("n") > SMALL_BUCKET).join(weights, "rep")
+    pivots = large.groupBy(*BUCKET).agg(F.max(F.struct("weight", "rep")).alias("pivot")).select(*BUCKET, F.col("pivot.rep").alias("pivot"))
+    return large.join(pivots, BUCKET).where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
 
-def _of_like_size(pairs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose numbers of k-mers allow the threshold."""
+def _candidates(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that agree on LEAST_AGREED sketches and whose numbers of k-mers allow the threshold."""
+    pairs = pairs.distinct()
     for c in "ba":
-        pairs = pairs.join(sizes.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}")), c)
-    return pairs.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-6).drop("size_a", "size_b")
+        pairs = pairs.join(sketches.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("bands").alias(f"bands_{c}")), c)
+    agreed = F.size(F.filter(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), lambda same: same))
+    fit = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-6
+    return pairs.where((agreed >= LEAST_AGREED) & fit).select("a", "b")
 
 
-def _linked_in_blocks(nodes: DataFrame, roots: DataFrame, sketches: DataFrame, seqs: DataFrame, threshold: float, whole: bool) -> DataFrame:
-    """a, b at the threshold or above that roots (id, root) do not put in one class, of nodes (NODE, rep); unless whole, with one block of each node only.
+def _joined_in_blocks(met: DataFrame, roots: DataFrame, sketches: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """a, b: classes (of roots: id, root) that links at the threshold or above join, of texts in large buckets of several classes.
 
     Rows of the join are pairs of blocks. A pair of texts is left out if an earlier link of its pair of blocks has joined their classes.
     """
-    rooted = nodes.join(roots, F.col("rep") == F.col("id"), "left").select(*NODE, "rep", F.coalesce("root", "rep").alias("root"))
+    rooted = met.where(F.col("n") > SMALL_BUCKET).join(roots, F.col("rep") == F.col("id"), "left").select(*BUCKET, "rep", F.coalesce("root", "rep").alias("root"))
     rooted = staged(rooted.join(sketches, "rep"))
-    classes = rooted.groupBy(*NODE, "root").agg(F.count("*").alias("n"), F.sum("size").alias("kmers"))
-    mixed = classes.groupBy(*NODE).agg(F.max_by(F.struct("root", "n", "kmers"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("kmers").alias("kmers"), F.count("*").alias("classes")).where("classes > 1")
+    classes = rooted.groupBy(*BUCKET, "root").agg(F.count("*").alias("n"), F.sum("size").alias("kmers"))
+    mixed = classes.groupBy(*BUCKET).agg(F.max_by(F.struct("root", "n", "kmers"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("kmers").alias("kmers"), F.count("*").alias("classes")).where("classes > 1")
     blocks = lambda n, kmers: F.ceil(F.greatest(n / BLOCK_TEXTS, kmers / BLOCK_KMERS)).cast("int")
-    mixed = mixed.select(*NODE, F.col("main.root").alias("main"), blocks(F.col("n"), F.col("kmers")).alias("blocks"), blocks(F.col("n") - F.col("main.n"), F.col("kmers") - F.col("main.kmers")).alias("open_blocks"))
-    members = rooted.join(staged(mixed), NODE)
+    mixed = mixed.select(*BUCKET, F.col("main.root").alias("main"), blocks(F.col("n"), F.col("kmers")).alias("blocks"), blocks(F.col("n") - F.col("main.n"), F.col("kmers") - F.col("main.kmers")).alias("open_blocks"))
+    members = rooted.join(staged(mixed), BUCKET)
     number = lambda of: F.pmod(F.xxhash64("rep", F.lit(7)), F.col(of)).cast("int")
     all_, open_ = members.withColumn("block", number("blocks")), members.where("root != main").withColumn("open_block", number("open_blocks"))
-    if not whole:
-        all_ = all_.where("block = 0")
-    texts = lambda rows, *keys: rows.join(seqs, "rep").groupBy(*NODE, *keys).agg(F.sort_array(F.collect_list(F.struct("rep", "root", "main", "size", "bands", "seq"))).alias("texts"))
-    x = texts(open_, "open_block", "blocks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1) if whole else F.array(F.lit(0))))
-    x = x.select(*NODE, "block", F.col("texts").alias("xs")).hint("merge")
-    y = texts(all_, "block").select(*NODE, "block", F.col("texts").alias("ys")).hint("merge")
+    texts = lambda rows, *keys: rows.join(seqs, "rep").groupBy(*BUCKET, *keys).agg(F.collect_list(F.struct("rep", "root", "main", "size", "bands", "seq")).alias("texts"))
+    x = texts(open_, "open_block", "blocks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select(*BUCKET, "block", F.col("texts").alias("xs")).hint("merge")
+    y = texts(all_, "block").select(*BUCKET, "block", F.col("texts").alias("ys")).hint("merge")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links: list[tuple[int, int]] = []
+            links: set[tuple[int, int]] = set()
             for row in range(batch.num_rows):
-                p, q, xs, ys = (batch[c][row].as_py() for c in ("p", "q", "xs", "ys"))
-                links += _block_links(p, q, xs, ys, threshold)
-            a, b = zip(*links, strict=True) if links else ((), ())
+                links.update(block_links(*(batch[c][row].as_py() for c in ("band", "xs", "ys")), threshold))
+            a, b = zip(*sorted(links), strict=True) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return x.join(y, [*NODE, "block"]).select("p", "q", "xs", "ys").mapInArrow(verify, "a long, b long")
-
-
-def _block_links(p: int, q: int, xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[int, int]]:
-    """Links of texts xs (outside the node's main class) with ys that agree on the sketches p and q, and on no other before q."""
-    same = np.array([x["bands"] for x in xs])[:, None, : q + 1] == np.array([y["bands"] for y in ys])[None, :, : q + 1]
-    size_x, size_y = (np.array([t["size"] for t in ts]) for ts in (xs, ys))
-    met = same[:, :, p] & same[:, :, q] & (same.sum(2) == LEAST_AGREED)
-    met &= np.minimum(size_x[:, None], size_y) >= threshold * np.maximum(size_x[:, None], size_y) - 1e-6
+    return x.join(y, [*BUCKET, "block"]).select("band", "xs", "ys").mapInArrow(verify, "a long, b long")
+
+
+def block_links(band: int, xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Classes joined by links of texts xs (outside the bucket's main class) with ys, of pairs that agree on this band's sketch, on another one, and on none before."""
+    column = lambda side, name: np.array([t[name] for t in side])
+    same = column(xs, "bands")[:, None] == column(ys, "bands")[None]
+    size_x, size_y = column(xs, "size")[:, None], column(ys, "size")[None]
+    met = same[:, :, band] & (same.sum(2) >= LEAST_AGREED) & ~same[:, :, :band].any(2) & (column(xs, "root")[:, None] != column(ys, "root")[None])
+    met &= np.minimum(size_x, size_y) >= threshold * np.maximum(size_x, size_y) - 1e-6
+    met &= (column(ys, "root") == column(ys, "main"))[None] | (column(xs, "rep")[:, None] < column(ys, "rep")[None])  # others are met from the other side
+    if not met.any():
+        return []
+    in_x, in_y = np.flatnonzero(met.any(1)), np.flatnonzero(met.any(0))
+    seq_x, seq_y = ({i: np.frombuffer(side[i]["seq"], np.uint64) for i in at.tolist()} for side, at in ((xs, in_x), (ys, in_y)))
+    enough = shared_counts(list(seq_x.values()), list(seq_y.values())) >= (threshold / (1 + threshold) * (size_x + size_y) - 1e-9)[np.ix_(in_x, in_y)]
+    met[np.ix_(in_x, in_y)] &= enough
     joined: dict[int, int] = {}
 
     def root_of(r: int) -> int:
@@ -268,13 +285,10 @@ def _block_links(p: int, q: int, xs: list[dict], ys: list[dict], threshold: floa
 
     links = []
     for i, j in np.argwhere(met).tolist():
-        x, y = xs[i], ys[j]
-        if y["root"] != y["main"] and x["rep"] >= y["rep"]:  # both are among the xs of the node: met from the other side
-            continue
-        rx, ry = root_of(x["root"]), root_of(y["root"])
-        if rx != ry and aligned_similarity(np.frombuffer(x["seq"], np.uint32), np.frombuffer(y["seq"], np.uint32), threshold) > 0:
+        rx, ry = root_of(xs[i]["root"]), root_of(ys[j]["root"])
+        if rx != ry and aligned_similarity(seq_x[i], seq_y[j], threshold) > 0:
             joined[rx] = ry
-            links.append((min(x["rep"], y["rep"]), max(x["rep"], y["rep"])))
+            links.append((min(rx, ry), max(rx, ry)))
     return links
 
 
@@ -294,59 +308,36 @@ def _numbered(reps: DataFrame) -> tuple[DataFrame, Callable[[], Column]]:
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key (of the text), class_id (the least doc_id of its class; null if it has none), root (a number of the class) and n_links, one row for each row of docs. The text alone decides; doc_id may repeat or be null."""
+    """doc_id, key (of the text), class_id (the least doc_id of its class; null if it has none) and root (a number of the class), one row for each row of docs. The text alone decides; doc_id may repeat or be null."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = staged(sketched(texts))
     reps = staged(table.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "bands")).alias("of")).select("key", "doc_id", "of.*"))
     reps, number = _numbered(reps)
     sketches = reps.where("bands IS NOT NULL").select("rep", F.col("n").alias("size"), "bands")
-    bucket = ["band", "value"]
-    met = _crowded(reps.where("bands IS NOT NULL").select("rep", F.posexplode("bands").alias(*bucket)).distinct(), bucket)
+    entries = sketches.select("rep", F.posexplode("bands").alias(*BUCKET))
+    met = staged(entries.join(entries.groupBy(*BUCKET).agg(F.count("*").alias("n")).where("n > 1"), BUCKET))
     sketches = staged(sketches.join(met.select("rep").distinct(), "rep", "left_semi"))
-    sizes = sketches.select("rep", "size")
+    pairs = staged(_candidates(_small_pairs(met).union(_pivot_pairs(met)), sketches, threshold))
 
-    pairs = _met_in_full(met, bucket, SMALL_BUCKET).groupBy("a", "b").agg(F.count("*").alias("times"))
-    for c in "ba":
-        pairs = pairs.join(sketches.select(F.col("rep").alias(c), F.col("bands").alias(f"of_{c}")), c)
-    agreed = F.size(F.filter(F.zip_with("of_a", "of_b", lambda p, q: p == q), lambda same: same))
-    pairs = pairs.where(agreed >= LEAST_AGREED).select("a", "b", "times")
-    held = met.where(F.col("n") > SMALL_BUCKET).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(*bucket))).alias("held"))
-    held = staged(held)
-    nodes = _crowded(_nodes(held), NODE)
-    pairs = pairs.union(_met_in_full(nodes, NODE).union(_met_pivot(nodes)).withColumn("times", F.lit(1)))
-    pairs = staged(_of_like_size(pairs.groupBy("a", "b").agg(F.sum("times").alias("times")), sizes, threshold))
-
-    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(held.select("rep")).distinct())
+    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(met.where(F.col("n") > SMALL_BUCKET).select("rep")).distinct())
     ids = staged(reps.select("rep", "doc_id").join(needed, "rep").select("doc_id").distinct())
     seqs = _sequences(_of_ids(texts, ids, "doc_id")).select(number().alias("rep"), "seq")
-    seqs = staged(_of_ids(seqs, needed, "rep"))
-    if not seqs.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        seqs = staged(seqs.groupBy("rep").agg(F.min("seq").alias("seq")))
-    first = pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("times"), "a")).alias("a")).select("a", "b")
-    first = staged(first)
-    links = staged(_verified(first, seqs, threshold))
-    near = links.select(F.col("b").alias("id"), F.col("a").alias("root"))
-    roots = staged(near.join(near.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root")))
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    links = links.union(staged(_verified(_apart(rest, roots), seqs, threshold)))
-    large = nodes.where(F.col("n") > SMALL_NODE).select(*NODE, "rep")
-    for whole in () if large.isEmpty() else (False, True):  # what one block of each node joins to the others need not meet them all
-        found = staged(_linked_in_blocks(large, components(links), sketches, seqs, threshold, whole))
-        links = staged(links.union(found).distinct())
-
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = reps.select("key", "doc_id", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = staged(classes.select("key", "doc_id", F.coalesce("root", "rep").alias("root"), F.col("root").isNotNull().alias("linked"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    names = classes.where("linked").groupBy("root").agg(F.min("doc_id").alias("name"))
-    named = classes.where("linked").join(names, "root").select("key", F.col("name").alias("class_id"), "root", "n_links")
-    classes = named.union(classes.where("NOT linked").select("key", F.col("doc_id").alias("class_id"), "root", "n_links"))
-    return table.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "class_id", "root", "n_links")
+    seqs = staged(_of_ids(seqs, needed, "rep").groupBy("rep").agg(F.first("seq").alias("seq")))
+    roots = components(staged(_verified(pairs, seqs, threshold)))
+    joined = components(staged(_joined_in_blocks(met, roots, sketches, seqs, threshold)))
+
+    classes = reps.select("key", "doc_id", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "doc_id", F.coalesce("root", "rep").alias("id"), F.col("root").isNotNull().alias("linked"))
+    classes = classes.join(joined, "id", "left").select("key", "doc_id", F.coalesce("root", "id").alias("root"), (F.col("linked") | F.col("root").isNotNull()).alias("linked"))
+    classes = staged(classes)
+    names = classes.where("linked").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = classes.where("linked").join(names, "root").select("key", "class_id", "root")
+    classes = named.union(classes.where("NOT linked").select("key", F.col("doc_id").alias("class_id"), "root"))
+    return table.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "class_id", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), n_links (links of its text to other texts that were verified, which connect the class but are not all its links), one row for each row of docs."""
-    return text_classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, threshold).select("doc_id", "class_id", "n_links")
+    """doc_id and class_id (the least doc_id of its class), one row for each row of docs."""
+    return text_classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, threshold).select("doc_id", "class_id")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
