@@ -12,13 +12,20 @@ before that. Where an anchor has several different contexts, a task builds their
 array by two-stage sorting: suffixes smaller than their successors are sorted
 directly, the rest is induced from them by one scan over the buckets of first
 bytes. Neighbours with a common prefix of LENGTH bytes or more are repeats of the
-earliest among them. Anchors with more than HOT_CONTEXTS different contexts are
-split further: their strings are grouped by digest, with partial aggregation.
-
-Cases: null counts as empty; texts under LENGTH bytes lose nothing; a null doc_id
-comes first; different texts under one doc_id are ordered by their MD5; rows equal
-in doc_id and text are one document and each get its result; an empty table gives
-an empty result; other columns are ignored.
+earliest among them. Suffixes are sorted by their first LENGTH bytes and a few more,
+which is all that repeats depend on.
+
+An anchor with more than HOT_CONTEXTS different contexts is split: every string around
+it holds either the bytes on its left up to half of what the string has besides, or
+those on its right, so each context goes on in two parts under longer anchors, and the
+parts are dealt anew. At most seven such rounds make the anchor the string itself,
+whose contexts are all equal.
+
+Cases: null counts as empty; texts under LENGTH bytes lose nothing; texts may be very
+long (each is read whole by one task, time and memory grow with its length); a null
+doc_id comes first; different texts under one doc_id are ordered by their MD5; rows
+equal in doc_id and text are one document and each get its result; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from landloom.llm.shingles import mix
 
 LENGTH, GRAM = 100, 32
 #: Different contexts of an anchor that one task sorts, and bytes of contexts sorted at once.
-HOT_CONTEXTS, SORTED_BYTES = 1_000, 150_000
+HOT_CONTEXTS, SORTED_BYTES = 1_000, 600_000
 #: Texts whose contexts a worker holds at once.
 CONTEXT_ROWS = 500
 
@@ -95,38 +102,60 @@ def two_stage_suffix_array(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     change = np.where(flat, n - 1, np.arange(n))
     change = np.minimum.accumulate(change[::-1])[::-1]
     rising = rise[change] | ~inside
-    order = np.flatnonzero(rising & inside)
-    group = np.zeros(len(order), np.int64)
-    active = np.arange(len(order))
-    depth, done = 0, order.copy()
-    while len(active):
-        at = done[active] + depth
-        k = np.where(left[done[active]] > depth, keys[np.minimum(at, n - 1)], 0)
-        rest = np.maximum(left[done[active]] - depth, 0)
-        sort = np.lexsort((done[active], np.minimum(rest, 8), k, group[active]))
-        done[active] = done[active][sort]
-        k, rest, g = k[sort], rest[sort], group[active]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | (np.minimum(rest, 8)[1:] != np.minimum(rest, 8)[:-1])])
-        group[active] = active[np.maximum.accumulate(np.where(new, np.arange(len(active)), 0))]
-        alone = new & np.concatenate([new[1:], [True]])
-        active = active[~alone & (rest > 8)]
-        depth += 8
+    done = np.flatnonzero(rising & inside)
+    done = _sorted_by(done, keys, left, (text == 1).any())
 
-    buckets = np.bincount(text, minlength=257)
-    starts = np.concatenate([[0], np.cumsum(buckets)[:-1]])
-    array = np.full(n, -1, np.int64)
-    array[: len(ends)] = ends
+    sizes = np.bincount(text, minlength=257)
+    starts = np.cumsum(sizes) - sizes
     firsts = text[done]
     counts = np.bincount(firsts, minlength=257)
-    array[(starts + buckets - counts)[firsts] + np.arange(len(done)) - (np.cumsum(counts) - counts)[firsts]] = done
-    out, heads, letters, up = array.tolist(), starts.tolist(), text.tolist(), rising.tolist()
-    for j in range(n):
-        i = out[j] - 1
-        if i >= 0 and not up[i]:
-            c = letters[i]
-            out[heads[c]] = i
-            heads[c] += 1
-    return np.array(out), keys, left
+    array = np.full(n, -1, np.int64)
+    array[: len(ends)] = ends
+    array[(starts + sizes - counts)[firsts] + np.arange(len(done)) - (np.cumsum(counts) - counts)[firsts]] = done
+    heads = starts.copy()
+    heads[0] = len(ends)
+    for c in np.flatnonzero(sizes).tolist():
+        wave = array[starts[c] : heads[c]] if c else ends[:0]
+        while len(wave):  # predecessors of the same letter stand in this bucket, behind those that are known
+            wave = wave[wave > 0] - 1
+            wave = wave[text[wave] == c]
+            array[heads[c] : heads[c] + len(wave)] = wave
+            heads[c] += len(wave)
+        before = array[starts[c] : starts[c] + sizes[c]]
+        before = before[before > 0] - 1
+        letters = text[before]
+        before, letters = before[letters > c], letters[letters > c]
+        order = np.argsort(letters, kind="stable")
+        before, letters = before[order], letters[order]
+        into = np.bincount(letters, minlength=257)
+        array[heads[letters] + np.arange(len(letters)) - (np.cumsum(into) - into)[letters]] = before
+        heads += into
+    return array, keys, left
+
+
+def _sorted_by(places: np.ndarray, keys: np.ndarray, left: np.ndarray, zeros: bool, most: int = LENGTH) -> np.ndarray:
+    """The places (ascending) by the first bytes from there on, most and up to seven more; ties stay in order. zeros: whether the bytes hold zeros, which only the bytes left tell from an end."""
+    tie = lambda rest: (np.minimum(rest, 8),) if zeros else ()
+    order = np.lexsort((*tie(left[places]), keys[places])) if zeros else np.argsort(keys[places], kind="stable")
+    done = places[order]
+    group = np.zeros(len(done), np.int64)
+    active, depth, n = np.arange(len(done)), 0, len(keys)
+    while True:
+        at, rest = done[active] + depth, np.maximum(left[done[active]] - depth, 0)
+        k = np.where(rest > 0, keys[np.minimum(at, n - 1)], 0)
+        if depth:
+            sort = np.lexsort((*tie(rest), k, group[active]))
+            done[active] = done[active][sort]
+            k, rest = k[sort], rest[sort]
+        g, r = group[active], np.minimum(rest, 8)
+        new = np.ones(len(active), bool)
+        new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | (r[1:] != r[:-1])
+        group[active] = active[np.maximum.accumulate(np.where(new, np.arange(len(active)), 0))]
+        alone = new & np.concatenate([new[1:], [True]])[: len(new)]
+        active = active[~alone & (rest > 8)]
+        depth += 8
+        if not len(active) or depth >= most:
+            return done
 
 
 def common_prefixes(array: np.ndarray, keys: np.ndarray, left: np.ndarray, most: int = LENGTH) -> np.ndarray:
@@ -162,8 +191,9 @@ def repeated_starts(contexts: list[bytes], heads: list[tuple]) -> list[np.ndarra
     hit = order[(doc[order] != doc[heads_of]) | (start[order] != start[heads_of])]
     offsets, whose = (array_of - where[owner])[hit], owner[hit]
     sort = np.lexsort((offsets, whose))
-    cuts = np.searchsorted(whose[sort], np.arange(len(contexts) + 1))
-    return [offsets[sort][cuts[i] : cuts[i + 1]] for i in range(len(contexts))]
+    offsets = offsets[sort]
+    cuts = np.searchsorted(whose[sort], np.arange(len(contexts) + 1)).tolist()
+    return [offsets[cuts[i] : cuts[i + 1]] for i in range(len(contexts))]
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -201,34 +231,68 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(make, "deal long, known boolean, key binary, pos int")
 
 
+_CONTEXT = pa.schema([("deal", pa.int64()), ("ctx", pa.binary()), ("first", pa.int64()), ("key", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("size", pa.int32())])
+_CONTEXT_DDL = "deal long, ctx binary, first long, key binary, start int, stop int, at int, size int"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_CONTEXT), _CONTEXT, strict=True)], schema=_CONTEXT)
+
+
+def _merged(dropped: dict[tuple, list]) -> list[tuple]:
+    """Rows without a context of ranges by (first, key), those that overlap made one, dealt at random."""
+    rows = []
+    for (first, key), ranges in dropped.items():
+        ranges.sort()
+        start, stop = ranges[0]
+        for a, b in [*ranges[1:], (2**31, 0)]:
+            if a > stop:
+                rows.append((hash((key, start)), None, first, key, start, stop, None, None))
+                start, stop = a, b
+            elif b > stop:
+                stop = b
+    return rows
+
+
+def halves(ctx: bytes, at: int, size: int) -> list[tuple[int, int, int, int]]:
+    """A context whose strings all hold the size bytes at `at`, in two: (start, stop, at, size), offsets in ctx, of the strings that hold what lies left of those bytes too, and of the others, which hold what lies right of them."""
+    slack = LENGTH - size
+    half = -(-slack // 2)
+    last = len(ctx) - LENGTH
+    cut = min(last, at - half)
+    left = [(0, cut + LENGTH, at - half, size + half)] if cut >= 0 else []
+    right = [(cut + 1, len(ctx), at, size + slack - half + 1)] if cut < last else []
+    return left + [(max(0, a), b, c, d) for a, b, c, d in right]
+
+
 def _contexts(texts: DataFrame) -> DataFrame:
-    """deal, ctx, first, key, start, stop: the context of every wanted anchor, dealt by its hash. texts: first, key, text, places.
+    """deal, ctx, first, key, start, stop, at, size: the context of every wanted anchor (size bytes at `at`), dealt by its hash. texts: first, key, text, places.
 
-    Of equal contexts in a batch the earliest goes on; the others are repeats at once: ranges without a context, dealt at random.
+    Of equal contexts in a batch the earliest goes on; the others are repeats at once: ranges without a context, merged and dealt at random.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, CONTEXT_ROWS) for whole in batches for i in range(0, whole.num_rows, CONTEXT_ROWS)):
             earliest: dict[tuple[int, bytes], tuple] = {}
-            rows: list[tuple] = []
+            dropped: dict[tuple, list] = {}
             for first, key, data, places in zip(batch["first"].to_pylist(), batch["key"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["places"].to_pylist(), strict=True):
                 fps, at, lo, hi = anchors(data)
                 keep = np.isin(at, places)
-                for fp, a, b in zip(fps[keep].view(np.int64).tolist(), lo[keep].tolist(), (hi[keep] + LENGTH).tolist(), strict=True):
-                    own = (first, key, a, b)
-                    held = earliest.setdefault((fp, data[a:b]), own)
+                for fp, p, a, b in zip(fps[keep].view(np.int64).tolist(), at[keep].tolist(), lo[keep].tolist(), (hi[keep] + LENGTH).tolist(), strict=True):
+                    own = (first, key, a, b, p - a)
+                    name = (fp, data[a:b])
+                    held = earliest.setdefault(name, own)
                     if held != own:
                         if own < held:
-                            earliest[fp, data[a:b]], own = own, held
-                        rows.append((fp ^ hash(own[1:3]), None, *own))
-            rows += [(fp, ctx, *own) for (fp, ctx), own in earliest.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["deal", "ctx", "first", "key", "start", "stop"])
+                            earliest[name], own = own, held
+                        dropped.setdefault(own[:2], []).append(own[2:4])
+            yield _batch([(fp, ctx, *own, GRAM) for (fp, ctx), own in earliest.items()] + _merged(dropped))
 
-    return texts.mapInArrow(make, "deal long, ctx binary, first long, key binary, start int, stop int")
+    return texts.mapInArrow(make, _CONTEXT_DDL)
 
 
 def _repeats(contexts: DataFrame) -> DataFrame:
-    """key, start, stop: ranges that repeat, by suffix arrays; with a digest, instead: a string of an anchor with very many contexts.
+    """Ranges that repeat, by suffix arrays: rows without a context (key, start, stop); with one: parts of the contexts of an anchor with very many, under longer anchors.
     contexts: all of an anchor in one partition and in a row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +300,8 @@ def _repeats(contexts: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         group: dict[bytes, tuple] = {}
         out: list[tuple] = []
-        held, hot = 0, False
+        dropped: dict[tuple, list] = {}
+        held, n_dropped, hot = 0, 0, False
 
         def close() -> None:
             """The group ends: to the contexts to be sorted, if it has several."""
@@ -247,48 +312,53 @@ def _repeats(contexts: DataFrame) -> DataFrame:
                 held += sum(map(len, group))
             group.clear()
 
-        def strings() -> None:
-            for ctx, (first, key, start) in group.items():
-                out.extend((key, start + i, start + i + LENGTH, first, hashlib.blake2b(ctx[i : i + LENGTH], digest_size=16).digest()) for i in range(len(ctx) - LENGTH + 1))
+        def split() -> None:
+            for ctx, (first, key, start, _, at, size) in group.items():
+                for a, b, c, d in halves(ctx, at, size):
+                    deal = int.from_bytes(hashlib.blake2b(ctx[c : c + d], digest_size=8).digest(), "little", signed=True)
+                    out.append((deal, ctx[a:b], first, key, start + a, start + b, c - a, d))
             group.clear()
 
         def told() -> pa.RecordBatch:
-            nonlocal held
+            nonlocal held, n_dropped
             if rows:
-                out.extend((r[1], r[2] + a, r[2] + b, None, None) for r, starts in zip(rows, repeated_starts(contexts, rows), strict=True) for a, b in _runs(starts))
-            contexts.clear(), rows.clear()
-            held = 0
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["key", "start", "stop", "first", "digest"])
-            out.clear()
+                for (first, key, start, *_), starts in zip(rows, repeated_starts(contexts, rows), strict=True):
+                    if len(starts):
+                        dropped.setdefault((first, key), []).extend((start + a, start + b) for a, b in _runs(starts))
+            out.extend(_merged(dropped))
+            batch = _batch(out)
+            contexts.clear(), rows.clear(), dropped.clear(), out.clear()
+            held = n_dropped = 0
             return batch
 
         last = None
         for batch in batches:
-            for deal, ctx, first, key, start, stop in zip(*(batch[c].to_pylist() for c in ("deal", "ctx", "first", "key", "start", "stop")), strict=True):
+            columns = [batch[c].to_pylist() for c in _CONTEXT.names]
+            for deal, ctx, own in zip(*columns[:2], zip(*columns[2:], strict=True), strict=True):
                 if ctx is None:
-                    out.append((key, start, stop, None, None))
-                    continue
-                if deal != last:
-                    close()
-                    last, hot = deal, False
-                    if held > SORTED_BYTES:
-                        yield told()
-                own = (first, key, start)
-                earliest = group.setdefault(ctx, own)
-                if earliest != own:
-                    if own < earliest:
-                        group[ctx], own = own, earliest
-                    out.append((own[1], own[2], own[2] + len(ctx), None, None))
-                if hot or len(group) > HOT_CONTEXTS:
-                    strings()
-                    hot = True
-                if len(out) > 30_000:
+                    dropped.setdefault((own[0], own[1]), []).append((own[2], own[3]))
+                    n_dropped += 1
+                else:
+                    if deal != last:
+                        close()
+                        last, hot = deal, False
+                        if held > SORTED_BYTES:
+                            yield told()
+                    earliest = group.setdefault(ctx, own)
+                    if earliest != own:
+                        if own < earliest:
+                            group[ctx], own = own, earliest
+                        dropped.setdefault((own[0], own[1]), []).append((own[2], own[2] + len(ctx)))
+                        n_dropped += 1
+                    if hot or len(group) > HOT_CONTEXTS:
+                        split()
+                        hot = True
+                if len(out) + n_dropped > 30_000:
                     yield told()
         close()
         yield told()
 
-    return contexts.mapInArrow(make, "key binary, start int, stop int, first long, digest binary")
+    return contexts.mapInArrow(make, _CONTEXT_DDL)
 
 
 def _kept(texts: DataFrame) -> DataFrame:
@@ -322,11 +392,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = shared.groupBy("key").agg(F.collect_set("pos").alias("places"))
     wanted = staged(places.join(earliest, "key"))
     chosen = staged(texts.join(wanted, "key").where("rank = first").select("key", "first", "text", "places"))
-    repeats = staged(_repeats(_contexts(chosen).repartition("deal").sortWithinPartitions("deal")))
-    strings = repeats.where("digest IS NOT NULL")
-    heads = strings.groupBy("digest").agg(F.min(F.struct("first", "key", "start")).alias("head"))
-    later = strings.join(heads, "digest").where(F.struct("first", "key", "start") != F.col("head"))
-    ranges = repeats.where("digest IS NULL").select("key", "start", "stop").union(later.select("key", "start", "stop"))
+    dealt, ranges = _contexts(chosen), None
+    while True:  # a round for each time that hot anchors are split, seven at most
+        found = staged(_repeats(dealt.repartition("deal").sortWithinPartitions("deal")))
+        told = found.where("ctx IS NULL").select("key", "start", "stop")
+        ranges = ranges.union(told) if ranges else told
+        dealt = found.where("ctx IS NOT NULL")
+        if dealt.isEmpty():
+            break
     found = _kept(chosen.select("key", "text").join(ranges.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "key"))
     found = found.dropDuplicates(["key"])
     whole = texts.select("doc_id", "rank", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
