@@ -1,16 +1,21 @@
-"""Secret scans: a trigram index decides which rules run on which text.
+"""Secret scans: a trigram inverted index decides which rules run on which text.
 
 From each rule's regular expression a Boolean query over trigrams is derived: a
-text that matches the rule must satisfy it. The postings of the rules' trigrams
-(which texts hold them, letters in lower case) are intersected as the query says,
-and only candidates are verified with the regular expression. Rules without a
-mandatory trigram scan every text. Postings are kept with the row, as one flag a
-trigram, so intersecting them moves no text between machines; ``trigram_postings``
-gives the same index as a table.
+text that matches the rule must satisfy it. The inverted index lists, for every
+trigram that some query asks for, the ids of the texts that hold it (letters in
+lower case). The postings of a query are intersected and united by id as it says,
+which gives each rule's candidates; only these are verified with the regular
+expression. Rules without a mandatory trigram scan every text.
+
+Only ids and trigrams are shuffled. The candidates, ids with the rules to run, meet
+the texts by a broadcast while they are few (counted first), else by a shuffled join.
 
 Cases: a null text counts as empty and has no spans; whole texts are scanned,
-however long; repeated rows are each scanned; an empty table gives an empty result;
-other columns of the input are ignored, whatever their names.
+however long (offsets take time with the power 1.5 of a text's matches); repeated
+rows and rows of one id, null ones too, are each scanned, by the candidates of their
+id taken together, which changes no result; spans that begin together are told in
+the order of the rules; an empty table gives an empty result; other columns of the
+input are ignored by scan_secrets and kept by with_secrets, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +28,13 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm.common import read, text_of
+from landloom.llm.common import read, staged, text_of
 from landloom.llm.spans import counted, listed, located, no_spans
 
 #: Alternatives that are multiplied out for one stretch of literal text.
 MAX_STRINGS = 32
+#: Candidates (an id and rule numbers each) that may be broadcast; more of them are joined by a shuffle.
+BROADCAST_CANDIDATES = 500_000
 
 
 @dataclass(frozen=True)
@@ -140,27 +147,39 @@ def candidate(query, has: Callable[[str], Column]) -> Column:
     return out
 
 
-def trigram_postings(docs: DataFrame, rules: list[SecretRule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The inverted index as a table: (trigram, id), of the trigrams that the rules ask for."""
+def trigram_postings(docs: DataFrame, rules: list[SecretRule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The inverted index: (trigram, id), of the trigrams that the rules ask for, one row for each text that holds one."""
     wanted = sorted(set().union(*(query_trigrams(trigram_query(r.regex)) for r in rules)))
-    low = F.lower(text_of(text_col))
-    return docs.select(F.explode(F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted]), lambda t: t.isNotNull())).alias("trigram"), id_col)
-
-
-def secret_spans(text: Column, low: Column, rules: list[SecretRule] = RULES) -> Column:
-    """Spans of all rules, those of a rule whose trigram query fails skipped. low: the text in lower case."""
-    found = []
+    texts = docs.select(F.col(id_col).alias("id"), F.lower(text_of(text_col)).alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted])) if wanted else F.array().cast("array<string>")
+    return texts.select(F.explode(held).alias("trigram"), "id")
+
+
+def rule_candidates(postings: DataFrame, rules: list[SecretRule] = RULES) -> DataFrame:
+    """id, run (numbers of the rules whose query the id's postings satisfy), of ids with such a rule."""
+    queries = {i: trigram_query(r.regex) for i, r in enumerate(rules)}
+    held = postings.groupBy("id").agg(F.collect_set("trigram").alias("held"))  # as many as the rules have trigrams at most
+    fits = [F.when(candidate(q, lambda t: F.array_contains("held", F.lit(t))), F.lit(i)) for i, q in queries.items() if q is not True]
+    return held.select("id", (F.array_compact(F.array(*fits)) if fits else F.array().cast("array<int>")).alias("run")).where(F.size("run") > 0)
+
+
+def with_secrets(docs: DataFrame, rules: list[SecretRule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with secrets, the spans with their text (a column of this name is replaced)."""
+    found = staged(rule_candidates(trigram_postings(docs, rules, id_col, text_col), rules))
+    few = found.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
+    rest = docs.drop("secrets").select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"))
+    met = rest.join(found.hint("broadcast" if few else "merge"), F.col("row_id").eqNullSafe(F.col("id")), "left")
+    text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
+    spans = []
     for rank, r in enumerate(rules):
-        spans = located(text, r.regex, r.kind, rank, r.keep)
-        query = trigram_query(r.regex)
-        found.append(spans if query is True else F.when(candidate(query, lambda t: F.contains(low, F.lit(t))), spans).otherwise(no_spans()))
-    return F.concat(*found)
+        own = located(text, r.regex, r.kind, rank, r.keep)
+        spans.append(own if trigram_query(r.regex) is True else F.when(F.array_contains("run", F.lit(rank)), own).otherwise(no_spans()))
+    return met.select("row.*", F.concat(*spans).alias("secrets"))
 
 
 def scan_secrets(docs: DataFrame, rules: list[SecretRule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id and secrets (spans with their text)."""
-    texts = docs.select(id_col, text_of(text_col).alias("text"))
-    return texts.withColumn("low", F.lower("text")).select(id_col, secret_spans(F.col("text"), F.col("low"), rules).alias("secrets"))
+    return with_secrets(docs.select(id_col, text_col), rules, id_col, text_col).select(id_col, "secrets")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
