@@ -16,7 +16,7 @@ from landloom.llm.decontamination import without_leaks
 from landloom.llm.languages import learn_prototypes, predict_languages
 from landloom.llm.mixing import mix_sources, word_count
 from landloom.llm.near_duplicates import keyed, text_classes
-from landloom.llm.secrets import secret_spans
+from landloom.llm.secrets import with_secrets
 from landloom.llm.spans import redacted
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,7 +47,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind of each secret in its place."""
-    found = docs.select(*COLUMNS).withColumn("low", F.lower("text")).withColumn("secrets", secret_spans(F.col("text"), F.col("low")))
+    found = with_secrets(docs.select(*COLUMNS))
     hit = F.coalesce(F.size("secrets") > 0, F.lit(False))
     text = F.when(hit, redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))
     return found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
