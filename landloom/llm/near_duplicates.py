@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landloom.llm.classes import components, joined_in_blocks, joining
 from landloom.llm.common import read, staged
 from landloom.llm.shingles import Words, mix, occurrence_labelled, shingles
 
@@ -173,21 +174,6 @@ def _verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     return judged.where("similarity > 0").select("a", "b")
 
 
-def components(links: DataFrame, vertices: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """id, root of every linked vertex: the least id it is connected with. Labels spread along links and jump to their label's label, until nothing changes."""
-    u, v = vertices
-    both = staged(links.select(F.col(u).alias("u"), F.col(v).alias("v")).union(links.select(F.col(v), F.col(u))).distinct())
-    labels = staged(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
-    while True:
-        near = both.join(labels, both.v == labels.id).groupBy(F.col("u").alias("id")).agg(F.min("root").alias("near"))
-        spread = labels.join(near, "id").select("id", "root", F.least("root", "near").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("root").alias("far"))
-        moved = staged(spread.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("next"), "root"))
-        if moved.where("next < root").isEmpty():
-            return labels
-        labels = moved.select("id", F.col("next").alias("root"))
-
-
 def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     """How many numbers each x shares with each y; none holds a number twice."""
     owners = [np.repeat(np.arange(len(side)), [len(v) for v in side]) for side in (xs, ys)]
@@ -232,40 +218,11 @@ def _candidates(pairs: DataFrame, sketches: DataFrame, threshold: float) -> Data
     return pairs.where((agreed >= LEAST_AGREED) & fit).select("a", "b")
 
 
-def _joined_in_blocks(met: DataFrame, roots: DataFrame, sketches: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
-    """a, b: classes (of roots: id, root) that links at the threshold or above join, of texts in large buckets of several classes.
-
-    Rows of the join are pairs of blocks. A pair of texts is left out if an earlier link of its pair of blocks has joined their classes.
-    """
-    rooted = met.where(F.col("n") > SMALL_BUCKET).join(roots, F.col("rep") == F.col("id"), "left").select(*BUCKET, "rep", F.coalesce("root", "rep").alias("root"))
-    rooted = staged(rooted.join(sketches, "rep"))
-    classes = rooted.groupBy(*BUCKET, "root").agg(F.count("*").alias("n"), F.sum("size").alias("kmers"))
-    mixed = classes.groupBy(*BUCKET).agg(F.max_by(F.struct("root", "n", "kmers"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("kmers").alias("kmers"), F.count("*").alias("classes")).where("classes > 1")
-    blocks = lambda n, kmers: F.ceil(F.greatest(n / BLOCK_TEXTS, kmers / BLOCK_KMERS)).cast("int")
-    mixed = mixed.select(*BUCKET, F.col("main.root").alias("main"), blocks(F.col("n"), F.col("kmers")).alias("blocks"), blocks(F.col("n") - F.col("main.n"), F.col("kmers") - F.col("main.kmers")).alias("open_blocks"))
-    members = rooted.join(staged(mixed), BUCKET)
-    number = lambda of: F.pmod(F.xxhash64("rep", F.lit(7)), F.col(of)).cast("int")
-    all_, open_ = members.withColumn("block", number("blocks")), members.where("root != main").withColumn("open_block", number("open_blocks"))
-    texts = lambda rows, *keys: rows.join(seqs, "rep").groupBy(*BUCKET, *keys).agg(F.collect_list(F.struct("rep", "root", "main", "size", "bands", "seq")).alias("texts"))
-    x = texts(open_, "open_block", "blocks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select(*BUCKET, "block", F.col("texts").alias("xs")).hint("merge")
-    y = texts(all_, "block").select(*BUCKET, "block", F.col("texts").alias("ys")).hint("merge")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links: set[tuple[int, int]] = set()
-            for row in range(batch.num_rows):
-                links.update(block_links(*(batch[c][row].as_py() for c in ("band", "xs", "ys")), threshold))
-            a, b = zip(*sorted(links), strict=True) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return x.join(y, [*BUCKET, "block"]).select("band", "xs", "ys").mapInArrow(verify, "a long, b long")
-
-
 def block_links(band: int, xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[int, int]]:
     """Classes joined by links of texts xs (outside the bucket's main class) with ys, of pairs that agree on this band's sketch, on another one, and on none before."""
     column = lambda side, name: np.array([t[name] for t in side])
-    same = column(xs, "bands")[:, None] == column(ys, "bands")[None]
+    bands = [np.array([t["payload"]["bands"] for t in side]) for side in (xs, ys)]
+    same = bands[0][:, None] == bands[1][None]
     size_x, size_y = column(xs, "size")[:, None], column(ys, "size")[None]
     met = same[:, :, band] & (same.sum(2) >= LEAST_AGREED) & ~same[:, :, :band].any(2) & (column(xs, "root")[:, None] != column(ys, "root")[None])
     met &= np.minimum(size_x, size_y) >= threshold * np.maximum(size_x, size_y) - 1e-6
@@ -273,23 +230,11 @@ def block_links(band: int, xs: list[dict], ys: list[dict], threshold: float) ->
     if not met.any():
         return []
     in_x, in_y = np.flatnonzero(met.any(1)), np.flatnonzero(met.any(0))
-    seq_x, seq_y = ({i: np.frombuffer(side[i]["seq"], np.uint64) for i in at.tolist()} for side, at in ((xs, in_x), (ys, in_y)))
+    seq_x, seq_y = ({i: np.frombuffer(side[i]["payload"]["seq"], np.uint64) for i in at.tolist()} for side, at in ((xs, in_x), (ys, in_y)))
     enough = shared_counts(list(seq_x.values()), list(seq_y.values())) >= (threshold / (1 + threshold) * (size_x + size_y) - 1e-9)[np.ix_(in_x, in_y)]
     met[np.ix_(in_x, in_y)] &= enough
-    joined: dict[int, int] = {}
-
-    def root_of(r: int) -> int:
-        while r in joined:
-            r = joined[r]
-        return r
-
-    links = []
-    for i, j in np.argwhere(met).tolist():
-        rx, ry = root_of(xs[i]["root"]), root_of(ys[j]["root"])
-        if rx != ry and aligned_similarity(seq_x[i], seq_y[j], threshold) > 0:
-            joined[rx] = ry
-            links.append((min(rx, ry), max(rx, ry)))
-    return links
+    pairs = [(xs[i]["root"], ys[j]["root"], (i, j)) for i, j in np.argwhere(met).tolist()]
+    return joining(pairs, lambda at: aligned_similarity(seq_x[at[0]], seq_y[at[1]], threshold) > 0)
 
 
 def _of_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -324,7 +269,11 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seqs = _sequences(_of_ids(texts, ids, "doc_id")).select(number().alias("rep"), "seq")
     seqs = staged(_of_ids(seqs, needed, "rep").groupBy("rep").agg(F.first("seq").alias("seq")))
     roots = components(staged(_verified(pairs, seqs, threshold)))
-    joined = components(staged(_joined_in_blocks(met, roots, sketches, seqs, threshold)))
+    large = met.where(F.col("n") > SMALL_BUCKET).join(roots, F.col("rep") == F.col("id"), "left").select(*BUCKET, "rep", F.coalesce("root", "rep").alias("root"))
+    payloads = sketches.join(seqs, "rep").select("rep", F.struct("bands", "seq").alias("payload"))
+    rooted = staged(large.join(sketches.select("rep", "size"), "rep"))
+    links = lambda band, value, xs, ys: block_links(band, xs, ys, threshold)
+    joined = components(staged(joined_in_blocks(rooted, payloads, BUCKET, BLOCK_TEXTS, BLOCK_KMERS, links)))
 
     classes = reps.select("key", "doc_id", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "doc_id", F.coalesce("root", "rep").alias("id"), F.col("root").isNotNull().alias("linked"))
     classes = classes.join(joined, "id", "left").select("key", "doc_id", F.coalesce("root", "id").alias("root"), (F.col("linked") | F.col("root").isNotNull()).alias("linked"))
