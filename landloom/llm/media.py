@@ -1,19 +1,25 @@
 """Copies in an image column by local descriptors.
 
-Corners (Harris) are found on a pyramid of scales; each gets the orientation of its
-patch's intensity centroid and BITS binary intensity tests, turned by it. Hamming
-tables (TABLES keys of KEY_BITS sampled bits for each descriptor) join images that
-agree on a key at least twice; of these pairs all descriptors are matched, and a
-pair is linked if MIN_VOTES of the matches agree on one scale, turn and shift.
-Classes are the connected components of the links.
-
-A key that up to SMALL_BUCKET images have pairs them all; one that more have pairs
-each with the least of them, so that the copies of an image meet in it.
+Corners (Harris) are found on a pyramid of scales, one for every CORNER_PIXELS pixels;
+each gets the orientation of its patch's intensity centroid and BITS binary intensity
+tests, turned by it. The two points of a test lie equally far along that orientation, so
+that none of its answers is the likelier one. Hamming tables (TABLES keys of KEY_BITS
+sampled bits for each descriptor) join images that agree on a key; of these pairs all
+descriptors are matched, and a pair is linked if enough of the matches agree on one
+scale, turn and shift (each match proposes one, the others vote). Classes are the
+connected components of the links.
+
+A key that up to SMALL_BUCKET images have pairs them all. One that more have pairs each
+with the least of them; what then is not one class is compared in blocks, every image
+outside the key's largest class with all members of other classes, so that no pair that
+agrees on a key is passed over.
 
 Cases: images equal in size and pixels are one class from the start; null or empty
 pixels, or sizes that don't fit them, have no corner and are alike to equal ones
-only; images smaller than a patch have no corner; rows with a null id are left out;
-an empty table gives an empty result; other columns are ignored.
+only; images smaller than a patch have no corner; pictures with a side over
+MAX_SIDE are halved until it fits; ties between corners go to the upper, then the left one; rows
+with a null id are left out; rows of one id are described by one picture of it; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,17 +32,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landloom.llm.classes import components, joined_in_blocks, joining
 from landloom.llm.common import read, staged
-from landloom.llm.near_duplicates import components
 
-CORNERS, SCALES, STEP = 12, 3, 1.4
-BITS, TABLES, KEY_BITS, RADIUS, TURNS = 256, 10, 24, 7, 24
-MAX_HAMMING, MIN_VOTES, SMALL_BUCKET = 48, 4, 32
+#: Pixels for each corner, corners of the smallest pictures, longest side that is described, and scales of the pyramid.
+CORNER_PIXELS, LEAST_CORNERS, MAX_SIDE, SCALES, STEP = 96, 12, 256, 3, 1.4
+BITS, TABLES, KEY_BITS, RADIUS, TURNS = 256, 12, 40, 7, 32
+MAX_HAMMING, SMALL_BUCKET = 48, 32
+#: Matches that agree in a link: so many, and this share of the corners of the picture with fewer of them.
+MIN_VOTES, VOTE_SHARE = 6, 0.1
+#: Images of a block of a key's holders, and corners.
+BLOCK_IMAGES, BLOCK_CORNERS = 64, 3_000
 #: Pixels that a worker works on at once.
 BATCH_PIXELS = 1_000_000
 
 _rng = np.random.default_rng(17)
-_TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS, RADIUS)
+_across = _rng.uniform(-RADIUS, RADIUS, (BITS, 2))
+_across[:, 1] = np.where(np.abs(_across[:, 0] - _across[:, 1]) < 2, -_across[:, 0], _across[:, 1])
+_TESTS = np.stack([np.repeat(_rng.uniform(2 - RADIUS, RADIUS - 2, (BITS, 1)), 2, 1), _across], -1)
 _angles = np.arange(TURNS) * 2 * np.pi / TURNS
 _TURNED = np.clip(np.rint(np.stack([np.stack([_TESTS[..., 0] * np.cos(a) - _TESTS[..., 1] * np.sin(a), _TESTS[..., 0] * np.sin(a) + _TESTS[..., 1] * np.cos(a)], -1) for a in _angles])), -RADIUS - 1, RADIUS + 1).astype(int)
 _SAMPLED = np.stack([_rng.choice(BITS, KEY_BITS, replace=False) for _ in range(TABLES)])
@@ -60,9 +73,12 @@ def _box(a: np.ndarray) -> np.ndarray:
 
 
 def describe(images: np.ndarray) -> list[dict[str, np.ndarray]]:
-    """Of each image of a stack (n, height, width): x, y (original pixels), scale, turn (radians) and bits of its corners, strongest first."""
+    """Of each image of a stack (n, height, width): x, y (pixels of the described picture), scale, turn (radians) and bits of its corners, strongest first."""
+    while max(images.shape[1:]) > MAX_SIDE and min(images.shape[1:]) > 1:
+        images = images[:, : images.shape[1] // 2 * 2, : images.shape[2] // 2 * 2]
+        images = (images[:, ::2, ::2] + images[:, 1::2, ::2] + images[:, ::2, 1::2] + images[:, 1::2, 1::2]) / 4
     found: list[list[tuple]] = [[] for _ in images]
-    margin = RADIUS + 2
+    margin, corners = RADIUS + 2, max(LEAST_CORNERS, images.shape[1] * images.shape[2] // CORNER_PIXELS)
     for level in range(SCALES):
         scale = STEP**level
         height, width = round(images.shape[1] / scale), round(images.shape[2] / scale)
@@ -87,7 +103,7 @@ def describe(images: np.ndarray) -> list[dict[str, np.ndarray]]:
         order = np.lexsort((x, y, -strength, which))
         which, y, x, strength = which[order], y[order] + margin, x[order] + margin, strength[order]
         place = np.arange(len(which)) - np.searchsorted(which, which)
-        top = place < CORNERS
+        top = place < corners
         which, y, x, strength = which[top], y[top], x[top], strength[top]
         patch = im[which[:, None], y[:, None] + _DISC[:, 1], x[:, None] + _DISC[:, 0]]
         turn = np.arctan2(patch @ _DISC[:, 1], patch @ _DISC[:, 0])
@@ -98,7 +114,7 @@ def describe(images: np.ndarray) -> list[dict[str, np.ndarray]]:
             found[w].append((-strength[i] * scale, x[i] * scale, y[i] * scale, scale, turn[i], bits[i]))
     out = []
     for rows in found:
-        rows = sorted(rows, key=lambda r: r[:4])[:CORNERS]
+        rows = sorted(rows, key=lambda r: r[:4])[:corners]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         out.append({"x": np.array(cols[1]), "y": np.array(cols[2]), "scale": np.array(cols[3]), "turn": np.array(cols[4]), "bits": np.array(cols[5], bool).reshape(len(rows), BITS)})
     return out
@@ -106,8 +122,8 @@ def describe(images: np.ndarray) -> list[dict[str, np.ndarray]]:
 
 def hamming_keys(bits: np.ndarray) -> np.ndarray:
     """Keys of every descriptor, one a table; the table stands in the high bits."""
-    values = (bits[:, _SAMPLED] * (1 << np.arange(KEY_BITS))).sum(2)
-    return values + (np.arange(TABLES) << KEY_BITS)
+    values = (bits[:, _SAMPLED] * (1 << np.arange(KEY_BITS, dtype=np.int64))).sum(2)
+    return values + (np.arange(TABLES, dtype=np.int64) << KEY_BITS)
 
 
 def agreeing(a: dict, b: dict) -> int:
@@ -117,16 +133,30 @@ def agreeing(a: dict, b: dict) -> int:
     distance = np.bitwise_count(a["words"][:, None] ^ b["words"][None]).sum(2, dtype=int)
     nearest = distance.argmin(1)
     i = np.flatnonzero((distance[np.arange(len(nearest)), nearest] <= MAX_HAMMING) & (distance.argmin(0)[nearest] == np.arange(len(nearest))))
+    if len(i) < MIN_VOTES:
+        return len(i)
     p, q = a["geometry"][i], b["geometry"][nearest[i]]
-    turn, scale = q[:, 3] - p[:, 3], q[:, 2] / p[:, 2] if len(i) else np.empty(0)
-    best = 0
-    for t, s in zip(turn, scale, strict=True):  # each match proposes a transform, the others vote
-        c, d = s * np.cos(t), s * np.sin(t)
-        moved = q[:, :2] - np.stack([c * p[:, 0] - d * p[:, 1], d * p[:, 0] + c * p[:, 1]], 1)
-        alike = (np.abs(np.log(scale / s)) < 0.4) & (np.abs((turn - t + np.pi) % (2 * np.pi) - np.pi) < 0.4)
-        for shift in moved[alike]:
-            best = max(best, int((alike & (np.abs(moved - shift).max(1) < 5)).sum()))
-    return best
+    turn, scale = q[:, 3] - p[:, 3], np.log(q[:, 2] / p[:, 2])
+    c, d = np.exp(scale) * np.cos(turn), np.exp(scale) * np.sin(turn)
+    moved = q[None, :, :2] - np.stack([c[:, None] * p[:, 0] - d[:, None] * p[:, 1], d[:, None] * p[:, 0] + c[:, None] * p[:, 1]], 2)
+    own = moved[np.arange(len(i)), np.arange(len(i))]
+    agree = (np.abs(scale - scale[:, None]) < 0.4) & (np.abs((turn - turn[:, None] + np.pi) % (2 * np.pi) - np.pi) < 0.4)
+    return int((agree & (np.abs(moved - own[:, None]).max(2) < 5)).sum(1).max())
+
+
+def _shape(geometry: bytes, words: bytes) -> dict:
+    return {"geometry": np.frombuffer(geometry, np.float32).reshape(-1, 4), "words": np.frombuffer(words, np.uint64).reshape(-1, BITS // 64)}
+
+
+def linked(a: dict, b: dict) -> bool:
+    return agreeing(a, b) >= max(MIN_VOTES, VOTE_SHARE * min(len(a["words"]), len(b["words"])))
+
+
+def block_links(xs: list[dict], ys: list[dict]) -> list[tuple[int, int]]:
+    """Classes joined by links of images xs (outside the key's main class) with ys."""
+    shapes = [[_shape(t["payload"]["geometry"], t["payload"]["words"]) for t in side] for side in (xs, ys)]
+    pairs = [(x["root"], y["root"], (i, j)) for i, x in enumerate(xs) for j, y in enumerate(ys) if x["root"] != y["root"] and (y["root"] == y["main"] or x["rep"] < y["rep"])]
+    return joining(pairs, lambda at: linked(shapes[0][at[0]], shapes[1][at[1]]))
 
 
 def image_features(images: DataFrame) -> DataFrame:
@@ -155,52 +185,54 @@ def image_features(images: DataFrame) -> DataFrame:
 
 
 def image_copies(images: DataFrame) -> DataFrame:
-    """image_id, class_id (the least image_id of its class), n_links (images that it is linked with, equal ones apart)."""
+    """image_id, class_id (the least image_id of its class)."""
     images = images.where("image_id IS NOT NULL")
     table = staged(images.select("image_id", F.md5(F.concat_ws(":", F.col("width"), F.col("height"), F.hex("pixels"))).alias("key")))
     reps = staged(table.groupBy("key").agg(F.min("image_id").alias("rep")))
     kept = reps.select(F.col("rep").alias("image_id"))
-    feats = staged(image_features(images.join(kept, "image_id", "left_semi").dropDuplicates(["image_id"])))
-    entries = feats.select("image_id", F.explode("keys").alias("table_key"))
-    crowds = entries.groupBy("table_key").agg(F.count("*").alias("n"), F.min("image_id").alias("least")).where("n > 1")
+    feats = staged(image_features(images.join(kept, "image_id", "left_semi").dropDuplicates(["image_id"])).withColumnRenamed("image_id", "rep"))
+    entries = feats.select("rep", F.explode("keys").alias("table_key"))
+    crowds = entries.groupBy("table_key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
     met = staged(entries.join(crowds, "table_key"))
     small, large = met.where(F.col("n") <= SMALL_BUCKET), met.where(F.col("n") > SMALL_BUCKET)
-    x, y = (small.select("table_key", F.col("image_id").alias(c)) for c in "ab")
-    hits = x.join(y, "table_key").where("a < b").select("a", "b").union(large.where("image_id > least").select(F.col("least").alias("a"), F.col("image_id").alias("b")))
-    pairs = hits.groupBy("a", "b").agg(F.count("*").alias("hits")).where("hits > 1").select("a", "b")
+    x, y = (small.select("table_key", F.col("rep").alias(c)) for c in "ab")
+    pairs = x.join(y, "table_key").where("a < b").select("a", "b").union(large.where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = lambda g, w: {"geometry": np.frombuffer(g, np.float32).reshape(-1, 4), "words": np.frombuffer(w, np.uint64).reshape(-1, BITS // 64)}
         for batch in batches:
-            votes = [agreeing(shape(*r[:2]), shape(*r[2:])) for r in zip(*(batch[c].to_pylist() for c in ("ga", "wa", "gb", "wb")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(votes, pa.int32())], ["a", "b", "votes"])
+            found = [linked(_shape(*r[:2]), _shape(*r[2:])) for r in zip(*(batch[c].to_pylist() for c in ("ga", "wa", "gb", "wb")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.bool_())], ["a", "b", "linked"])
 
-    sides = [feats.select(F.col("image_id").alias(c), F.col("geometry").alias(f"g{c}"), F.col("words").alias(f"w{c}")) for c in "ab"]
-    judged = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "ga", "wa", "gb", "wb").mapInArrow(verify, "a long, b long, votes int")
-    links = staged(judged.where(F.col("votes") >= MIN_VOTES).select("a", "b"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    labels = components(links).select(F.col("id").alias("rep"), F.col("root").alias("label"))
-    classes = reps.join(labels, "rep", "left").join(degree, "rep", "left").select("key", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return table.join(classes, "key").select("image_id", "class_id", "n_links")
+    sides = [feats.select(F.col("rep").alias(c), F.col("geometry").alias(f"g{c}"), F.col("words").alias(f"w{c}")) for c in "ab"]
+    judged = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "ga", "wa", "gb", "wb").mapInArrow(verify, "a long, b long, linked boolean")
+    roots = components(staged(judged.where("linked").select("a", "b")))
+    sizes = feats.select("rep", (F.octet_length("words") / (BITS // 8)).alias("size"))
+    rooted = large.join(roots, F.col("rep") == F.col("id"), "left").select("table_key", "rep", F.coalesce("root", "rep").alias("root")).join(sizes, "rep")
+    payloads = feats.select("rep", F.struct("geometry", "words").alias("payload"))
+    joined = components(staged(joined_in_blocks(staged(rooted), payloads, ["table_key"], BLOCK_IMAGES, BLOCK_CORNERS, lambda _, xs, ys: block_links(xs, ys))))
+    classes = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("id"))
+    classes = classes.join(joined, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
+    return table.join(classes, "key").select("image_id", "class_id")
 
 
-def pictures(vectors: DataFrame, side: int = 48) -> DataFrame:
-    """Grey pictures of vectors (vec_id, embedding): components as tiles of a square, smoothly enlarged. Vectors that are null or empty have no pixels."""
+def pictures(vectors: DataFrame, tiles: int = 24, pixels: int = 2) -> DataFrame:
+    """Grey pictures of vectors (vec_id, embedding): a square of tiles, each a fixed random mixture of the components. Vectors that are null or empty have no pixels."""
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixtures: dict[int, np.ndarray] = {}
         for batch in batches:
             out = []
             for v in batch["embedding"].to_pylist():
                 if not v:
                     out.append(None)
                     continue
-                n = int(np.ceil(np.sqrt(len(v))))
-                tiles = np.zeros(n * n)
-                tiles[: len(v)] = np.nan_to_num(np.array(v, float))
-                low, high = tiles.min(), tiles.max()
-                tiles = (tiles - low) / (high - low if high > low else 1) * 255
-                out.append(np.rint(resized(tiles.reshape(1, n, n), side, side)).astype(np.uint8).tobytes())
-            size = pa.array([side] * len(out), pa.int32())
+                if len(v) not in mixtures:
+                    mixtures[len(v)] = np.random.default_rng(5).normal(size=(tiles * tiles, len(v)))
+                shade = mixtures[len(v)] @ np.nan_to_num(np.array(v, float))
+                low, high = shade.min(), shade.max()
+                shade = np.rint((shade - low) / (high - low if high > low else 1) * 255).astype(np.uint8)
+                out.append(shade.reshape(tiles, tiles).repeat(pixels, 0).repeat(pixels, 1).tobytes())
+            size = pa.array([tiles * pixels] * len(out), pa.int32())
             yield pa.RecordBatch.from_arrays([batch["vec_id"], size, size, pa.array(out, pa.binary())], ["image_id", "width", "height", "pixels"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(paint, "image_id long, width int, height int, pixels binary")
