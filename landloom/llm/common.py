@@ -35,9 +35,11 @@ def text_of(column: str = "text") -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
-    """About `bound` rows at most, chosen by a hash of the key, the same on every run."""
+    """Different rows of df, about `bound` of them at most, chosen by a hash of the key and the row, the same on every run.
+
+    Rows of one key are chosen apart and equal rows count once, so that no repeated key or row exceeds the bound."""
     n = df.count()
-    if n <= bound:
-        return df
-    share = int(bound / n * 1_000_000)
-    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1_000_000)) < share)
+    if n > bound:
+        share = int(bound / n * 1_000_000)
+        df = df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed), *df.columns), F.lit(1_000_000)) < share)
+    return df.dropDuplicates()

@@ -13,9 +13,11 @@ Items come to the tasks in blocks of ITEM_BLOCK, one pass each, so what is broad
 is bounded whatever the benchmark's size.
 
 Cases: null or wordless texts and items match nothing; items of fewer than five
-words have one shingle of all their words; repeated items are each reported;
-repeated rows of docs are each judged; empty tables give an empty result; other
-columns are ignored.
+words have one shingle of all their words; items of one id and different texts are each
+reported, rows equal in both are one item; of windows of one similarity the first is
+told; repeated rows of docs are each judged; whole texts are searched, however long;
+rows of a null item_id are left out; empty tables give an empty result; other columns
+are ignored by find_leaks and kept by without_leaks, whatever their names.
 """
 
 from __future__ import annotations
@@ -116,7 +118,7 @@ class ItemIndex:
 
 def _index_passes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
     """The items' indexes by words of a shingle, one broadcast for each block of items."""
-    items = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    items = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).distinct()
     passes = -(-items.count() // ITEM_BLOCK)
     for number in range(passes):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number) if passes > 1 else items

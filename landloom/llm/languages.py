@@ -1,17 +1,23 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A trigram's vector binds its letters'
-vectors, permuted by their place, by multiplication; a text's vector bundles its
-trigrams' vectors by addition. A language's prototype bundles the texts learned for
-it; a text gets the language whose prototype has the highest cosine with it.
-
-Cases: null texts and texts without a letter are ``und`` with score 0; ties go to
-the language first by code point; repeated rows are each judged; without a row to
-learn from every text is ``und``; an empty table gives an empty result.
+Each letter has a random vector of +1 and -1, made from its code point. A trigram's
+vector binds its letters' vectors, permuted by their place, by multiplication; a text's
+vector bundles its trigrams' vectors by addition. A language's prototype bundles the
+texts learned for it; a text gets the language whose prototype has the highest cosine
+with it.
+
+Cases: null texts and texts without a letter are ``und`` with score 0, as are texts at
+no positive cosine to any prototype; whole texts are read, however long; ties go to
+the language first by code point; repeated rows are each judged (but learned from
+once); of more than MAX_LANGUAGES languages those with most learning documents are
+learned, ties by code point; without a row to learn from every text is ``und``; an
+empty table gives an empty result; columns named lang_pred and score are replaced,
+others kept, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landloom.llm.common import bounded_sample, read
+from landloom.llm.common import bounded_sample, read, staged
 
 DIMENSIONS = 512
-#: Letters are told apart by their code point modulo a prime; 0 stands for the gap between words.
-SLOTS = 509
+#: Bits of a code point in a trigram's code; 0 stands for the gap between words.
+POINT = 21
 #: Labelled documents that prototypes are learned from, at most (chosen by a hash of doc_id).
 LEARN_ROWS = 20_000
-#: Languages that may be learned.
+#: Languages that are learned, at most.
 MAX_LANGUAGES = 1_000
 #: Rows that a worker turns into vectors at once, and trigram vectors it keeps.
 BATCH, KEPT = 256, 60_000
@@ -37,13 +43,19 @@ class Encoder:
     """Vectors of texts; keeps the trigram vectors it has made."""
 
     def __init__(self, seed: int = 7) -> None:
-        self.letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SLOTS, DIMENSIONS))
+        self.seed = seed
         self._clear()
 
     def _clear(self) -> None:
+        self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
         self.table = np.empty((1024, DIMENSIONS), np.float32)
 
+    def letter(self, point: int) -> np.ndarray:
+        if (v := self.letters.get(point)) is None:
+            v = self.letters[point] = np.random.default_rng((self.seed, point)).choice(np.array([-1, 1], np.int8), DIMENSIONS)
+        return v
+
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the letter trigrams of a text and how often each occurs."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -54,9 +66,9 @@ class Encoder:
         known &= (points != 0xD7) & (points != 0xF7) & ~((points >= 0xAB) & (points <= 0xBF) & (points != 0xB5) & (points != 0xBA))
         if not known.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        slots = np.where(known, points % (SLOTS - 1) + 1, 0).astype(np.int64)
+        slots = np.where(known, points, 0).astype(np.int64)
         slots = np.concatenate([[0], slots[(slots > 0) | np.concatenate([[True], slots[:-1] > 0])], [0]])
-        return np.unique((slots[:-2] * SLOTS + slots[1:-1]) * SLOTS + slots[2:], return_counts=True)
+        return np.unique(slots[:-2] << 2 * POINT | slots[1:-1] << POINT | slots[2:], return_counts=True)
 
     def rows_of(self, codes: np.ndarray) -> np.ndarray:
         if len(self.rows) > KEPT:
@@ -64,8 +76,8 @@ class Encoder:
         missing = [c for c in codes.tolist() if c not in self.rows]
         if missing:
             new = np.array(missing)
-            a, b, c = new // (SLOTS * SLOTS), new // SLOTS % SLOTS, new % SLOTS
-            made = np.roll(self.letters[a], 2, 1) * np.roll(self.letters[b], 1, 1) * self.letters[c]
+            a, b, c = (np.stack([self.letter(p) for p in (new >> shift & (1 << POINT) - 1).tolist()]) for shift in (2 * POINT, POINT, 0))
+            made = np.roll(a, 2, 1) * np.roll(b, 1, 1) * c
             start = len(self.rows)
             while start + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
@@ -77,8 +89,8 @@ class Encoder:
         codes, counts = self.trigrams(text or "")
         if not len(codes):
             return None
-        rows = self.rows_of(codes)
-        return counts.astype(np.float32) @ self.table[rows]
+        parts = (slice(i, i + KEPT // 4) for i in range(0, len(codes), KEPT // 4))
+        return sum(counts[part].astype(np.float32) @ self.table[rows] for part in parts for rows in [self.rows_of(codes[part])])
 
 
 def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bound: int = LEARN_ROWS, key: str = "doc_id") -> tuple[list[str], np.ndarray]:
@@ -86,19 +98,18 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     sample = bounded_sample(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(key, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), key, bound, 11)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sums = Encoder(), {}
+        encoder, sums, counts = Encoder(), {}, Counter()
         for batch in batches:
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 if (v := encoder.vector(text)) is not None:
-                    sums[lang] = sums.get(lang, 0) + v.astype(np.float64) / np.linalg.norm(v)
+                    sums[lang] = sums.get(lang, 0) + v.astype(np.float64) / max(float(np.linalg.norm(v)), 1e-12)
+                    counts[lang] += 1
         if sums:
-            yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": [x.round(6).tolist() for x in sums.values()]}, pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
+            yield pa.RecordBatch.from_pydict({"lang": list(sums), "n": [counts[lang] for lang in sums], "v": [x.round(6).tolist() for x in sums.values()]}, pa.schema([("lang", pa.string()), ("n", pa.int64()), ("v", pa.list_(pa.float64()))]))
 
-    parts = sample.select("text", "lang").mapInArrow(bundle, "lang string, v array<double>")
-    rows = parts.select("lang", F.posexplode("v").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum(F.col("x").cast("decimal(20,6)")).alias("x")).limit(MAX_LANGUAGES * DIMENSIONS + 1).collect()
-    langs = sorted({r["lang"] for r in rows})
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    parts = staged(sample.select("text", "lang").mapInArrow(bundle, "lang string, n long, v array<double>"))
+    langs = sorted(r["lang"] for r in parts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
+    rows = parts.where(F.col("lang").isin(langs)).select("lang", F.posexplode("v").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum(F.col("x").cast("decimal(20,6)")).alias("x")).collect()
     out = np.zeros((len(langs), DIMENSIONS), np.float32)
     place = {lang: i for i, lang in enumerate(langs)}
     for r in rows:
@@ -124,7 +135,7 @@ def predict_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray,
                     else:
                         cosines = prototypes @ v / max(float(np.linalg.norm(v)), 1e-12)
                         best = int(np.argmax(cosines))
-                        names.append(langs[best]), scores.append(min(1.0, max(0.0, float(cosines[best]))))
+                        names.append(langs[best] if cosines[best] > 0 else "und"), scores.append(min(1.0, max(0.0, float(cosines[best]))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return rest.mapInArrow(judge, T.StructType([*rest.schema.fields]).add("lang_pred", "string").add("score", "double"))

@@ -10,8 +10,9 @@ and source) documents follow in a seeded order; the first pass takes them until
 quota's tokens are reached, the last one in part, and a quota above the cell's size
 begins a second pass.
 
-Cases: a null text has size 0, its document takes nothing; the null source is a
-source of its own, the last; ties in the seeded order are broken by id and size, so
+Cases: a null or empty text has size 0, its document takes nothing, and a source of such
+texts has target 0; whole texts are counted, however long; the null source is a source
+of its own, the last; rows that repeat a doc_id are each mixed; ties in the seeded order are broken by id and size, so
 that reruns agree (rows alike in all of these are interchangeable); an empty table
 gives an empty result; other columns of the input are ignored, whatever their names.
 """
@@ -27,8 +28,8 @@ from landloom.llm.common import read, staged, text_of
 DOCS_PER_SHARD = 512
 #: Weights of the sources in order, repeating (fixed values of the task).
 WEIGHTS = (3, 1, 2)
-#: Sources whose totals may come to the driver.
-MAX_SOURCES = 100_000
+#: Sources whose targets are broadcast; more of them are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 #: A document is taken so many times at most.
 MAX_REPEATS = 2
 
@@ -37,38 +38,36 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def source_targets(sizes: dict, weights: dict, share: float, most: float = MAX_REPEATS) -> dict:
-    """Each source's target: share of all sizes by weight, what exceeds most times a source's size reshared by weight until none is above."""
-    left, open_, out = share * sum(sizes.values()), list(sizes), {}
-    while open_:
-        whole = sum(weights[s] for s in open_)
-        full = [s for s in open_ if left * weights[s] / whole > most * sizes[s]]
-        if not full:
-            return out | {s: left * weights[s] / whole for s in open_}
-        for s in full:
-            out[s] = float(most * sizes[s])
-        left -= sum(out[s] for s in full)
-        open_ = [s for s in open_ if s not in out]
-    return out
+def source_targets(totals: DataFrame, weights: tuple, share: float, most: int = MAX_REPEATS) -> DataFrame:
+    """source, source_size and target of totals (source, size): share of all sizes by weight (repeating, in order of the sources, null last),
+    what exceeds most times a source's size reshared by weight until none is above.
+
+    Sources fill up in order of their size to their weight; before each, what is left is
+    shared by those that are not full. One task sees a row for each source.
+    """
+    number = F.row_number().over(Window.orderBy(F.isnull("source"), "source"))
+    weighted = totals.withColumn("number", number).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("number") - 1) % len(weights) + 1).cast("double"))
+    filling, all_ = Window.orderBy(F.col("size") / F.col("weight"), "number"), Window.partitionBy()
+    earlier = filling.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    level = (share * F.sum("size").over(all_) - most * so_far("size")) / (F.sum("weight").over(all_) - so_far("weight"))
+    placed = weighted.select("source", "size", "weight", F.row_number().over(filling).alias("at"), level.alias("level")).withColumn("full", F.col("level") * F.col("weight") > most * F.col("size"))
+    last = F.min(F.when(~F.col("full"), F.struct("at", "level"))).over(all_)["level"]
+    return placed.select("source", F.col("size").alias("source_size"), F.coalesce(F.least(last * F.col("weight"), F.lit(most) * F.col("size")), F.lit(most) * F.col("size")).cast("double").alias("target"))
 
 
 def mix_sources(sized: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, seed: int = 42, carried: str | None = None) -> DataFrame:
     """sized: doc_id, source, size (long). Adds source_size, target and taken (tokens of the document in the mix, repeats counted). A column carried goes on with its row and tells apart rows of one doc_id."""
-    spark = sized.sparkSession
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    order = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = {r["source"]: r["size"] for r in order}
-    targets = source_targets(sizes, {r["source"]: weights[i % len(weights)] for i, r in enumerate(order)}, share)
-    table = spark.createDataFrame([(s, sizes[s], float(targets[s])) for s in sizes], "source string, source_size long, target double")
-    shards = max(1, -(-sum(r["n"] for r in order) // DOCS_PER_SHARD))
+    totals = staged(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    table = staged(source_targets(totals, weights, share))
+    sources, rows = totals.agg(F.count("*"), F.sum("n")).first()
+    shards = max(1, -(-(rows or 0) // DOCS_PER_SHARD))
 
     tie = ["tie"] if carried else []
     sized = sized.withColumn("tie", F.xxhash64(carried)) if carried else sized
     spread = F.xxhash64(F.col("doc_id"), F.lit(seed), *tie)
     dealt = sized.withColumn("draw", spread).withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int"))
-    known = F.broadcast(table) if len(order) <= 10_000 else table
+    known = F.broadcast(table) if sources <= BROADCAST_SOURCES else table
     cells = dealt.groupBy("shard", "source").agg(F.sum("size").alias("cell"))
     cells = cells.join(known.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     reached = F.sum("cell").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -2,14 +2,17 @@
 
 Features of a text are the hashes of its words, word pairs, word shapes (runs of
 capitals, small letters, digits, marks) and shape pairs, valued by the square root
-of their count and scaled to unit length. Shards of the learning sample are learned
-side by side by FTRL-proximal, one example after another, and their weights
-averaged. A score is the logistic of a sparse dot product.
-
-Cases: null and empty texts have no feature and score by the bias alone; labels
-other than 0 and 1 are not learned from; if a document has several labels each
-counts; repeated rows are each scored; an empty table gives an empty result; without
-labels every score is 0.5.
+of their count and scaled to unit length. SHARDS shards of the learning sample, each a
+group of its own, are learned side by side by FTRL-proximal, one example after another
+in a seeded order, and their weights averaged. A score is the logistic of a sparse dot
+product.
+
+Cases: null and empty texts have no feature and score by the bias alone; whole texts
+are read, however long; labels other than 0 and 1 are not learned from; if a document
+has several labels each counts; examples that tie in the seeded order are equal in id
+and text and follow by label; repeated rows are each scored; an empty table gives an empty result;
+without labels every score is 0.5; other columns are kept or ignored, whatever their
+names (score is replaced).
 """
 
 from __future__ import annotations
@@ -97,20 +100,19 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
 
 
 def learn_quality(labelled: DataFrame, bound: int = LEARN_ROWS) -> np.ndarray:
-    """labelled: doc_id, text, label. One task learns a shard of bound / SHARDS rows; the weights (2^18 numbers a shard) are averaged here."""
+    """labelled: doc_id, text, label. A group for each shard, of bound / SHARDS rows or so; the weights (2^18 numbers a shard) are averaged here."""
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, rows = Features(), []
-        for batch in batches:
-            rows += zip(batch["draw"].to_pylist(), map(features, batch["text"].to_pylist()), batch["label"].to_pylist(), strict=True)
-        if rows:
-            rows.sort(key=lambda r: r[0])
-            yield pa.RecordBatch.from_pydict({"n": [len(rows)], "w": [ftrl([(*f, label) for _, f, label in rows]).astype(np.float32).tobytes()]}, pa.schema([("n", pa.int64()), ("w", pa.binary())]))
+    def learn(rows: pa.Table) -> pa.Table:
+        features = Features()
+        examples = sorted(zip(rows["draw"].to_pylist(), rows["label"].to_pylist(), rows["text"].to_pylist(), strict=True), key=lambda r: r[:2])
+        weights = ftrl([(*features(text), label) for _, label, text in examples]).astype(np.float32)
+        return pa.table({"shard": rows["shard"][:1], "n": pa.array([len(examples)], pa.int64()), "w": pa.array([weights.tobytes()], pa.binary())})
 
-    dealt = labelled.withColumn("draw", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(3))).select("draw", "text", "label")
-    parts = dealt.repartition(SHARDS, F.pmod("draw", F.lit(SHARDS))).mapInArrow(learn, "n long, w binary").collect()
+    dealt = labelled.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("draw"), F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    dealt = dealt.withColumn("shard", F.pmod("draw", F.lit(SHARDS)).cast("int"))
+    parts = dealt.groupBy("shard").applyInArrow(learn, "shard int, n long, w binary").collect()
     whole = np.zeros((1 << BITS) + 1)
-    for r in sorted(parts, key=lambda r: (r["n"], bytes(r["w"]))):
+    for r in sorted(parts, key=lambda r: r["shard"]):
         whole += np.frombuffer(r["w"], np.float32) * r["n"] / sum(p["n"] for p in parts)
     return whole.astype(np.float32)
 
