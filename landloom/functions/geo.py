@@ -104,3 +104,43 @@ def covers(ring: Column, x: Column, y: Column) -> Column:
 def haversine_miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
     return 2 * 3958.8 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+
+
+#: Fixed values of the WGS 84 ellipsoid: its half axis and eccentricity.
+HALF_AXIS, ECCENTRICITY = 6378137.0, 0.0818191908426215
+
+
+def geodesic_area(geometry: Column) -> Column:
+    """Square metres on the ellipsoid of polygons in Web Mercator metres; edges run straight in an equal-area projection. Holes count off."""
+
+    def strip(y: Column) -> Column:  # twice the area under a parallel, for a turn of one radian, in half axes squared
+        s = F.sin(F.radians(lat_of(y)))
+        es = ECCENTRICITY * s
+        return (1 - ECCENTRICITY**2) * (s / (1 - es * es) - F.ln((1 - es) / (1 + es)) / (2 * ECCENTRICITY))
+
+    def of(ring: Column) -> Column:
+        edges = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i + 1).alias("b")))
+        turn = lambda e: (e["b"]["x"] - e["a"]["x"]) / EARTH_RADIUS
+        return F.abs(F.aggregate(edges, F.lit(0.0), lambda s, e: s + turn(e) * (strip(e["a"]["y"]) + strip(e["b"]["y"])) / 2)) * (HALF_AXIS**2 / 2)
+
+    polygon = lambda rings: F.aggregate(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), of(rings[0]), lambda s, ring: s - of(ring))
+    return F.aggregate(geometry, F.lit(0.0), lambda s, rings: s + polygon(rings))
+
+
+def parsed_geometry(kind: Column, coordinates: Column) -> Column:
+    """A GeoJSON geometry's coordinates (as text) as polygons of rings of points; a polygon becomes a multipolygon of one, other kinds null."""
+    ring = lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    polygons = lambda ps: F.transform(ps, lambda rings: F.transform(rings, ring))
+    one = F.from_json(coordinates, "array<array<array<double>>>")
+    many = F.from_json(coordinates, "array<array<array<array<double>>>>")
+    return F.when(kind == "Polygon", polygons(F.array(one))).when(kind == "MultiPolygon", polygons(many))
+
+
+def parsed_wkt(wkt: Column) -> Column:
+    """POLYGON and MULTIPOLYGON texts as polygons of rings of points; null for others."""
+    body = F.regexp_extract(wkt, r"(?i)^\s*(?:MULTI)?POLYGON\s*(?:Z\s*)?(\(.*\))\s*$", 1)
+    polygons = F.when(F.rlike(wkt, F.lit(r"(?i)^\s*MULTI")), F.substring(body, F.lit(2), F.length(body) - 2)).otherwise(body)
+    number = lambda p, i: F.get(F.split(F.trim(p), r"\s+"), F.lit(i)).try_cast("double")
+    ring = lambda r: F.transform(F.split(F.regexp_replace(r, r"[()]", ""), ","), lambda p: F.struct(number(p, 0).alias("x"), number(p, 1).alias("y")))
+    rings = lambda p: F.transform(F.regexp_extract_all(p, F.lit(r"\(([^()]*)\)"), F.lit(1)), ring)
+    return F.when(body != "", F.transform(F.regexp_extract_all(polygons, F.lit(r"\((?:\s*,?\s*\([^()]*\))+\s*\)"), F.lit(0)), rings))

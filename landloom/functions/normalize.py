@@ -109,3 +109,91 @@ def trigrams(c: Column) -> Column:
     words = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
     of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
     return F.array_distinct(F.flatten(F.transform(words, of)))
+
+
+#: Words of an address line and their short forms, longest first.
+LINE_WORDS = {
+    " BOULEVARD": " BLVD", " TERRACE": " TER", " HIGHWAY": " HWY", " PARKWAY": " PKWY", " AVENUE": " AVE", " STREET": " ST",
+    " CIRCLE": " CIR", " COURT": " CT", " DRIVE": " DR", " PLACE": " PL", " ROAD": " RD", " LANE": " LN",
+}
+
+
+def address_line(c: Column) -> Column:
+    """Upper case, street words shortened, blanks collapsed."""
+    out = F.upper(F.trim(c))
+    for word, short in LINE_WORDS.items():
+        out = F.replace(out, F.lit(word), F.lit(short))
+    return collapsed(out)
+
+
+def owner_block(block: Column, physical: Column) -> Column:
+    """name and address of an owner block of lines: split at the line of the physical address, else at a PO box, else at a line that begins with digits; all name where there is none."""
+    known = address_line(F.coalesce(physical, F.lit("")))
+    first_word = lambda c: F.regexp_extract(c, r"^(\S*)", 1)
+
+    def at_address(line: Column) -> Column:
+        plain = address_line(line)
+        return (known != "") & (F.contains(plain, known) | F.contains(known, plain) | ((first_word(plain) == first_word(known)) & F.rlike(known, F.lit(r"^\d"))))
+
+    lines = F.filter(F.transform(F.split(F.coalesce(block, F.lit("")), r"(?i)<br\s*/?>|\n"), lambda p: F.trim(p)), lambda p: p != "")
+
+    def cut(held: Column) -> Column:
+        first = lambda fits: F.array_min(F.filter(F.transform(held, lambda p, i: F.when(fits(p, i), i)), lambda i: i.isNotNull()))
+        at = F.coalesce(first(lambda p, i: (i > 0) & at_address(p)), first(lambda p, i: F.rlike(p, F.lit(r"(?i)^P[\s.]?O[\s.]?\s*BOX"))), first(lambda p, i: F.rlike(p, F.lit(r"^\d"))), F.size(held))
+        return F.struct(F.array_join(F.slice(held, F.lit(1), at), " ").alias("name"), F.array_join(F.slice(held, at + 1, F.size(held)), " ").alias("address"))
+
+    return F.transform(F.array(lines), cut)[0]
+
+
+def html_owner(html: Column) -> Column:
+    return F.trim(F.regexp_extract(html, "<b>Owner</b> - (.*?)<br>", 1))
+
+
+def html_acres(html: Column) -> Column:
+    return F.coalesce(F.trim(F.regexp_extract(html, "<b>Acres</b> - (.*?)<br>", 1)).try_cast("double"), F.lit(0.0))
+
+
+def site_number(address: Column) -> Column:
+    """The first word of an address if it is a whole number, else ''."""
+    word = F.coalesce(F.get(tokens(address), F.lit(0)), F.lit(""))
+    return F.when(F.rlike(word, F.lit(r"^[+-]?\d+$")), word).otherwise("")
+
+
+def merged_district(old: Column, new: Column) -> Column:
+    """A parcel's tax district after a bill's: the new one if it is there and extends the old one or there is none, else both."""
+    a, b = F.coalesce(old, F.lit("")), F.coalesce(new, F.lit(""))
+    return F.when((b == "") | (a == b), F.nullif(a, F.lit(""))).when(F.startswith(b, a), b).otherwise(F.concat(a, F.lit(" "), b))
+
+
+def url_parameter(url: Column, name: str) -> Column:
+    """A query parameter as it stands, not decoded; '' where absent."""
+    return F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1)
+
+
+def no_blanks(c: Column) -> Column:
+    return F.regexp_replace(c, r"\s", "")
+
+
+def copy_address(c: Column) -> Column:
+    """Line breaks as commas, one blank behind each comma."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\s*[\r\n]+\s*", ", "), r"\s*,\s*(?:,\s*)*", ", "), r"\s+", " "))
+
+
+def log_position(value: Column, low: Column, high: Column, steps: int = 1000) -> Column:
+    """Place of a value on a logarithmic scale of steps between low and high, held inside."""
+    inside = F.greatest(low, F.least(high, value))
+    span = F.log1p(high - low)
+    return F.when(high > low, F.round(F.log1p(inside - low) / span * steps)).otherwise(0.0)
+
+
+def log_value(position: Column, low: Column, high: Column, steps: int = 1000) -> Column:
+    """The value at a place of log_position's scale."""
+    return low + F.expm1(F.greatest(F.lit(0), F.least(F.lit(steps), position)) / steps * F.log1p(high - low))
+
+
+def size_text(n: Column) -> Column:
+    """Bytes as B, KB, MB, GB, TB."""
+    out = F.format_string("%.1f TB", n / 1024**4)
+    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024**power)).otherwise(out)
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(out)
