@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from landloom.functions.geo import covers, lat_of, lng_of
 from landloom.functions.normalize import clean_address, feature_id
-from landloom.operators.fuzzy import similar_texts
+from landloom.operators.fuzzy import similar_texts, starting_with
 from landloom.sources.tables import counties, parcels, table, with_tables, zip_cities
 
 #: Degrees of a cell that points and boxes meet in.
@@ -49,8 +49,7 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_search(queries: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
     """The k best texts of each query: exact, then prefix, then (queries of 5 characters or more) fuzzy; shorter and earlier texts first."""
     known = texts.select(F.lower("text").alias("text")).distinct()
-    head = lambda c: F.substring(c, 1, 2)
-    prefix = queries.withColumn("head", head(F.col("q"))).join(known.withColumn("head", head(F.col("text"))), "head").where(F.startswith("text", F.col("q")))
+    prefix = starting_with(queries, known).join(queries, "query_id")
     exact = prefix.select("query_id", "text", F.when(F.col("text") == F.col("q"), 0).otherwise(1).alias("stage"), F.lit(1.0).alias("similarity"))
     fuzzy = similar_texts(queries.where(F.length("q") >= 5), known).select("query_id", "text", F.lit(2).alias("stage"), "similarity")
     best = exact.unionByName(fuzzy).groupBy("query_id", "text").agg(F.min("stage").alias("stage"), F.max("similarity").alias("similarity"))
@@ -58,8 +57,8 @@ def ranked_search(queries: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "text", "stage", F.round("similarity", 6).alias("similarity"))
 
 
-def q7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top five names for every query."""
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top five part names for every query."""
     return ranked_search(search_queries(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_name").alias("text")))
 
 
@@ -77,13 +76,13 @@ def snk8_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(feature_id(F.col("county_id"), F.col("objectid")).alias("feature_id"), F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))).alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (q11_parcel_search, q7_search, q6_county_centroids, snk8_features)}
+QUERIES = {f.__name__: f for f in (q11_parcel_search, text_search, q6_county_centroids, snk8_features)}
 _GRAMS = lambda c: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 ORACLES = {
     "q11_parcel_search": with_tables("parcels counties zip_cities", """, p AS (SELECT id, round(degrees(mx / 6378137.0), 9) AS lng, round(degrees(2 * atan(exp(my / 6378137.0)) - pi() / 2), 9) AS lat, nullif(trim(regexp_replace(coalesce(site_address, ''), '\\s+', ' ', 'g')), '') AS site FROM parcels WHERE processed IS NULL AND objectid IS NOT NULL),
       z AS (SELECT p.id, min(c.county_id) AS county_id FROM p JOIN counties c ON lng BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy GROUP BY p.id), best AS (SELECT zip5, city FROM zip_cities QUALIFY row_number() OVER (PARTITION BY zip5 ORDER BY is_preferred DESC, city) = 1)
       SELECT id, lower(site) AS site_norm, zip5, city, CASE WHEN site IS NULL THEN city WHEN city IS NULL THEN site ELSE site || ', ' || city || ', GA ' || zip5 END AS display FROM (SELECT p.*, (30000 + county_id)::VARCHAR AS zip5 FROM p LEFT JOIN z USING (id)) LEFT JOIN best USING (zip5)""").replace(" , p AS", ", p AS"),
-    "q7_search": f"""WITH q AS (SELECT lower(CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, length(p_name) - 2) WHEN 1 THEN substr(p_name, 2) || 's' ELSE p_name END) AS q, min(p_partkey) AS query_id FROM part GROUP BY 1),
+    "text_search": f"""WITH q AS (SELECT lower(CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, length(p_name) - 2) WHEN 1 THEN substr(p_name, 2) || 's' ELSE p_name END) AS q, min(p_partkey) AS query_id FROM part GROUP BY 1),
       t AS (SELECT DISTINCT lower(p_name) AS text FROM part), tg AS (SELECT text, {_GRAMS("text")} AS g FROM t), qg AS (SELECT query_id, q, {_GRAMS("q")} AS h FROM q),
       fuzzy AS (SELECT query_id, text, 2 AS stage, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) AS similarity FROM tg, qg WHERE length(q) >= 5),
       found AS (SELECT query_id, text, CASE WHEN text = q THEN 0 ELSE 1 END AS stage, 1.0::DOUBLE AS similarity FROM t JOIN q ON starts_with(text, q) UNION ALL SELECT * FROM fuzzy WHERE similarity >= 0.3),

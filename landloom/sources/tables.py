@@ -40,7 +40,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 41 == 0, F.lit(None)).when(k % 43 == 0, "").otherwise(F.concat(_pick(FIRST, k % 7), F.lit(" "), _pick(LAST, seventh % 11), _pick(SUFFIX, k % 7))).alias("owner_name"),
         F.when(k % 37 == 0, F.lit(None)).when(k % 31 == 0, F.concat(F.lit("PO BOX "), (k % 9).cast("string"), F.lit(", MACON, GA 31201"))).otherwise(address).alias("owner_address"),
         F.when(k % 53 == 0, F.lit(None)).otherwise(F.concat(F.lit(" "), F.initcap(site), F.lit("  "))).alias("site_address"),
-        F.when(k % 50 == 0, False).alias("processed"),
+        F.when(k % 50 == 7, False).alias("processed"),
     )
 
 
@@ -86,7 +86,7 @@ CTES = {
       CASE WHEN {_K} % 37 = 0 THEN NULL WHEN {_K} % 31 = 0 THEN 'PO BOX ' || ({_K} % 9)::VARCHAR || ', MACON, GA 31201'
            ELSE {_SITE} || ', ' || {_sql_pick(CITY, f'{_K} % 4')} || ', GA ' || (30000 + {_K} % 25)::VARCHAR END AS owner_address,
       CASE WHEN {_K} % 53 = 0 THEN NULL ELSE ' ' || list_aggregate(list_transform(string_split({_SITE}, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') || '  ' END AS site_address,
-      CASE WHEN {_K} % 50 = 0 THEN false END AS processed FROM customer)""",
+      CASE WHEN {_K} % 50 = 7 THEN false END AS processed FROM customer)""",
     "parcel_taxes": "parcel_taxes AS (SELECT o_custkey AS parcel_id, year(o_orderdate)::INT AS tax_year, o_totalprice / 100 AS tax_amount, o_orderkey AS seq FROM orders)",
     "taxes": "taxes AS (SELECT parcel_id, tax_year, tax_amount FROM parcel_taxes QUALIFY row_number() OVER (PARTITION BY parcel_id, tax_year ORDER BY seq DESC) = 1)",
     "counties": """counties AS (SELECT n_nationkey AS county_id, n_name AS county_name, CASE WHEN r_name = 'AMERICA' THEN 'GA' ELSE 'XX' END AS state,
