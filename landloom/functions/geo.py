@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi
 
 from pyspark.sql import Column
@@ -144,3 +145,100 @@ def parsed_wkt(wkt: Column) -> Column:
     ring = lambda r: F.transform(F.split(F.regexp_replace(r, r"[()]", ""), ","), lambda p: F.struct(number(p, 0).alias("x"), number(p, 1).alias("y")))
     rings = lambda p: F.transform(F.regexp_extract_all(p, F.lit(r"\(([^()]*)\)"), F.lit(1)), ring)
     return F.when(body != "", F.transform(F.regexp_extract_all(polygons, F.lit(r"\((?:\s*,?\s*\([^()]*\))+\s*\)"), F.lit(0)), rings))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def buffer_pixels(z: Column) -> Column:
+    """Pixels that a parcel tile's features may stand out of it."""
+    return F.when(z >= 18, 16).when(z >= 17, 32).otherwise(256)
+
+
+def _edges(ring: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i + 1).alias("b")))
+
+
+def _cut(ring: Column, axis: str, limit: Column, above: bool) -> Column:
+    """A closed ring cut at a line across an axis; what lies above it stays, or below; no points if nothing does."""
+    other = "y" if axis == "x" else "x"
+    inside = lambda p: p[axis] >= limit if above else p[axis] <= limit
+
+    def crossing(a: Column, b: Column) -> Column:
+        at = a[other] + (b[other] - a[other]) * (limit - a[axis]) / (b[axis] - a[axis])
+        x, y = (limit, at) if axis == "x" else (at, limit)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def kept(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        return F.when(inside(a) & inside(b), F.array(b)).when(inside(b), F.array(crossing(a, b), b)).when(inside(a), F.array(crossing(a, b))).otherwise(F.slice(F.array(b), 1, 0))
+
+    points = lambda r: F.flatten(F.transform(_edges(r), kept))
+    closed = lambda ps: F.when(F.size(ps) > 2, F.concat(ps, F.slice(ps, 1, 1))).otherwise(F.slice(ps, 1, 0))
+    return let(ring, lambda r: F.when(F.size(r) > 3, let(points(r), closed)).otherwise(F.slice(r, 1, 0)))
+
+
+def clipped(geometry: Column, z: Column, x: Column, y: Column, pixels: Column, extent: int = 4096) -> Column:
+    """The geometry clipped to a tile and so many pixels around it, on the tile's grid of whole numbers (y downwards); rings of less than three points go, null if none is left."""
+    width = F.lit(WORLD) / F.pow(F.lit(2.0), z)
+
+    def of(env: Column) -> Column:
+        rest = width * pixels / extent
+
+        def ring(r: Column) -> Column:
+            for axis, limit, above in (("x", env["minx"] - rest, True), ("x", env["maxx"] + rest, False), ("y", env["miny"] - rest, True), ("y", env["maxy"] + rest, False)):
+                r = _cut(r, axis, limit, above)
+            return F.transform(r, lambda p: F.struct(F.round((p["x"] - env["minx"]) / width * extent).cast("int").alias("x"), F.round((env["maxy"] - p["y"]) / width * extent).cast("int").alias("y")))
+
+        shapes = F.transform(geometry, lambda rings: F.filter(F.transform(rings, ring), lambda r: F.size(F.array_distinct(r)) > 2))
+        return F.filter(shapes, lambda rings: F.size(rings) > 0)
+
+    return let(tile_envelope(z, x, y), lambda env: let(of(env), lambda g: F.when(F.size(g) > 0, g)))
+
+
+def intersects(ring: Column, box: Column) -> Column:
+    """Whether a ring's area and a box (minx, miny, maxx, maxy) touch."""
+    corners = [(box["minx"], box["miny"]), (box["maxx"], box["miny"]), (box["maxx"], box["maxy"]), (box["minx"], box["maxy"])]
+
+    def meets(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        near = (F.least(a["x"], b["x"]) <= box["maxx"]) & (F.greatest(a["x"], b["x"]) >= box["minx"]) & (F.least(a["y"], b["y"]) <= box["maxy"]) & (F.greatest(a["y"], b["y"]) >= box["miny"])
+        sides = [F.signum((b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])) for x, y in corners]
+        return near & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+    return F.exists(_edges(ring), meets) | covers(ring, *corners[0])
+
+
+def point_on_surface(ring: Column) -> Column:
+    """The middle of the widest span inside a ring at half its height."""
+
+    def widest(half: Column) -> Column:
+        crosses = F.filter(_edges(ring), lambda e: (e["a"]["y"] > half) != (e["b"]["y"] > half))
+        xs = F.array_sort(F.transform(crosses, lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * (half - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"])))
+        spans = lambda held: F.transform(F.sequence(F.lit(1), F.size(held) - 1, F.lit(2)), lambda i: F.struct((F.element_at(held, i + 1) - F.element_at(held, i)).alias("width"), ((F.element_at(held, i + 1) + F.element_at(held, i)) / 2).alias("x")))
+        return F.struct(let(xs, lambda held: F.array_max(spans(held))["x"]).alias("x"), half.alias("y"))
+
+    ys = F.transform(ring, lambda p: p["y"])
+    return let((F.array_min(ys) + F.array_max(ys)) / 2, widest)
+
+
+def preview_path(geometry: Column, box: int = 64, pad: int = 5) -> Column:
+    """The rings as a path in a square box, y downwards, two decimals."""
+
+    def of(b: Column) -> Column:
+        scale = (box - 2 * pad) / F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"])
+        wide, high = (b["maxx"] - b["minx"]) * scale, (b["maxy"] - b["miny"]) * scale
+        point = lambda p: F.concat(F.round((p["x"] - b["minx"]) * scale + (box - wide) / 2, 2).cast("string"), F.lit(" "), F.round((b["maxy"] - p["y"]) * scale + (box - high) / 2, 2).cast("string"))
+        return F.array_join(F.transform(F.flatten(geometry), lambda ring: F.concat(F.lit("M"), F.array_join(F.transform(ring, point), " L"), F.lit(" Z"))), " ")
+
+    return let(bbox(geometry), of)
+
+
+def quadrants(box: Column, overlap: float = 0.001) -> Column:
+    """The four quarters of a box, each grown by a share of its sides."""
+    midx, midy = (box["minx"] + box["maxx"]) / 2, (box["miny"] + box["maxy"]) / 2
+    dx, dy = (box["maxx"] - box["minx"]) * overlap, (box["maxy"] - box["miny"]) * overlap
+    part = lambda x0, y0, x1, y1: F.struct((x0 - dx).alias("minx"), (y0 - dy).alias("miny"), (x1 + dx).alias("maxx"), (y1 + dy).alias("maxy"))
+    return F.array(part(box["minx"], box["miny"], midx, midy), part(midx, box["miny"], box["maxx"], midy), part(box["minx"], midy, midx, box["maxy"]), part(midx, midy, box["maxx"], box["maxy"]))

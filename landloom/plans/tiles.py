@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.functions.geo import CELLS, WORLD, area, bbox, cell, square, tile_x, tile_y
+from landloom.functions.geo import CELLS, WORLD, area, bbox, cell, centroid, clipped, intersects, mercator_x, mercator_y, point_on_surface, preview_path, square, tile_envelope, tile_x, tile_y
 from landloom.functions.normalize import feature_id
 from landloom.plans.taxes import taxed_parcels
-from landloom.sources.tables import parcels, with_tables
+from landloom.sources.tables import counties, parcels, with_tables
 
 FINEST, COARSEST = 16, 6
 PARCEL_ZOOMS = (13, 14, 15, 16, 17, 18, 19)
@@ -70,7 +70,100 @@ def geo_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("county_id").agg(F.sum("area").alias("area"), F.min("bbox.minx").alias("minx"), F.min("bbox.miny").alias("miny"), F.max("bbox.maxx").alias("maxx"), F.max("bbox.maxy").alias("maxy"))
 
 
-QUERIES = {f.__name__: f for f in (q15_tax_heatmap, q13_parcel_tiles, geo_measures)}
+#: Coarse zoom at which tiles and counties meet by equality, and zooms of county tiles.
+COARSE, COUNTY_ZOOMS = 8, (6, 7, 8, 9, 10)
+
+
+def county_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counties in Web Mercator metres, with box and label point (centroid)."""
+    c = counties(spark, sf_dir)
+    at = lambda x, y: F.struct(mercator_x(F.col(x)).alias("x"), mercator_y(F.col(y)).alias("y"))
+    ring = F.array(at("minx", "miny"), at("maxx", "miny"), at("maxx", "maxy"), at("minx", "maxy"), at("minx", "miny"))
+    c = c.select("county_id", F.array(F.array(ring)).alias("geom")).withColumn("bbox", bbox(F.col("geom")))
+    return c.withColumn("label", F.coalesce(centroid(F.col("geom")[0][0]), point_on_surface(F.col("geom")[0][0])))
+
+
+def tile_cover(boundaries: DataFrame, tiles: DataFrame) -> DataFrame:
+    """county_id, z, x, y of the tiles (z, x, y; none coarser than COARSE) that a boundary (county_id, geom, bbox) touches.
+
+    Tiles meet boundaries by the coarse tile that holds them, and only tiles with
+    features are asked, so that no boundary is spread over its fine tiles.
+    """
+    spread = tiles_touched(boundaries, (COARSE,)).select("county_id", "geom", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("z") - COARSE)).cast("int")
+    met = tiles.withColumn("cx", up("x")).withColumn("cy", up("y")).join(F.broadcast(spread), ["cx", "cy"])  # a few rows for each county
+    return met.where(intersects(F.col("geom")[0][0], tile_envelope(F.col("z"), F.col("x"), F.col("y")))).select("county_id", "z", "x", "y")
+
+
+def q12_tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of every zoom that hold parcels and touch a county, by county."""
+    held = tiles_touched(parcel_features(spark, sf_dir), PARCEL_ZOOMS).select("z", "x", "y").distinct()
+    return tile_cover(county_features(spark, sf_dir), held)
+
+
+def _extent(points: Column) -> list[Column]:
+    flat = F.flatten(F.flatten(points))
+    low = lambda f: F.array_min(F.transform(flat, lambda p: p[f]))
+    high = lambda f: F.array_max(F.transform(flat, lambda p: p[f]))
+    return [low("x").alias("px0"), low("y").alias("py0"), high("x").alias("px1"), high("y").alias("py1")]
+
+
+def q14_county_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of county tiles: outlines clipped to the tile's grid (its extent told), and labels, each owned by one tile."""
+    f = county_features(spark, sf_dir)
+    shapes = tiles_touched(f, COUNTY_ZOOMS).withColumn("shape", clipped(F.col("geom"), F.col("z"), F.col("x"), F.col("y"), F.lit(256))).where("shape IS NOT NULL")
+    outlines = shapes.select("z", "x", "y", F.lit("counties").alias("sublayer"), "county_id", *_extent(F.col("shape")))
+    label = None
+    for z in COUNTY_ZOOMS:
+        at = f.select(F.lit(z).alias("z"), tile_x(F.col("label.x"), z).alias("x"), tile_y(F.col("label.y"), z).alias("y"), F.lit("county_labels").alias("sublayer"), "county_id")
+        label = label.unionByName(at) if label else at
+    return outlines.unionByName(label, allowMissingColumns=True)
+
+
+def q16_tax_parcel_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of taxed parcels by year: features, their tax, and the extent of their clipped shapes. A shape is clipped once, whatever its years."""
+    f = parcel_features(spark, sf_dir).select("id", "geom", "bbox")
+    shapes = tiles_touched(f, PARCEL_ZOOMS).withColumn("shape", clipped(F.col("geom"), F.col("z"), F.col("x"), F.col("y"), F.lit(16))).where("shape IS NOT NULL").select("z", "x", "y", "id", *_extent(F.col("shape")))
+    taxes = taxed_parcels(spark, sf_dir, True).select("id", "tax_year", "tax_amount")
+    tiles = shapes.join(taxes, "id").groupBy("z", "x", "y", "tax_year")
+    return tiles.agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"), F.count("*").alias("feature_count"), F.round(F.sum("tax_amount"), 4).alias("tax"), *[g(c).alias(c) for g, c in ((F.min, "px0"), (F.min, "py0"), (F.max, "px1"), (F.max, "py1"))])
+
+
+def q24_tile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored tiles of asked keys: at each parcel zoom the tile of every corner, null where nothing is stored."""
+    p = parcels(spark, sf_dir)
+    asked = None
+    for z in PARCEL_ZOOMS:
+        at = p.select(F.lit(z).alias("z"), tile_x(F.col("mx"), z).alias("x"), tile_y(F.col("my"), z).alias("y"))
+        asked = asked.unionByName(at) if asked else at
+    return asked.distinct().join(q13_parcel_tiles(spark, sf_dir), ["z", "x", "y"], "left")
+
+
+def q5_parcel_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preview paths of asked feature ids (those divisible by 100, and ones that are not valid): ids are parsed and meet parcels by equality."""
+    p = parcel_features(spark, sf_dir)
+    asked = parcels(spark, sf_dir).where("id % 100 = 0").select(F.concat(F.lit(" "), (F.col("county_id") + F.when(F.col("id") % 300 == 0, 100).otherwise(0)).cast("string"), F.when(F.col("id") % 700 == 0, "-").otherwise("_"), F.col("id").cast("string")).alias("asked"))
+    parts = F.split(F.trim("asked"), "_", 2)
+    keys = asked.select("asked", F.get(parts, F.lit(0)).try_cast("int").alias("county_id"), F.get(parts, F.lit(1)).try_cast("long").alias("id")).where("county_id > 0 AND id > 0")
+    return p.join(keys, ["county_id", "id"]).select("feature_id", preview_path(F.col("geom")).alias("path"))
+
+
+def agg12_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Square regions of fewer than 500 parcels each, as coarse as can be, ten levels deep at most: counts at the finest level, summed upwards, choose each parcel's first small one."""
+    deepest, first = 16, 6
+    p = parcels(spark, sf_dir).where("processed IS NULL AND objectid IS NOT NULL")
+    fine = p.groupBy(tile_x(F.col("mx"), deepest).alias("fx"), tile_y(F.col("my"), deepest).alias("fy")).agg(F.count("*").alias("m"))
+    levels = fine.withColumn("z", F.explode(F.sequence(F.lit(first), F.lit(deepest))))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), deepest - F.col("z"))).cast("int")
+    sums = levels.groupBy("z", up("fx").alias("x"), up("fy").alias("y")).agg(F.sum("m").alias("n"))
+    above = sums.select((F.col("z") + 1).alias("z"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("n").alias("over"))
+    half = lambda c: F.floor(F.col(c) / 2).cast("int")
+    joined = sums.withColumn("ux", half("x")).withColumn("uy", half("y")).join(above, ["z", "ux", "uy"], "left")
+    small = (F.col("n") < 500) | (F.col("z") == deepest)
+    return joined.where(small & (F.col("over").isNull() | (F.col("over") >= 500))).select("z", "x", "y", "n")
+
+
+QUERIES = {f.__name__: f for f in (q15_tax_heatmap, q13_parcel_tiles, geo_measures, q12_tile_cover, q14_county_tiles, q16_tax_parcel_tiles, q24_tile_lookup, q5_parcel_previews, agg12_regions)}
 _W = repr(WORLD)
 ORACLES = {
     "q15_tax_heatmap": with_tables("parcels parcel_taxes taxes", f""", levels AS (SELECT unnest(range({COARSEST}, {FINEST + 1}))::INT AS z),
@@ -82,3 +175,25 @@ ORACLES = {
       SELECT z, x, y, string_agg(fid, ',' ORDER BY fid) AS feature_ids, count(*) AS feature_count, count(*) FILTER (x = cx AND y = cy) AS label_count FROM t GROUP BY ALL""").replace(" , levels", ", levels"),
     "geo_measures": with_tables("parcels", "SELECT county_id, sum(side * side) AS area, min(mx) AS minx, min(my) AS miny, max(mx + side) AS maxx, max(my + side) AS maxy FROM parcels WHERE processed IS NULL AND objectid IS NOT NULL GROUP BY county_id"),
 }
+_PARTS = f"""p AS (SELECT *, county_id::VARCHAR || '_' || objectid::VARCHAR AS fid, ({_W} / pow(2, z)) AS w FROM parcels, levels WHERE processed IS NULL AND objectid IS NOT NULL),
+      r AS (SELECT *, floor((mx + {_W} / 2) / w)::INT AS x0, floor((mx + side + {_W} / 2) / w)::INT AS x1, floor(({_W} / 2 - (my + side)) / w)::INT AS y0, floor(({_W} / 2 - my) / w)::INT AS y1 FROM p),
+      t AS (SELECT *, x::INT AS tx, unnest(range(y0, y1 + 1))::INT AS ty FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM r))"""
+_CLIP = lambda b, x0, y0, x1, y1: f"round((greatest({x0}, ex0 - w * {b} / 4096) - ex0) / w * 4096)::INT AS px0, round((ey1 - least({y1}, ey1 + w * {b} / 4096)) / w * 4096)::INT AS py0, round((least({x1}, ex0 + w + w * {b} / 4096) - ex0) / w * 4096)::INT AS px1, round((ey1 - greatest({y0}, ey1 - w - w * {b} / 4096)) / w * 4096)::INT AS py1"
+_ENV = f"tx * w - {_W} / 2 AS ex0, {_W} / 2 - ty * w AS ey1"
+_MERC = "radians(minx) * 6378137.0 AS bx0, radians(maxx) * 6378137.0 AS bx1, ln(tan(radians(miny) / 2 + pi() / 4)) * 6378137.0 AS by0, ln(tan(radians(maxy) / 2 + pi() / 4)) * 6378137.0 AS by1"
+_LEVELS = lambda a, b: f", levels AS (SELECT unnest(range({a}, {b}))::INT AS z)"
+ORACLES |= {
+    "q12_tile_cover": with_tables("parcels counties", f"""{_LEVELS(13, 20)}, {_PARTS}, h AS (SELECT DISTINCT z, tx, ty, w, {_ENV} FROM t), c AS (SELECT county_id, {_MERC} FROM counties)
+      SELECT county_id, z, tx AS x, ty AS y FROM h JOIN c ON bx0 <= ex0 + w AND bx1 >= ex0 AND by0 <= ey1 AND by1 >= ey1 - w"""),
+    "q14_county_tiles": with_tables("counties", f"""{_LEVELS(6, 11)}, c AS (SELECT county_id, {_MERC}, z, {_W} / pow(2, z) AS w FROM counties, levels),
+      r AS (SELECT *, unnest(range(floor((bx0 + {_W} / 2) / w)::INT, floor((bx1 + {_W} / 2) / w)::INT + 1))::INT AS tx FROM c), t AS (SELECT *, unnest(range(floor(({_W} / 2 - by1) / w)::INT, floor(({_W} / 2 - by0) / w)::INT + 1))::INT AS ty FROM r), e AS (SELECT *, {_ENV} FROM t)
+      SELECT z, tx AS x, ty AS y, 'counties' AS sublayer, county_id, {_CLIP(256, "bx0", "by0", "bx1", "by1")} FROM e UNION ALL SELECT z, floor(((bx0 + bx1) / 2 + {_W} / 2) / w)::INT, floor(({_W} / 2 - (by0 + by1) / 2) / w)::INT, 'county_labels', county_id, NULL, NULL, NULL, NULL FROM c"""),
+    "q16_tax_parcel_tiles": with_tables("parcels parcel_taxes taxes", f"""{_LEVELS(13, 20)}, {_PARTS}, e AS (SELECT *, {_ENV} FROM t), s AS (SELECT z, tx AS x, ty AS y, id, {_CLIP(16, "mx", "my", "mx + side", "my + side")} FROM e), k AS (SELECT * FROM s WHERE px1 > px0 AND py1 > py0)
+      SELECT z, x, y, tax_year, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, count(*) AS feature_count, round(sum(tax_amount), 4) AS tax, min(px0) AS px0, min(py0) AS py0, max(px1) AS px1, max(py1) AS py1 FROM k JOIN taxes ON id = taxes.parcel_id WHERE tax_amount > 0 GROUP BY ALL"""),
+    "q24_tile_lookup": with_tables("parcels", f"""{_LEVELS(13, 20)}, asked AS (SELECT DISTINCT z, floor((mx + {_W} / 2) / w)::INT AS x, floor(({_W} / 2 - my) / w)::INT AS y FROM (SELECT *, {_W} / pow(2, z) AS w FROM parcels, levels)), tiles AS ({ORACLES["q13_parcel_tiles"]})
+      SELECT z, x, y, feature_ids, feature_count, label_count FROM asked LEFT JOIN tiles USING (z, x, y)"""),
+    "q5_parcel_previews": with_tables("parcels", "SELECT county_id::VARCHAR || '_' || objectid::VARCHAR AS feature_id, 'M5.0 59.0 L59.0 59.0 L59.0 5.0 L5.0 5.0 L5.0 59.0 Z' AS path FROM parcels WHERE processed IS NULL AND objectid IS NOT NULL AND id % 100 = 0 AND id % 300 <> 0 AND id % 700 <> 0 AND county_id > 0"),
+    "agg12_regions": with_tables("parcels", f"""{_LEVELS(6, 17)}, c AS (SELECT z, floor((mx + {_W} / 2) / ({_W} / pow(2, z)))::INT AS x, floor(({_W} / 2 - my) / ({_W} / pow(2, z)))::INT AS y, count(*) AS n FROM parcels, levels WHERE processed IS NULL AND objectid IS NOT NULL GROUP BY ALL)
+      SELECT c.z, c.x, c.y, c.n FROM c LEFT JOIN c AS u ON u.z = c.z - 1 AND u.x = c.x // 2 AND u.y = c.y // 2 WHERE (c.n < 500 OR c.z = 16) AND (u.n IS NULL OR u.n >= 500)"""),
+}
+ORACLES = {k: v.replace(" , levels", ", levels") for k, v in ORACLES.items()}
