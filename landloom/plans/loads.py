@@ -211,6 +211,6 @@ ORACLES = {
       v AS (SELECT *, CASE WHEN o % 13 = 0 THEN 0 ELSE (c * 4) / 100.0::DOUBLE END AS fair, (c // 25) / 100.0::DOUBLE AS tax FROM b)
       SELECT parcel_id, tax_year, lpad(o::VARCHAR, 12, '0') AS bill_no, '{BILL_SITE}/bill?bill_id=' || o AS bill_url, 'PAYER ' || parcel_id AS payer_name, '12/20' AS due_date, '11/02' AS paid_date, tax AS tax_amount, fair AS appraised, fair * 0.40::DOUBLE AS assessed,
         CASE WHEN fair > 0 THEN tax / (fair * 0.40::DOUBLE) * 1000 ELSE 0 END::DOUBLE AS millage, (c * 3) / 100.0::DOUBLE AS building_value, -(c / 100.0::DOUBLE) AS land_value, (c // 20) / 100.0::DOUBLE AS total_due, 0.0::DOUBLE AS back_taxes FROM v""",
-    "q22_zip_reference": with_tables("counties zip_cities", "SELECT (30000 + county_id)::VARCHAR AS zip5, city, 'GA' AS state, is_preferred, minx, maxy FROM counties JOIN zip_cities ON zip5 = (30000 + county_id)::VARCHAR WHERE county_id % 3 <> 2"),
+    "q22_zip_reference": with_tables("counties zip_cities", "SELECT (30000 + county_id)::VARCHAR AS zip5, city, CASE WHEN city IS NOT NULL THEN 'GA' END AS state, is_preferred, minx, maxy FROM counties LEFT JOIN zip_cities ON zip5 = (30000 + county_id)::VARCHAR WHERE county_id % 3 <> 2"),
     "q23_load_counties": with_tables("counties", "SELECT county_name AS name, nullif(county_id * 100, 0)::INT AS population, CASE WHEN county_id % 4 <> 0 THEN 'R' END AS region, nullif(county_id * 2.5, 0)::DOUBLE AS acres, nullif(county_id % 3 * 1.5, 0)::DOUBLE AS square_miles, minx, miny, maxx, maxy, round((minx + maxx) / 2, 6) AS lng, round((miny + maxy) / 2, 6) AS lat FROM counties WHERE county_id % 11 <> 10"),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landloom.functions.normalize import feature_id
@@ -35,7 +35,7 @@ def q1_parcel_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parcels(spark, sf_dir).where("processed IS NULL AND objectid IS NOT NULL")
     c = F.broadcast(counties(spark, sf_dir).select("county_id", "county_name", "state"))
     k = F.broadcast(class_codes(spark, sf_dir))
-    return p.join(c, "county_id").join(k, p.classification == k.code, "left").select(feature_id(F.col("county_id"), F.col("objectid")).alias("feature_id"), "parcel_id", "county_name", "state", "category", F.coalesce("is_residential", F.lit(False)).alias("is_residential"))
+    return p.join(c, "county_id").join(k.withColumnRenamed("code", "classification"), ["county_id", "classification"], "left").select(feature_id(F.col("county_id"), F.col("objectid")).alias("feature_id"), "parcel_id", "county_name", "state", "category", F.coalesce("is_residential", F.lit(False)).alias("is_residential"))
 
 
 def q2_tax_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,13 +48,27 @@ def q2_tax_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Stops of the colour scale where a county's own are degenerate.
+STOPS = (0.0, 1000.0, 3000.0, 6000.0, 10000.0)
+
+
+def color_scale(value: Column, stops: list[Column]) -> Column:
+    """class (0 to 3: between which two of the five stops a value lies) and weight (its place between them, 0 to 1); fixed stops where the own do not rise."""
+    rising = stops[0] < stops[1]
+    for low, high in zip(stops[1:], stops[2:], strict=False):
+        rising = rising & (low < high)
+    s = [F.when(rising, own).otherwise(fixed) for own, fixed in zip(stops, STOPS, strict=True)]
+    number = F.when(value < s[1], 0).when(value < s[2], 1).when(value < s[3], 2).otherwise(3)
+    low, high = (F.element_at(F.array(*side), number + 1) for side in (s[:-1], s[1:]))
+    return F.struct(number.alias("class"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low))).alias("weight"))
+
+
 def q4_tax_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest tax of each active parcel with its colour class between the county's percentiles of that year."""
+    """The newest tax of each active parcel with its place on its county's colour scale of that year."""
     newest = taxed_parcels(spark, sf_dir, True).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("tax_year")))).where("nth = 1")
-    stats = F.broadcast(q3_tax_stats(spark, sf_dir).select("county_id", "tax_year", "p10", "p50", "p90"))  # a row for each county and year
-    t = F.col("tax_amount")
-    color = F.when(t < F.col("p10"), 0).when(t < F.col("p50"), 1).when(t < F.col("p90"), 2).otherwise(3)
-    return newest.join(stats, ["county_id", "tax_year"]).select("id", "county_id", "tax_year", "tax_amount", color.alias("color_class"))
+    stats = F.broadcast(q3_tax_stats(spark, sf_dir).select("county_id", "tax_year", "least", "p10", "p50", "p90", "most"))  # a row for each county and year
+    scale = color_scale(F.col("tax_amount"), [F.col(c) for c in ("least", "p10", "p50", "p90", "most")])
+    return newest.join(stats, ["county_id", "tax_year"]).withColumn("scale", scale).select("id", "county_id", "tax_year", "tax_amount", F.col("scale.class").alias("color_class"), F.round("scale.weight", 6).alias("weight"))
 
 
 def agg11_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +96,13 @@ _STATS = """stats AS (SELECT county_id, tax_year, min(tax_amount) AS least, max(
   round(quantile_cont(tax_amount, 0.5), 7) AS p50, round(quantile_cont(tax_amount, 0.9), 7) AS p90, count(*) AS n FROM parcels JOIN taxes ON id = taxes.parcel_id WHERE tax_amount > 0 GROUP BY ALL)"""
 ORACLES = {
     "q3_tax_stats": with_tables("parcels parcel_taxes taxes", f", {_STATS} SELECT * FROM stats").replace(" , stats", ", stats"),
-    "q1_parcel_details": with_tables("parcels counties class_codes", "SELECT county_id::VARCHAR || '_' || objectid::VARCHAR AS feature_id, parcel_id, county_name, state, category, coalesce(is_residential, false) AS is_residential FROM parcels JOIN counties USING (county_id) LEFT JOIN class_codes ON code = classification WHERE processed IS NULL AND objectid IS NOT NULL"),
+    "q1_parcel_details": with_tables("parcels counties class_codes", "SELECT parcels.county_id::VARCHAR || '_' || objectid::VARCHAR AS feature_id, parcel_id, county_name, state, category, coalesce(is_residential, false) AS is_residential FROM parcels JOIN counties ON counties.county_id = parcels.county_id LEFT JOIN class_codes ON code = classification AND class_codes.county_id = parcels.county_id WHERE processed IS NULL AND objectid IS NOT NULL"),
     "q2_tax_history": with_tables("parcel_taxes taxes", """SELECT parcel_id, tax_year, tax_amount, row_number() OVER (PARTITION BY parcel_id ORDER BY tax_year DESC) AS nth, round(tax_amount - lag(tax_amount) OVER (PARTITION BY parcel_id ORDER BY tax_year), 4) AS change,
       round(CASE WHEN max(tax_amount) OVER w > min(tax_amount) OVER w THEN (tax_amount - min(tax_amount) OVER w) / (max(tax_amount) OVER w - min(tax_amount) OVER w) ELSE 0.5 END, 6) AS position FROM taxes WINDOW w AS (PARTITION BY parcel_id)"""),
     "q4_tax_values": with_tables("parcels parcel_taxes taxes", f""", {_STATS}, newest AS (SELECT id, county_id, tax_year, tax_amount FROM parcels JOIN taxes ON id = taxes.parcel_id WHERE tax_amount > 0 AND processed IS NULL AND objectid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY tax_year DESC) = 1)
-      SELECT id, county_id, tax_year, tax_amount, CASE WHEN tax_amount < p10 THEN 0 WHEN tax_amount < p50 THEN 1 WHEN tax_amount < p90 THEN 2 ELSE 3 END AS color_class FROM newest JOIN stats USING (county_id, tax_year)""").replace(" , stats", ", stats"),
+      SELECT id, county_id, tax_year, tax_amount, CASE WHEN tax_amount < s[2] THEN 0 WHEN tax_amount < s[3] THEN 1 WHEN tax_amount < s[4] THEN 2 ELSE 3 END AS color_class,
+        round(greatest(0, least(1, (tax_amount - s[color_class + 1]) / (s[color_class + 2] - s[color_class + 1]))), 6)::DOUBLE AS weight
+      FROM (SELECT *, CASE WHEN least < p10 AND p10 < p50 AND p50 < p90 AND p90 < most THEN [least, p10, p50, p90, most] ELSE [0, 1000, 3000, 6000, 10000]::DOUBLE[] END AS s FROM newest JOIN stats USING (county_id, tax_year))""").replace(" , stats", ", stats"),
     "agg11_coverage": with_tables("parcels parcel_taxes", """SELECT county_id, count(*) AS n, count(*) FILTER (processed IS NULL) AS active, count(*) FILTER (NOT processed) AS failed, count(*) FILTER (taxed) AS taxed, round(100 * count(*) FILTER (taxed) / count(*), 2) AS percent
       FROM (SELECT p.*, t.id IS NOT NULL AS taxed FROM parcels p LEFT JOIN (SELECT DISTINCT parcel_id AS id FROM parcel_taxes) t USING (id)) GROUP BY ROLLUP (county_id)"""),
     "snk2_tax_upsert": with_tables("parcel_taxes", """, o AS (SELECT * FROM parcel_taxes WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY parcel_id, tax_year ORDER BY seq DESC) = 1), n AS (SELECT * FROM parcel_taxes WHERE seq % 2 = 1 QUALIFY row_number() OVER (PARTITION BY parcel_id, tax_year ORDER BY seq DESC) = 1)

@@ -63,13 +63,21 @@ def counties(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.col("code")
     category = F.when(code.isin("HOUSEHOLD", "FURNITURE"), "Residential").when(code == "AUTOMOBILE", "Commercial").otherwise("Other")
-    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("code")).distinct().withColumn("category", category).withColumn("is_residential", F.col("category") == "Residential")
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("county_id"), F.col("c_mktsegment").alias("code")).distinct().where("county_id % 7 <> 3").withColumn("category", category).withColumn("is_residential", F.col("category") == "Residential")
+
+
+def zip_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ZIP areas, a little larger than a county each, so that neighbours overlap; some counties have none."""
+    c = counties(spark, sf_dir).where("county_id % 6 <> 5")
+    grown = [(F.col(b) + (-0.04 if b.startswith("min") else 0.04)).alias(b) for b in ("minx", "miny", "maxx", "maxy")]
+    return c.select((30000 + F.col("county_id")).cast("string").alias("zip5"), *grown)
 
 
 def zip_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     i = F.col("n_nationkey")
     zip5 = (30000 + i).cast("string")
+    n = n.where("n_nationkey % 8 <> 6")
     return n.select(zip5.alias("zip5"), F.concat(F.lit("Town "), i.cast("string")).alias("city"), (i % 3 == 0).alias("is_preferred")).unionByName(
         n.select(zip5.alias("zip5"), F.concat(F.lit("Burg "), i.cast("string")).alias("city"), (i % 3 == 1).alias("is_preferred"))
     )
@@ -92,10 +100,11 @@ CTES = {
     "counties": """counties AS (SELECT n_nationkey AS county_id, n_name AS county_name, CASE WHEN r_name = 'AMERICA' THEN 'GA' ELSE 'XX' END AS state,
       -86 + 0.75::DOUBLE * (n_nationkey % 5) AS minx, 30.4::DOUBLE + 0.7::DOUBLE * (n_nationkey // 5) AS miny, -86 + 0.75::DOUBLE * (n_nationkey % 5) + 0.75::DOUBLE AS maxx, 30.4::DOUBLE + 0.7::DOUBLE * (n_nationkey // 5) + 0.7::DOUBLE AS maxy
       FROM nation JOIN region ON n_regionkey = r_regionkey)""",
-    "class_codes": """class_codes AS (SELECT code, category, category = 'Residential' AS is_residential FROM (SELECT DISTINCT c_mktsegment AS code,
-      CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'Residential' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Commercial' ELSE 'Other' END AS category FROM customer))""",
-    "zip_cities": """zip_cities AS (SELECT (30000 + n_nationkey)::VARCHAR AS zip5, 'Town ' || n_nationkey AS city, n_nationkey % 3 = 0 AS is_preferred FROM nation
-      UNION ALL SELECT (30000 + n_nationkey)::VARCHAR, 'Burg ' || n_nationkey, n_nationkey % 3 = 1 FROM nation)""",
+    "class_codes": """class_codes AS (SELECT county_id, code, category, category = 'Residential' AS is_residential FROM (SELECT DISTINCT c_nationkey AS county_id, c_mktsegment AS code,
+      CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'Residential' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Commercial' ELSE 'Other' END AS category FROM customer WHERE c_nationkey % 7 <> 3))""",
+    "zip_areas": """zip_areas AS (SELECT (30000 + county_id)::VARCHAR AS zip5, minx - 0.04::DOUBLE AS minx, miny - 0.04::DOUBLE AS miny, maxx + 0.04::DOUBLE AS maxx, maxy + 0.04::DOUBLE AS maxy FROM counties WHERE county_id % 6 <> 5)""",
+    "zip_cities": """zip_cities AS (SELECT (30000 + n_nationkey)::VARCHAR AS zip5, 'Town ' || n_nationkey AS city, n_nationkey % 3 = 0 AS is_preferred FROM nation WHERE n_nationkey % 8 <> 6
+      UNION ALL SELECT (30000 + n_nationkey)::VARCHAR, 'Burg ' || n_nationkey, n_nationkey % 3 = 1 FROM nation WHERE n_nationkey % 8 <> 6)""",
 }
 
 
