@@ -10,7 +10,7 @@ scale, turn and shift (each match proposes one, the others vote). Classes are th
 connected components of the links.
 
 A key that up to SMALL_BUCKET images have pairs them all. One that more have pairs each
-with the least of them; what then is not one class is compared in blocks, every image
+with its pivot, the image that most others meet; what then is not one class is compared in blocks, every image
 outside the key's largest class with all members of other classes, so that no pair that
 agrees on a key is passed over.
 
@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm.classes import components, joined_in_blocks, joining
+from landloom.llm.classes import components, joined_in_blocks, joining, pivot_pairs
 from landloom.llm.common import read, staged
 
 #: Pixels for each corner, corners of the smallest pictures, longest side that is described, and scales of the pyramid.
 CORNER_PIXELS, LEAST_CORNERS, MAX_SIDE, SCALES, STEP = 96, 12, 256, 3, 1.4
 BITS, TABLES, KEY_BITS, RADIUS, TURNS = 256, 12, 40, 7, 32
-MAX_HAMMING, SMALL_BUCKET = 48, 32
+MAX_HAMMING, SMALL_BUCKET = 48, 8
 #: Matches that agree in a link: so many, and this share of the corners of the picture with fewer of them.
 MIN_VOTES, VOTE_SHARE = 6, 0.1
 #: Images of a block of a key's holders, and corners.
@@ -192,11 +192,11 @@ def image_copies(images: DataFrame) -> DataFrame:
     kept = reps.select(F.col("rep").alias("image_id"))
     feats = staged(image_features(images.join(kept, "image_id", "left_semi").dropDuplicates(["image_id"])).withColumnRenamed("image_id", "rep"))
     entries = feats.select("rep", F.explode("keys").alias("table_key"))
-    crowds = entries.groupBy("table_key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
+    crowds = entries.groupBy("table_key").agg(F.count("*").alias("n")).where("n > 1")
     met = staged(entries.join(crowds, "table_key"))
     small, large = met.where(F.col("n") <= SMALL_BUCKET), met.where(F.col("n") > SMALL_BUCKET)
     x, y = (small.select("table_key", F.col("rep").alias(c)) for c in "ab")
-    pairs = x.join(y, "table_key").where("a < b").select("a", "b").union(large.where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))).distinct()
+    pairs = x.join(y, "table_key").where("a < b").select("a", "b").union(pivot_pairs(met, ["table_key"], SMALL_BUCKET)).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landloom.llm.classes import components, joined_in_blocks, joining
+from landloom.llm.classes import components, joined_in_blocks, joining, pivot_pairs
 from landloom.llm.common import read, staged
 from landloom.llm.shingles import Words, mix, occurrence_labelled, shingles
 
@@ -200,14 +200,6 @@ def _small_pairs(met: DataFrame) -> DataFrame:
     return x.join(y, BUCKET).where("a < b").select("a", "b")
 
 
-def _pivot_pairs(met: DataFrame) -> DataFrame:
-    """a, b of the pivots of large buckets with all other members."""
-    weights = met.groupBy("rep").agg(F.sum("n").alias("weight"))
-    large = met.where(F.col("n") > SMALL_BUCKET).join(weights, "rep")
-    pivots = large.groupBy(*BUCKET).agg(F.max(F.struct("weight", "rep")).alias("pivot")).select(*BUCKET, F.col("pivot.rep").alias("pivot"))
-    return large.join(pivots, BUCKET).where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-
-
 def _candidates(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs that agree on LEAST_AGREED sketches and whose numbers of k-mers allow the threshold."""
     pairs = pairs.distinct()
@@ -262,7 +254,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = sketches.select("rep", F.posexplode("bands").alias(*BUCKET))
     met = staged(entries.join(entries.groupBy(*BUCKET).agg(F.count("*").alias("n")).where("n > 1"), BUCKET))
     sketches = staged(sketches.join(met.select("rep").distinct(), "rep", "left_semi"))
-    pairs = staged(_candidates(_small_pairs(met).union(_pivot_pairs(met)), sketches, threshold))
+    pairs = staged(_candidates(_small_pairs(met).union(pivot_pairs(met, BUCKET, SMALL_BUCKET)), sketches, threshold))
 
     needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(met.where(F.col("n") > SMALL_BUCKET).select("rep")).distinct())
     ids = staged(reps.select("rep", "doc_id").join(needed, "rep").select("doc_id").distinct())
