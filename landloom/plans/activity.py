@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from landloom.functions.normalize import size_text
 from landloom.sources.tables import table
 
 
 def st5_progress(events: DataFrame) -> DataFrame:
-    """Events and errors in windows of an hour; works on batches and, with a watermark, on streams."""
-    return events.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("value").alias("bytes")).select(F.col("window.start").alias("start"), "n", "errors", F.round("bytes", 2).alias("bytes"))
+    """Events, errors and rate a minute of each worker in windows of 30 seconds; works on batches and, with a watermark, on streams."""
+    by = events.groupBy(F.window("ts", "30 seconds"), (F.col("event_id") % 7).alias("worker"))
+    return by.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("value").alias("bytes")).select(F.col("window.start").alias("start"), "worker", "n", "errors", (F.col("n") * 2).alias("rate"), F.round("bytes", 2).alias("bytes"))
 
 
 def st5_progress_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,28 +23,33 @@ def st3_queue_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of each queue item by its last event; a claim (click) of over ten minutes before the last event of all is stale."""
     e = table(spark, sf_dir, "events")
     now = e.agg(F.max("ts").alias("now"))
-    last = e.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("nth = 1")
+    last = e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("of")).select("user_id", "of.*")
     stale = (F.col("event_type") == "click") & (F.col("ts") < F.col("now") - F.expr("INTERVAL 10 MINUTES"))
-    return last.join(F.broadcast(now)).select(F.col("user_id").alias("item"), F.col("event_type").alias("status"), stale.alias("stale"))
+    return last.join(F.broadcast(now)).select(F.col("user_id").alias("item"), F.col("event_type").alias("status"), stale.alias("stale"))  # one row
 
 
 def agg14_request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by category: count, bytes, first start and last end, with the change of the count against the category before."""
-    by = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("bytes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    return by.withColumn("change", F.col("n") - F.lag("n").over(Window.orderBy("category")))  # a row for each category
+    """Requests by category up to the moment the page is ready (two thirds of the log's time): count, bytes as told, first start, last end, mean duration and span in seconds, with the change of the count against the category before. A request lasts a tenth of a second for each unit of its value."""
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("category"), F.col("ts").alias("start"), (F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 100_000).cast("long")).alias("end"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("begin"))
+    ready = log.agg((F.min("begin") + F.floor((F.max("begin") - F.min("begin")) * 2 / 3)).alias("ready"))
+    early = log.join(F.broadcast(ready)).where("begin <= ready")  # one row
+    by = early.groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("bytes"), F.min("start").alias("first"), F.max("end").alias("last"), F.round(F.avg(F.col("end") - F.col("begin")) / 1e6, 4).alias("mean_seconds"), ((F.max("end") - F.min("begin")) / 1e6).alias("span"))
+    return by.withColumn("change", F.col("n") - F.lag("n").over(Window.orderBy("category"))).withColumn("size", size_text(F.col("bytes")))  # a row for each category
 
 
 def st6_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each worker: events with gaps of at most an hour."""
+    """Sessions of each worker: events with gaps of less than ten minutes, with the last status."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.session_window("ts", "1 hour").alias("s"), "user_id").agg(F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("status")).select("user_id", F.col("s.start").alias("start"), "n", "status")
+    return e.groupBy(F.session_window("ts", "10 minutes").alias("s"), "user_id").agg(F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("status")).select("user_id", F.col("s.start").alias("start"), "n", "status")
 
 
 QUERIES = {"st5_progress": st5_progress_query, "st3_queue_state": st3_queue_state, "agg14_request_log": agg14_request_log, "st6_sessions": st6_sessions}
 ORACLES = {
-    "st5_progress": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 2) AS bytes FROM events GROUP BY 1",
+    "st5_progress": "SELECT time_bucket(INTERVAL 30 SECOND, ts) AS start, event_id % 7 AS worker, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) * 2 AS rate, round(sum(value), 2) AS bytes FROM events GROUP BY 1, 2",
     "st3_queue_state": "SELECT user_id AS item, event_type AS status, event_type = 'click' AND ts < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS stale FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "agg14_request_log": "SELECT *, n - lag(n) OVER (ORDER BY category) AS change FROM (SELECT event_type AS category, count(*) AS n, round(sum(value), 2) AS bytes, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1)",
-    "st6_sessions": """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+    "agg14_request_log": """WITH l AS (SELECT *, epoch_us(ts) AS b, epoch_us(ts) + round(value * 100000)::BIGINT AS e FROM events), r AS (SELECT min(b) + floor((max(b) - min(b)) * 2 / 3)::BIGINT AS ready FROM l),
+      g AS (SELECT event_type AS category, count(*) AS n, round(sum(value), 2) AS bytes, min(ts) AS first, max(e) AS last, round(avg(e - b) / 1e6, 4) AS mean_seconds, (max(e) - min(b)) / 1e6 AS span FROM l, r WHERE b <= ready GROUP BY 1)
+      SELECT *, n - lag(n) OVER (ORDER BY category) AS change, CASE WHEN bytes < 1024 THEN bytes::BIGINT || ' B' ELSE printf('%.1f KB', bytes / 1024) END AS size FROM g""",
+    "st6_sessions": """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
       SELECT user_id, min(ts) AS start, count(*) AS n, arg_max(event_type, (ts, event_id)) AS status FROM s GROUP BY user_id, k""",
 }

@@ -37,12 +37,12 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def county_features(docs: DataFrame) -> DataFrame:
-    """name, population, region, acres, square_miles (null where not positive or empty) and geom, of documents with one feature."""
+    """name, population, region, acres, square_miles (null where not positive or empty) and geom, of documents with one feature, which has a name."""
     one = docs.select(F.from_json("doc", _COUNTIES)["features"].alias("fs")).where(F.size("fs") == 1).select(F.col("fs")[0].alias("f"))
     p = lambda c: F.col(f"f.properties.{c}")
     positive = lambda c: F.when(c > 0, c)
     geom = parsed_geometry(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
-    return one.select(p("NAME10").alias("name"), positive(p("totpop10")).alias("population"), F.nullif(p("Reg_Comm"), F.lit("")).alias("region"), positive(p("Acres")).alias("acres"), positive(p("Sq_Miles")).alias("square_miles"), geom.alias("geom"))
+    return one.select(p("NAME10").alias("name"), positive(p("totpop10")).alias("population"), F.nullif(p("Reg_Comm"), F.lit("")).alias("region"), positive(p("Acres")).alias("acres"), positive(p("Sq_Miles")).alias("square_miles"), geom.alias("geom")).where("name IS NOT NULL")
 
 
 def wkt_features(docs: DataFrame) -> DataFrame:
