@@ -33,6 +33,8 @@ DIMENSIONS = 512
 POINT = 21
 #: Labelled documents that prototypes are learned from, at most (chosen by a hash of doc_id).
 LEARN_ROWS = 20_000
+#: Tasks that bundle the learning sample, at most.
+LEARN_TASKS = 12
 #: Languages that are learned, at most.
 MAX_LANGUAGES = 1_000
 #: Rows that a worker turns into vectors at once, and trigram vectors it keeps.
@@ -107,7 +109,7 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "n": [counts[lang] for lang in sums], "v": [x.round(6).tolist() for x in sums.values()]}, pa.schema([("lang", pa.string()), ("n", pa.int64()), ("v", pa.list_(pa.float64()))]))
 
-    parts = staged(sample.select("text", "lang").mapInArrow(bundle, "lang string, n long, v array<double>"))
+    parts = staged(sample.select("text", "lang").coalesce(LEARN_TASKS).mapInArrow(bundle, "lang string, n long, v array<double>"))
     langs = sorted(r["lang"] for r in parts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
     rows = parts.where(F.col("lang").isin(langs)).select("lang", F.posexplode("v").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum(F.col("x").cast("decimal(20,6)")).alias("x")).collect()
     out = np.zeros((len(langs), DIMENSIONS), np.float32)
