@@ -36,3 +36,40 @@ def test_mix_takes_rows_of_null_and_repeated_ids(spark):
     for s in "ab":
         of = [r for r in got if r["source"] == s]
         assert all(0 < r["taken"] <= 2 * r["size"] for r in of) and abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 1
+
+
+def test_languages_without_letters_are_rejected(spark):
+    rows = [(1, "the cat and the dog", "a"), (2, "1234 !!", "a"), (3, None, "a"), (4, "", "a"), (None, "the dog and the cat", "a")]
+    df = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], SCHEMA)
+    assert sorted(((r["doc_id"] or 0) for r in P.keep_known_languages(spark, df, "").collect())) == [0, 1]
+    unlabelled = df.withColumn("lang", P.F.lit(None).cast("string"))
+    assert P.keep_known_languages(spark, unlabelled, "").count() == 5
+
+
+def test_secrets_are_redacted_row_by_row(spark):
+    rows = [(1, "my password: abcdef12 end", "a"), (1, "clean text", "a"), (None, "token = abcdefgh", "a"), (2, None, "a")]
+    df = spark.createDataFrame([(i, t, "en", s, 99) for i, t, s in rows], SCHEMA).withColumn("secrets", P.F.lit("clash"))
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in P.redact_secrets(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, "my [assign] end", 15), (1, "clean text", 99), (0, "[assign]", 8), (2, None, 99)], key=str)
+
+
+def test_whole_run_against_what_was_planted(spark, tmp_path):
+    """Every stage's decision on 60 clean documents and planted ones; then an empty corpus."""
+    rng = random.Random(9)
+    clean = [(i, " ".join(words(rng, 60)), "ab"[i % 2]) for i in range(60)]
+    item = " ".join(f"q{i}" for i in range(30))
+    copy = clean[0][1] + " tail"
+    rows = [*clean, (100, copy, "a"), (101, clean[1][1].upper(), "b"), (102, " ".join(words(rng, 20)) + " " + item, "a"), (103, "12 34 !!", "a"), (104, " ".join(words(rng, 40)) + " password = hunter22x", "b"), (105, None, "a")]
+    folder = str(tmp_path / "one")
+    table(spark, [(i, t or "", s) for i, t, s in rows]).withColumn("text", P.F.when(P.F.col("doc_id") != 105, P.F.col("text"))).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in P.run(spark, folder).collect()}
+    assert set(got) == {*range(60), 104}
+    assert got[104]["text"].endswith("[assign]") and all(got[i]["text"] == t for i, t, _ in clean)
+    for s in "ab":
+        own = [r for r in got.values() if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and all(r["taken"] <= 2 * r["size"] for r in own)
+    empty = str(tmp_path / "none")
+    table(spark, rows[:1]).limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert P.run(spark, empty).count() == 0
