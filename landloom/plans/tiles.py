@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.functions.geo import CELLS, WORLD, area, bbox, cell, centroid, clipped, intersects, mercator_x, mercator_y, point_on_surface, preview_path, square, tile_envelope, tile_x, tile_y
+from landloom.functions.geo import CELLS, WORLD, area, bbox, buffer_pixels, cell, centroid, clipped, intersects, mercator_x, mercator_y, point_on_surface, preview_path, square, tile_envelope, tile_x, tile_y
 from landloom.functions.normalize import feature_id
 from landloom.plans.taxes import taxed_parcels
 from landloom.sources.tables import counties, parcels, with_tables
@@ -53,15 +53,25 @@ def parcel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(feature_id(F.col("county_id"), F.col("objectid")).alias("feature_id"), "id", "county_id", "mx", "my", "side", shape.alias("geom")).withColumn("bbox", bbox(F.col("geom")))
 
 
+def _extent(points: Column) -> list[Column]:
+    flat = F.flatten(F.flatten(points))
+    low = lambda f: F.array_min(F.transform(flat, lambda p: p[f]))
+    high = lambda f: F.array_max(F.transform(flat, lambda p: p[f]))
+    return [low("x").alias("px0"), low("y").alias("py0"), high("x").alias("px1"), high("y").alias("py1")]
+
+
 def q13_parcel_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of every parcel tile; label_count counts those whose centre, and so whose label, the tile owns."""
+    """Features of every parcel tile with the extent of their clipped shapes; label_count counts those whose centre, and so whose label, the tile owns."""
     f = parcel_features(spark, sf_dir)
     cx, cy = F.col("mx") + F.col("side") / 2, F.col("my") + F.col("side") / 2
     own = F.lit(False)
     for z in PARCEL_ZOOMS:
         own = own | ((F.col("z") == z) & (F.col("x") == tile_x(cx, z)) & (F.col("y") == tile_y(cy, z)))
-    tiles = tiles_touched(f, PARCEL_ZOOMS).groupBy("z", "x", "y").agg(F.sort_array(F.collect_list("feature_id")).alias("ids"), F.count("*").alias("feature_count"), F.count_if(own).alias("label_count"))
-    return tiles.select("z", "x", "y", F.array_join("ids", ",").alias("feature_ids"), "feature_count", "label_count")
+    shape = clipped(F.col("geom"), F.col("z"), F.col("x"), F.col("y"), buffer_pixels(F.col("z")))
+    told = tiles_touched(f, PARCEL_ZOOMS).withColumn("owned", own).withColumn("shape", shape).select("z", "x", "y", "feature_id", "owned", *_extent(F.col("shape")))
+    sides = [g(c).alias(c) for g, c in ((F.min, "px0"), (F.min, "py0"), (F.max, "px1"), (F.max, "py1"))]
+    tiles = told.groupBy("z", "x", "y").agg(F.sort_array(F.collect_list("feature_id")).alias("ids"), F.count("*").alias("feature_count"), F.count_if("owned").alias("label_count"), *sides)
+    return tiles.select("z", "x", "y", F.array_join("ids", ",").alias("feature_ids"), "feature_count", "label_count", "px0", "py0", "px1", "py1")
 
 
 def geo_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,13 +111,6 @@ def q12_tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tile_cover(county_features(spark, sf_dir), held)
 
 
-def _extent(points: Column) -> list[Column]:
-    flat = F.flatten(F.flatten(points))
-    low = lambda f: F.array_min(F.transform(flat, lambda p: p[f]))
-    high = lambda f: F.array_max(F.transform(flat, lambda p: p[f]))
-    return [low("x").alias("px0"), low("y").alias("py0"), high("x").alias("px1"), high("y").alias("py1")]
-
-
 def q14_county_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of county tiles: outlines clipped to the tile's grid (its extent told), and labels, each owned by one tile."""
     f = county_features(spark, sf_dir)
@@ -165,20 +168,21 @@ def agg12_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (q15_tax_heatmap, q13_parcel_tiles, geo_measures, q12_tile_cover, q14_county_tiles, q16_tax_parcel_tiles, q24_tile_lookup, q5_parcel_previews, agg12_regions)}
 _W = repr(WORLD)
+_CLIP = lambda b, x0, y0, x1, y1: f"round((greatest({x0}, ex0 - w * {b} / 4096) - ex0) / w * 4096)::INT AS px0, round((ey1 - least({y1}, ey1 + w * {b} / 4096)) / w * 4096)::INT AS py0, round((least({x1}, ex0 + w + w * {b} / 4096) - ex0) / w * 4096)::INT AS px1, round((ey1 - greatest({y0}, ey1 - w - w * {b} / 4096)) / w * 4096)::INT AS py1"
 ORACLES = {
     "q15_tax_heatmap": with_tables("parcels parcel_taxes taxes", f""", levels AS (SELECT unnest(range({COARSEST}, {FINEST + 1}))::INT AS z),
       cells AS (SELECT z, tax_year, floor(mx / ({_W} / pow(2, z) / {CELLS}))::BIGINT AS ix, floor(my / ({_W} / pow(2, z) / {CELLS}))::BIGINT AS iy, tax_amount FROM parcels JOIN taxes ON id = taxes.parcel_id, levels WHERE tax_amount > 0 AND processed IS NULL AND objectid IS NOT NULL)
       SELECT z, tax_year, ix, iy, (floor(ix / {CELLS}) + pow(2, z - 1))::BIGINT AS x, (pow(2, z - 1) - 1 - floor(iy / {CELLS}))::BIGINT AS y, round(avg(tax_amount), 6) AS mean_tax, count(*) AS n FROM cells GROUP BY ALL""").replace(" , levels", ", levels"),
     "q13_parcel_tiles": with_tables("parcels", f""", levels AS (SELECT unnest(range(13, 20))::INT AS z), p AS (SELECT *, county_id::VARCHAR || '_' || objectid::VARCHAR AS fid, ({_W} / pow(2, z)) AS w FROM parcels, levels WHERE processed IS NULL AND objectid IS NOT NULL),
       r AS (SELECT *, floor((mx + {_W} / 2) / w)::INT AS x0, floor((mx + side + {_W} / 2) / w)::INT AS x1, floor(({_W} / 2 - (my + side)) / w)::INT AS y0, floor(({_W} / 2 - my) / w)::INT AS y1, floor((mx + side / 2 + {_W} / 2) / w)::INT AS cx, floor(({_W} / 2 - (my + side / 2)) / w)::INT AS cy FROM p),
-      t AS (SELECT z, fid, x::INT AS x, unnest(range(y0, y1 + 1))::INT AS y, cx, cy FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM r))
-      SELECT z, x, y, string_agg(fid, ',' ORDER BY fid) AS feature_ids, count(*) AS feature_count, count(*) FILTER (x = cx AND y = cy) AS label_count FROM t GROUP BY ALL""").replace(" , levels", ", levels"),
+      t AS (SELECT *, x::INT AS tx, unnest(range(y0, y1 + 1))::INT AS ty FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM r)),
+      e AS (SELECT *, tx * w - {_W} / 2 AS ex0, {_W} / 2 - ty * w AS ey1, CASE WHEN z >= 18 THEN 16 WHEN z >= 17 THEN 32 ELSE 256 END AS px FROM t), s AS (SELECT z, tx, ty, fid, cx, cy, {_CLIP("px", "mx", "my", "mx + side", "my + side")} FROM e)
+      SELECT z, tx AS x, ty AS y, string_agg(fid, ',' ORDER BY fid) AS feature_ids, count(*) AS feature_count, count(*) FILTER (tx = cx AND ty = cy) AS label_count, min(px0) AS px0, min(py0) AS py0, max(px1) AS px1, max(py1) AS py1 FROM s GROUP BY ALL""").replace(" , levels", ", levels"),
     "geo_measures": with_tables("parcels", "SELECT county_id, sum(side * side) AS area, min(mx) AS minx, min(my) AS miny, max(mx + side) AS maxx, max(my + side) AS maxy FROM parcels WHERE processed IS NULL AND objectid IS NOT NULL GROUP BY county_id"),
 }
 _PARTS = f"""p AS (SELECT *, county_id::VARCHAR || '_' || objectid::VARCHAR AS fid, ({_W} / pow(2, z)) AS w FROM parcels, levels WHERE processed IS NULL AND objectid IS NOT NULL),
       r AS (SELECT *, floor((mx + {_W} / 2) / w)::INT AS x0, floor((mx + side + {_W} / 2) / w)::INT AS x1, floor(({_W} / 2 - (my + side)) / w)::INT AS y0, floor(({_W} / 2 - my) / w)::INT AS y1 FROM p),
       t AS (SELECT *, x::INT AS tx, unnest(range(y0, y1 + 1))::INT AS ty FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM r))"""
-_CLIP = lambda b, x0, y0, x1, y1: f"round((greatest({x0}, ex0 - w * {b} / 4096) - ex0) / w * 4096)::INT AS px0, round((ey1 - least({y1}, ey1 + w * {b} / 4096)) / w * 4096)::INT AS py0, round((least({x1}, ex0 + w + w * {b} / 4096) - ex0) / w * 4096)::INT AS px1, round((ey1 - greatest({y0}, ey1 - w - w * {b} / 4096)) / w * 4096)::INT AS py1"
 _ENV = f"tx * w - {_W} / 2 AS ex0, {_W} / 2 - ty * w AS ey1"
 _MERC = "radians(minx) * 6378137.0 AS bx0, radians(maxx) * 6378137.0 AS bx1, ln(tan(radians(miny) / 2 + pi() / 4)) * 6378137.0 AS by0, ln(tan(radians(maxy) / 2 + pi() / 4)) * 6378137.0 AS by1"
 _LEVELS = lambda a, b: f", levels AS (SELECT unnest(range({a}, {b}))::INT AS z)"
@@ -191,7 +195,7 @@ ORACLES |= {
     "q16_tax_parcel_tiles": with_tables("parcels parcel_taxes taxes", f"""{_LEVELS(13, 20)}, {_PARTS}, e AS (SELECT *, {_ENV} FROM t), s AS (SELECT z, tx AS x, ty AS y, id, {_CLIP(16, "mx", "my", "mx + side", "my + side")} FROM e), k AS (SELECT * FROM s WHERE px1 > px0 AND py1 > py0)
       SELECT z, x, y, tax_year, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, count(*) AS feature_count, round(sum(tax_amount), 4) AS tax, min(px0) AS px0, min(py0) AS py0, max(px1) AS px1, max(py1) AS py1 FROM k JOIN taxes ON id = taxes.parcel_id WHERE tax_amount > 0 GROUP BY ALL"""),
     "q24_tile_lookup": with_tables("parcels", f"""{_LEVELS(13, 20)}, asked AS (SELECT DISTINCT z, floor((mx + {_W} / 2) / w)::INT AS x, floor(({_W} / 2 - my) / w)::INT AS y FROM (SELECT *, {_W} / pow(2, z) AS w FROM parcels, levels)), tiles AS ({ORACLES["q13_parcel_tiles"]})
-      SELECT z, x, y, feature_ids, feature_count, label_count FROM asked LEFT JOIN tiles USING (z, x, y)"""),
+      SELECT z, x, y, feature_ids, feature_count, label_count, px0, py0, px1, py1 FROM asked LEFT JOIN tiles USING (z, x, y)"""),
     "q5_parcel_previews": with_tables("parcels", "SELECT county_id::VARCHAR || '_' || objectid::VARCHAR AS feature_id, 'M5.0 59.0 L59.0 59.0 L59.0 5.0 L5.0 5.0 L5.0 59.0 Z' AS path FROM parcels WHERE processed IS NULL AND objectid IS NOT NULL AND id % 100 = 0 AND id % 300 <> 0 AND id % 700 <> 0 AND county_id > 0"),
     "agg12_regions": with_tables("parcels", f"""{_LEVELS(6, 17)}, c AS (SELECT z, floor((mx + {_W} / 2) / ({_W} / pow(2, z)))::INT AS x, floor(({_W} / 2 - my) / ({_W} / pow(2, z)))::INT AS y, count(*) AS n FROM parcels, levels WHERE processed IS NULL AND objectid IS NOT NULL GROUP BY ALL)
       SELECT c.z, c.x, c.y, c.n FROM c LEFT JOIN c AS u ON u.z = c.z - 1 AND u.x = c.x // 2 AND u.y = c.y // 2 WHERE (c.n < 500 OR c.z = 16) AND (u.n IS NULL OR u.n >= 500)"""),
