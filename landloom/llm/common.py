@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='landloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from landloom.operators.staging import staged
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/landloom/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_sample", "read", "staged", "text_of"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
