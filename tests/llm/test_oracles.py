@@ -10,8 +10,9 @@ def test_against_duckdb(spark, name):
     assert same(spark, registry.queries()[name], registry.oracle_sql()[name])
 
 
-def test_targets_fill_up_to_the_cap():
-    got = mixing.source_targets({"a": 100, "b": 1000, "c": 100}, {"a": 3, "b": 1, "c": 2}, 1.5)
+def test_targets_fill_up_to_the_cap(spark):
+    totals = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 100)], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(totals, mixing.WEIGHTS, 1.5).collect()}
     assert got == {"a": 200.0, "c": 200.0, "b": 1400.0}
 
 
