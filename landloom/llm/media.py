@@ -38,7 +38,7 @@ from landloom.llm.common import read, staged
 #: Pixels for each corner, corners of the smallest pictures, longest side that is described, and scales of the pyramid.
 CORNER_PIXELS, LEAST_CORNERS, MAX_SIDE, SCALES, STEP = 96, 12, 256, 3, 1.4
 BITS, TABLES, KEY_BITS, RADIUS, TURNS = 256, 12, 40, 7, 32
-MAX_HAMMING, SMALL_BUCKET = 48, 8
+MAX_HAMMING, SMALL_BUCKET = 48, 2
 #: Matches that agree in a link: so many, and this share of the corners of the picture with fewer of them.
 MIN_VOTES, VOTE_SHARE = 6, 0.1
 #: Images of a block of a key's holders, and corners.
