@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("url_filters", "secrets", "decontamination", "suffix_dedup", "pii", "media", "near_duplicates", "languages", "quality", "mixing", "prefix_trie")
+MODULES = ("url_filters", "secrets", "decontamination", "suffix_dedup", "pii", "media", "near_duplicates", "languages", "quality", "mixing", "prefix_trie", "conversation_repair", "html_text")
 
 
 def _collect(attribute: str) -> dict:
