@@ -157,7 +157,8 @@ def buffer_pixels(z: Column) -> Column:
     return F.when(z >= 18, 16).when(z >= 17, 32).otherwise(256)
 
 
-def _edges(ring: Column) -> Column:
+def edges_of_ring(ring: Column) -> Column:
+    """Segments a, b of a line of points, in order."""
     return F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i + 1).alias("b")))
 
 
@@ -175,7 +176,7 @@ def _cut(ring: Column, axis: str, limit: Column, above: bool) -> Column:
         a, b = e["a"], e["b"]
         return F.when(inside(a) & inside(b), F.array(b)).when(inside(b), F.array(crossing(a, b), b)).when(inside(a), F.array(crossing(a, b))).otherwise(F.slice(F.array(b), 1, 0))
 
-    points = lambda r: F.flatten(F.transform(_edges(r), kept))
+    points = lambda r: F.flatten(F.transform(edges_of_ring(r), kept))
     closed = lambda ps: F.when(F.size(ps) > 2, F.concat(ps, F.slice(ps, 1, 1))).otherwise(F.slice(ps, 1, 0))
     return let(ring, lambda r: F.when(F.size(r) > 3, let(points(r), closed)).otherwise(F.slice(r, 1, 0)))
 
@@ -208,14 +209,14 @@ def intersects(ring: Column, box: Column) -> Column:
         sides = [F.signum((b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])) for x, y in corners]
         return near & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
-    return F.exists(_edges(ring), meets) | covers(ring, *corners[0])
+    return F.exists(edges_of_ring(ring), meets) | covers(ring, *corners[0])
 
 
 def point_on_surface(ring: Column) -> Column:
     """The middle of the widest span inside a ring at half its height."""
 
     def widest(half: Column) -> Column:
-        crosses = F.filter(_edges(ring), lambda e: (e["a"]["y"] > half) != (e["b"]["y"] > half))
+        crosses = F.filter(edges_of_ring(ring), lambda e: (e["a"]["y"] > half) != (e["b"]["y"] > half))
         xs = F.array_sort(F.transform(crosses, lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * (half - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"])))
         spans = lambda held: F.transform(F.sequence(F.lit(1), F.size(held) - 1, F.lit(2)), lambda i: F.struct((F.element_at(held, i + 1) - F.element_at(held, i)).alias("width"), ((F.element_at(held, i + 1) + F.element_at(held, i)) / 2).alias("x")))
         return F.struct(let(xs, lambda held: F.array_max(spans(held))["x"]).alias("x"), half.alias("y"))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("taxes", "tiles", "owners", "places", "activity", "loads", "search", "queue")
+MODULES = ("taxes", "tiles", "owners", "places", "activity", "loads", "search", "queue", "shapes")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,29 @@ def counties(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Lots of a row, and points that a border between two of them has besides its ends.
+LOT_ROW, LOT_STEPS = 25, 9
+
+
+def _lot_border(i: Column, j: Column, upright: bool) -> Column:
+    """How far each point of a border stands out of its straight line: a spike of 30 in every fourth, else by 1 at most."""
+    a, b = (i * 5 + j * 3, i * 2 + j * 7) if upright else (i * 3 + j * 5, i * 7 + j * 3)
+    side = F.when((i + j) % 2 == 0, 6).otherwise(-6)
+    return F.transform(F.sequence(F.lit(1), F.lit(LOT_STEPS)), lambda t: F.when(a % 4 == 0, side * F.least(t, 10 - t)).otherwise((b + t * 5) % 3 - 1).cast("double"))
+
+
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, county_id, geom: lots of 100 by 100 side by side, whose jagged borders neighbours share point by point."""
+    n = F.col("c_custkey")
+    i, j = n % LOT_ROW, F.floor(n / LOT_ROW)
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    level = lambda i, j: F.transform(_lot_border(i, j, False), lambda d, t: point(i * 100 + (t + 1) * 10, j * 100 + d))
+    upright = lambda i, j: F.transform(_lot_border(i, j, True), lambda d, t: point(i * 100 + d, j * 100 + (t + 1) * 10))
+    corner = lambda i, j: F.array(point(i * 100, j * 100))
+    ring = F.concat(corner(i, j), level(i, j), corner(i + 1, j), upright(i + 1, j), corner(i + 1, j + 1), F.reverse(level(i, j + 1)), corner(i, j + 1), F.reverse(upright(i, j)), corner(i, j))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("county_id"), F.array(F.array(ring)).alias("geom"))
+
+
 def class_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.col("code")
     category = F.when(code.isin("HOUSEHOLD", "FURNITURE"), "Residential").when(code == "AUTOMOBILE", "Commercial").otherwise("Other")
@@ -83,6 +106,11 @@ def zip_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_border(i: str, j: str, upright: bool) -> str:
+    a, b = (f"{i} * 5 + {j} * 3", f"{i} * 2 + {j} * 7") if upright else (f"{i} * 3 + {j} * 5", f"{i} * 7 + {j} * 3")
+    return f"list_transform(range(1, {LOT_STEPS + 1}), lambda t: CASE WHEN ({a}) % 4 = 0 THEN (CASE WHEN ({i} + {j}) % 2 = 0 THEN 6 ELSE -6 END) * least(t, 10 - t) ELSE ({b} + t * 5) % 3 - 1 END)"
+
+
 _K = "c_custkey"
 _SITE = f"(100 + {_K} % 60)::VARCHAR || ' ' || {_sql_pick(STREET, f'{_K} % 5')} || ' ' || {_sql_pick(KIND, f'({_K} // 7) % 4')}"
 
@@ -102,6 +130,9 @@ CTES = {
       FROM nation JOIN region ON n_regionkey = r_regionkey)""",
     "class_codes": """class_codes AS (SELECT county_id, code, category, category = 'Residential' AS is_residential FROM (SELECT DISTINCT c_nationkey AS county_id, c_mktsegment AS code,
       CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'Residential' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Commercial' ELSE 'Other' END AS category FROM customer WHERE c_nationkey % 7 <> 3))""",
+    "lots": f"""places AS (SELECT c_custkey AS id, c_nationkey AS county_id, c_custkey % {LOT_ROW} AS i, c_custkey // {LOT_ROW} AS j FROM customer),
+      lots AS (SELECT *, (i * 3 + j * 5) % 4 = 0 AS spike_s, (i * 3 + (j + 1) * 5) % 4 = 0 AS spike_n, (i * 5 + j * 3) % 4 = 0 AS spike_w, ((i + 1) * 5 + j * 3) % 4 = 0 AS spike_e,
+        {_sql_border("i", "j", False)} AS bs, {_sql_border("i", "(j + 1)", False)} AS bn, {_sql_border("i", "j", True)} AS bw, {_sql_border("(i + 1)", "j", True)} AS be FROM places)""",
     "zip_areas": """zip_areas AS (SELECT (30000 + county_id)::VARCHAR AS zip5, minx - 0.04::DOUBLE AS minx, miny - 0.04::DOUBLE AS miny, maxx + 0.04::DOUBLE AS maxx, maxy + 0.04::DOUBLE AS maxy FROM counties WHERE county_id % 6 <> 5)""",
     "zip_cities": """zip_cities AS (SELECT (30000 + n_nationkey)::VARCHAR AS zip5, 'Town ' || n_nationkey AS city, n_nationkey % 3 = 0 AS is_preferred FROM nation WHERE n_nationkey % 8 <> 6
       UNION ALL SELECT (30000 + n_nationkey)::VARCHAR, 'Burg ' || n_nationkey, n_nationkey % 3 = 1 FROM nation WHERE n_nationkey % 8 <> 6)""",
