@@ -20,12 +20,17 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def share_of(bound: int, n: int) -> int:
+    """Below which of 2^63 numbers a hash must lie for about `bound` of n rows to be chosen."""
+    return (bound << 63) // n
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
     """Different rows of df, about `bound` of them at most, chosen by a hash of the key and the row, the same on every run.
 
-    Rows of one key are chosen apart and equal rows count once, so that no repeated key or row exceeds the bound."""
+    Rows of one key are chosen apart and equal rows count once, so that no repeated key or row exceeds the bound. The
+    hash has 63 bits, so the share does not vanish on any corpus."""
     n = df.count()
     if n > bound:
-        share = int(bound / n * 1_000_000)
-        df = df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed), *df.columns), F.lit(1_000_000)) < share)
+        df = df.where(F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(seed), *df.columns), 1) < share_of(bound, n))
     return df.dropDuplicates()

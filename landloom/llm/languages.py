@@ -6,11 +6,11 @@ vector bundles its trigrams' vectors by addition. A language's prototype bundles
 texts learned for it; a text gets the language whose prototype has the highest cosine
 with it.
 
-Cases: null texts and texts without a letter are ``und`` with score 0, as are texts at
-no positive cosine to any prototype; whole texts are read, however long; ties go to
+Cases: null texts and texts without a letter are ``und`` with score 0; a text with letters
+gets the best language, with score 0 if no cosine is positive; whole texts are read, however long; ties go to
 the language first by code point; repeated rows are each judged (but learned from
-once); of more than MAX_LANGUAGES languages those with most learning documents are
-learned, ties by code point; without a row to learn from every text is ``und``; an
+once); every language of the learning sample is learned, so there are LEARN_ROWS of them
+at most; without a row to learn from every text is ``und``; an
 empty table gives an empty result; columns named lang_pred and score are replaced,
 others kept, whatever their names.
 """
@@ -35,8 +35,6 @@ POINT = 21
 LEARN_ROWS = 20_000
 #: Tasks that bundle the learning sample, at most.
 LEARN_TASKS = 12
-#: Languages that are learned, at most.
-MAX_LANGUAGES = 1_000
 #: Rows that a worker turns into vectors at once, and trigram vectors it keeps.
 BATCH, KEPT = 256, 60_000
 
@@ -110,12 +108,11 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "n": [counts[lang] for lang in sums], "v": [x.round(6).tolist() for x in sums.values()]}, pa.schema([("lang", pa.string()), ("n", pa.int64()), ("v", pa.list_(pa.float64()))]))
 
     parts = staged(sample.select("text", "lang").coalesce(LEARN_TASKS).mapInArrow(bundle, "lang string, n long, v array<double>"))
-    langs = sorted(r["lang"] for r in parts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
-    rows = parts.where(F.col("lang").isin(langs)).select("lang", F.posexplode("v").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum(F.col("x").cast("decimal(20,6)")).alias("x")).collect()
-    out = np.zeros((len(langs), DIMENSIONS), np.float32)
-    place = {lang: i for i, lang in enumerate(langs)}
-    for r in rows:
-        out[place[r["lang"]], r["dim"]] = float(r["x"])
+    sums = parts.select("lang", F.posexplode("v").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum(F.col("x").cast("decimal(20,6)")).cast("double").alias("x"))
+    rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).select("lang", "v.x").collect()  # a row for each language of the sample
+    langs = sorted(r["lang"] for r in rows)
+    told = {r["lang"]: r["x"] for r in rows}
+    out = np.array([told[lang] for lang in langs], np.float32).reshape(len(langs), DIMENSIONS)
     return langs, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -137,7 +134,7 @@ def predict_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray,
                     else:
                         cosines = prototypes @ v / max(float(np.linalg.norm(v)), 1e-12)
                         best = int(np.argmax(cosines))
-                        names.append(langs[best] if cosines[best] > 0 else "und"), scores.append(min(1.0, max(0.0, float(cosines[best]))))
+                        names.append(langs[best]), scores.append(min(1.0, max(0.0, float(cosines[best]))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return rest.mapInArrow(judge, T.StructType([*rest.schema.fields]).add("lang_pred", "string").add("score", "double"))

@@ -140,8 +140,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     docs = read(spark, sf_dir, "documents").withColumn("held_out", fold).select("doc_id", "held_out", "text")
     labels = bounded_sample(read(spark, sf_dir, "labels").where(~fold & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label")), "doc_id", LEARN_ROWS, 5)
-    labelled = docs.join(F.broadcast(labels), "doc_id")  # LEARN_ROWS rows of two numbers
-    scored = score_quality(docs, learn_quality(labelled))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # LEARN_ROWS rows of two numbers
+    scored = score_quality(docs, learn_quality(bounded_sample(labelled, "doc_id", LEARN_ROWS, 6)))  # again, since a doc_id may have many texts
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

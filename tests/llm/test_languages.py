@@ -50,9 +50,9 @@ def test_against_brute_force(spark):
     assert sum(got[r[0]][0] == r[2] for r in rows) >= 0.8 * len(rows)
 
 
-def test_cases(spark, monkeypatch):
+def test_cases(spark):
     rng = random.Random(4)
-    rows = [(1, text(rng, "aa"), "aa", "x")] * 3 + [(2, None, "aa", "x"), (3, "", None, "x"), (4, "123 !?", "bb", "x"), (None, text(rng, "bb"), "bb", "x"), (5, text(rng, "zh", 300_000), None, "x")]
+    rows = [(1, text(rng, "aa"), "aa", "x")] * 3 + [(2, None, "aa", "x"), (3, "", None, "x"), (4, "123 !?", "bb", "x"), (None, text(rng, "bb"), "bb", "x"), (5, text(rng, "zh", 300_000), None, "x"), (6, "Ξένη γλώσσα και άλλα", None, "x"), (7, "日本語の文", None, "x"), (8, "русский текст", None, "x")]
     docs = spark.createDataFrame(rows, SCHEMA)
     langs, prototypes = L.learn_prototypes(docs)
     assert langs == ["aa", "bb"]
@@ -62,8 +62,14 @@ def test_cases(spark, monkeypatch):
     assert L.predict_languages(docs.limit(0), langs, prototypes).count() == 0
     twins = np.stack([prototypes[0], prototypes[0]])
     assert L.predict_languages(docs.where("doc_id = 1"), ["m", "n"], twins).first()["lang_pred"] == "m"
-    monkeypatch.setattr(L, "MAX_LANGUAGES", 1)
-    assert L.learn_prototypes(docs.where("lang = 'aa'").union(spark.createDataFrame([(i, text(rng, "bb"), "bb", "x") for i in range(3)], SCHEMA)))[0] == ["bb"]
+    foreign = L.predict_languages(docs, langs, prototypes).where("doc_id > 5").collect()
+    assert len(foreign) == 3 and all(r["lang_pred"] in ("aa", "bb") and 0 <= r["score"] <= 1 for r in foreign)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(5)
+    rows = [(i, text(rng, "aa") + f" q{i}", f"l{i:04}", "x") for i in range(1001)]
+    assert L.learn_prototypes(spark.createDataFrame(rows, SCHEMA))[0] == [f"l{i:04}" for i in range(1001)]
 
 
 def test_held_out_accuracy(spark):
