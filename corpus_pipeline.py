@@ -23,7 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no learned language (without a letter, or at no angle to any profile)."""
+    """Drops documents without a letter, which are in no language."""
     langs, prototypes = learn_prototypes(docs)
     if not langs:
         return docs.select(*COLUMNS)
