@@ -102,6 +102,36 @@ def covers(ring: Column, x: Column, y: Column) -> Column:
     return on_edge | (F.size(F.filter(edges, crossing)) % 2 == 1)
 
 
+def centroid_of(geometry: Column) -> Column:
+    """Centroid of a multipolygon: of all shells without their holes; null without area."""
+    zero = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
+
+    def add(s: Column, ring: Column, hole: Column) -> Column:
+        def moments(m: Column) -> Column:
+            sign = F.when(m["area"] < 0, -1.0).otherwise(1.0) * F.when(hole, -1.0).otherwise(1.0)
+            at = lambda axis, k: m[k] / 3 + m["area"] * ring[0][axis]
+            return F.struct((s["area"] + sign * m["area"]).alias("area"), (s["mx"] + sign * at("x", "mx")).alias("mx"), (s["my"] + sign * at("y", "my")).alias("my"))
+
+        return F.transform(F.array(ring_sums(ring)), moments)[0]
+
+    rings = F.flatten(F.transform(geometry, lambda rings: F.transform(rings, lambda r, i: F.struct(r.alias("r"), (i > 0).alias("hole")))))
+    total = F.aggregate(rings, zero, lambda s, r: add(s, r["r"], r["hole"]))
+    return F.transform(F.array(total), lambda t: F.when(t["area"] > 0, F.struct((t["mx"] / t["area"]).alias("x"), (t["my"] / t["area"]).alias("y"))))[0]
+
+
+def covers_any(geometry: Column, x: Column, y: Column) -> Column:
+    """Whether polygons with holes and parts cover a point: on a ring, or inside an odd number of all rings."""
+
+    def of(ring: Column) -> Column:
+        cross = lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
+        on = lambda e: (cross(e) == 0) & x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
+        passed = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & ((cross(e) > 0) == (e["b"]["y"] > e["a"]["y"]))
+        return F.transform(F.array(edges_of_ring(ring)), lambda edges: F.struct(F.exists(edges, on).alias("on"), F.size(F.filter(edges, passed)).alias("n")))[0]
+
+    rings = F.transform(F.flatten(geometry), of)
+    return F.exists(rings, lambda r: r["on"]) | (F.aggregate(rings, F.lit(0), lambda s, r: s + r["n"]) % 2 == 1)
+
+
 def haversine_miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
     return 2 * 3958.8 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
@@ -199,17 +229,17 @@ def clipped(geometry: Column, z: Column, x: Column, y: Column, pixels: Column, e
     return let(tile_envelope(z, x, y), lambda env: let(of(env), lambda g: F.when(F.size(g) > 0, g)))
 
 
-def intersects(ring: Column, box: Column) -> Column:
-    """Whether a ring's area and a box (minx, miny, maxx, maxy) touch."""
+def meets_box(geometry: Column, box: Column) -> Column:
+    """Whether polygons with holes and parts meet a box: a ring passes it, or its corner is covered (a box within a hole meets nothing)."""
     corners = [(box["minx"], box["miny"]), (box["maxx"], box["miny"]), (box["maxx"], box["maxy"]), (box["minx"], box["maxy"])]
 
-    def meets(e: Column) -> Column:
+    def passes(e: Column) -> Column:
         a, b = e["a"], e["b"]
         near = (F.least(a["x"], b["x"]) <= box["maxx"]) & (F.greatest(a["x"], b["x"]) >= box["minx"]) & (F.least(a["y"], b["y"]) <= box["maxy"]) & (F.greatest(a["y"], b["y"]) >= box["miny"])
         sides = [F.signum((b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])) for x, y in corners]
         return near & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
-    return F.exists(edges_of_ring(ring), meets) | covers(ring, *corners[0])
+    return F.exists(F.flatten(geometry), lambda ring: F.exists(edges_of_ring(ring), passes)) | covers_any(geometry, *corners[0])
 
 
 def point_on_surface(ring: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landloom.functions.geo import edges_of_ring
+from landloom.operators.spatial import spread_segments, touch
 from landloom.operators.staging import staged
 
 POINT = "struct<x:double,y:double>"
@@ -136,26 +137,15 @@ def _thinned(arcs: DataFrame) -> DataFrame:
 
 
 def segment_crossings(segments: DataFrame, cell: float) -> DataFrame:
-    """Pairs a, b (keys, a < b) of which two segments cross or touch other than in a common end. segments: key, ax, ay, bx, by.
-
-    Segments meet by the cells of a square grid that their boxes touch; one longer than many cells is cut there, not the grid's pairs grow.
-    """
-    low = lambda a, b: F.floor(F.least(a, b) / cell).cast("long")
-    high = lambda a, b: F.floor(F.greatest(a, b) / cell).cast("long")
-    gx = F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))
-    gy = F.explode(F.sequence(low("ay", "by"), high("ay", "by")))
-    spread = segments.withColumn("gx", gx).withColumn("gy", gy)
-    s, t = spread, spread.select("gx", "gy", *[F.col(c).alias(f"o_{c}") for c in ("key", "ax", "ay", "bx", "by")])
-    c = F.col
-    side = lambda px, py, qx, qy, rx, ry: F.signum((c(qx) - c(px)) * (c(ry) - c(py)) - (c(qy) - c(py)) * (c(rx) - c(px)))
-    d1, d2 = side("ax", "ay", "bx", "by", "o_ax", "o_ay"), side("ax", "ay", "bx", "by", "o_bx", "o_by")
-    d3, d4 = side("o_ax", "o_ay", "o_bx", "o_by", "ax", "ay"), side("o_ax", "o_ay", "o_bx", "o_by", "bx", "by")
-    near = (F.least("ax", "bx") <= F.greatest("o_ax", "o_bx")) & (F.least("o_ax", "o_bx") <= F.greatest("ax", "bx")) & (F.least("ay", "by") <= F.greatest("o_ay", "o_by")) & (F.least("o_ay", "o_by") <= F.greatest("ay", "by"))
-    same = lambda x, y, u, v: (c(x) == c(u)) & (c(y) == c(v))
-    joint = same("ax", "ay", "o_ax", "o_ay") | same("ax", "ay", "o_bx", "o_by") | same("bx", "by", "o_ax", "o_ay") | same("bx", "by", "o_bx", "o_by")
-    straight = (d1 == 0) & (d2 == 0)  # on one line: only a stretch in common counts
-    meets = near & (d1 * d2 <= 0) & (d3 * d4 <= 0) & ~(joint & ~straight) & ~(joint & straight & _apart())
-    return s.join(t, ["gx", "gy"]).where((c("key") < c("o_key")) & meets).select(c("key").alias("a"), c("o_key").alias("b")).distinct()
+    """Pairs a, b (keys, a < b) of which two segments cross or touch other than in a common end. segments: key, ax, ay, bx, by; they meet by the cells of a square grid."""
+    spread = spread_segments(segments, cell)
+    other = spread.select("gx", "gy", *[F.col(c).alias(f"o_{c}") for c in ("key", "ax", "ay", "bx", "by")])
+    same = lambda p, q: (F.col(f"{p}x") == F.col(f"{q}x")) & (F.col(f"{p}y") == F.col(f"{q}y"))
+    joint = same("a", "o_a") | same("a", "o_b") | same("b", "o_a") | same("b", "o_b")
+    turn = lambda r: (F.col("bx") - F.col("ax")) * (F.col(f"{r}y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col(f"{r}x") - F.col("ax"))
+    straight = (turn("o_a") == 0) & (turn("o_b") == 0)  # on one line: only a stretch in common counts
+    meets = touch() & ~(joint & (~straight | _apart()))
+    return spread.join(other, ["gx", "gy"]).where((F.col("key") < F.col("o_key")) & meets).select(F.col("key").alias("a"), F.col("o_key").alias("b")).distinct()
 
 
 def _apart() -> Column:
@@ -168,24 +158,27 @@ def _apart() -> Column:
 def simplified_together(shapes: DataFrame, tolerance: float, digits: int | None = None) -> DataFrame:
     """id, geom simplified so that neighbours still share their borders: each arc between junctions is simplified once, whoever has it.
 
-    Rings of one arc keep two inner points at least, of two arcs one each, so that none falls together. Arcs that cross others after it
-    are taken as they were, until none crosses; the given shapes must not cross themselves. digits: decimals of the result.
+    Where a ring would fall together, its arcs keep the inner points that are furthest off (two of one arc, one of each of two). Arcs that cross others
+    after it are taken as they were, until none crosses; the given shapes must not cross themselves (a shape that lies wholly between a border and its chord is not seen). digits: decimals of the result.
     """
     arcs = staged(arcs_of(shapes).withColumn("key", F.md5(F.to_json("arc"))))
-    once = arcs.groupBy("key").agg(F.first("arc").alias("arc"), F.max(F.greatest(F.lit(3) - F.col("arcs"), F.lit(0))).alias("least"))
-    once = staged(once.withColumn("tolerance", F.lit(float(tolerance))))
+    once = staged(arcs.groupBy("key").agg(F.first("arc").alias("arc")).withColumns({"tolerance": F.lit(float(tolerance)), "least": F.lit(0)}))
     while True:
         thin = staged(_thinned(once))
         lines = thin.select("key", F.explode(edges_of_ring(F.col("arc"))).alias("e")).select("key", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
         size = lines.agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0]
         if not size:
             break
-        crossed = segment_crossings(lines, 4 * size)
-        wrong = staged(crossed.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(once.where("tolerance > 0").select("key"), "key", "left_semi"))
+        crossed = segment_crossings(lines, 4 * size).select(F.explode(F.array("a", "b")).alias("key"), F.lit(True).alias("crosses"), F.lit(0).alias("asks"))
+        counted = arcs.select("id", "part", "ring", "key", "arcs").join(thin.select("key", (F.size("arc") - 1).alias("n")), "key")
+        flat = counted.groupBy("id", "part", "ring").agg(F.sum("n").alias("n"), F.collect_set("key").alias("keys"), F.max("arcs").alias("arcs")).where("n < 3")
+        asked = flat.select(F.explode("keys").alias("key"), F.lit(False).alias("crosses"), (F.lit(3) - F.col("arcs")).cast("int").alias("asks"))
+        told = crossed.unionByName(asked).groupBy("key").agg(F.max("crosses").alias("crosses"), F.max("asks").alias("asks"))
+        wrong = staged(told.join(once.select("key", "tolerance", "least"), "key").where("(crosses AND tolerance > 0) OR (asks > least AND tolerance > 0)").select("key", "crosses", "asks"))
         if wrong.isEmpty():
             break
-        exact = once.join(wrong.withColumn("_wrong", F.lit(True)), "key", "left")
-        once = staged(exact.withColumn("tolerance", F.when(F.col("_wrong"), 0.0).otherwise(F.col("tolerance"))).drop("_wrong"))
+        mended = once.join(wrong, "key", "left")
+        once = staged(mended.select("key", "arc", F.when(F.col("crosses"), 0.0).otherwise(F.col("tolerance")).alias("tolerance"), F.greatest("least", F.coalesce("asks", F.lit(0))).alias("least")))
     placed = arcs.drop("arc").join(thin, "key")
     stretch = F.when(F.col("turned"), F.reverse("arc")).otherwise(F.col("arc"))
     told = placed.groupBy("id", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("nth", F.slice(stretch, F.lit(2), F.size("arc") - 1).alias("rest"), stretch[0].alias("start")))).alias("arcs"))

@@ -8,25 +8,8 @@ from pyspark.sql import functions as F
 from landloom.functions.geo import centroid, covers, lat_of, lng_of, point_on_surface
 from landloom.functions.normalize import clean_address, feature_id
 from landloom.operators.fuzzy import similar_texts, starting_with
-from landloom.sources.tables import counties, parcels, table, with_tables, zip_areas, zip_cities
-
-#: Degrees of a cell that points and boxes meet in.
-GRID = 0.25
-
-
-def points_in_boxes(points: DataFrame, boxes: DataFrame, box_id: str) -> DataFrame:
-    """points (lng, lat) with the least box_id that covers each, null where none does. boxes: box_id, minx, miny, maxx, maxy.
-
-    Boxes are spread over the grid cells they touch and points meet them by their
-    own cell; the polygon test decides, so a point on an edge counts.
-    """
-    at = lambda c: F.floor(c / GRID).cast("int")
-    spread = boxes.withColumn("gx", F.explode(F.sequence(at(F.col("minx")), at(F.col("maxx"))))).withColumn("gy", F.explode(F.sequence(at(F.col("miny")), at(F.col("maxy")))))
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    ring = F.array(corner("minx", "miny"), corner("maxx", "miny"), corner("maxx", "maxy"), corner("minx", "maxy"), corner("minx", "miny"))
-    met = points.select("id", "lng", "lat", at(F.col("lng")).alias("gx"), at(F.col("lat")).alias("gy")).join(spread, ["gx", "gy"]).where(covers(ring, F.col("lng"), F.col("lat")))
-    return points.join(met.groupBy("id").agg(F.min(box_id).alias(box_id)), "id", "left")
-
+from landloom.operators.spatial import points_in_polygons
+from landloom.sources.tables import counties, in_zip_sql, parcels, table, with_tables, zip_cities, zip_polygons
 
 def display_address(site: Column, city: Column, zip5: Column) -> Column:
     """A site with what is known of its place; null without a site."""
@@ -35,10 +18,11 @@ def display_address(site: Column, city: Column, zip5: Column) -> Column:
 
 
 def q11_parcel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active parcels with clean address, the ZIP area that holds the point (the least of several), and its preferred city."""
+    """Active parcels with clean address, the ZIP area (with a hole and two parts) that covers the point, the least of several, and its preferred city."""
     p = parcels(spark, sf_dir).where("processed IS NULL AND objectid IS NOT NULL")
     p = p.select("id", F.round(lng_of(F.col("mx")), 9).alias("lng"), F.round(lat_of(F.col("my")), 9).alias("lat"), clean_address(F.col("site_address")).alias("site"))
-    placed = points_in_boxes(p, zip_areas(spark, sf_dir), "zip5")
+    found = points_in_polygons(p.select(F.col("id").alias("parcel"), F.col("lng").alias("x"), F.col("lat").alias("y")), zip_polygons(spark, sf_dir).withColumnRenamed("zip5", "id"))
+    placed = p.join(found.groupBy(F.col("parcel").alias("id")).agg(F.min("id").alias("zip5")), "id", "left")
     best = zip_cities(spark, sf_dir).withColumn("nth", F.row_number().over(Window.partitionBy("zip5").orderBy(F.desc("is_preferred"), "city"))).where("nth = 1").select("zip5", "city")
     joined = placed.join(F.broadcast(best), "zip5", "left")  # a row for each ZIP code
     return joined.select("id", F.lower("site").alias("site_norm"), "zip5", "city", display_address(F.col("site"), F.col("city"), F.col("zip5")).alias("display"))
@@ -94,8 +78,8 @@ QUERIES = {f.__name__: f for f in (q11_parcel_search, text_search, q6_county_cen
 _GRAMS = lambda c: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 ORACLES = {
     "q11_parcel_search": with_tables("parcels counties zip_areas zip_cities", """, p AS (SELECT id, round(degrees(mx / 6378137.0), 9) AS lng, round(degrees(2 * atan(exp(my / 6378137.0)) - pi() / 2), 9) AS lat, nullif(trim(regexp_replace(coalesce(site_address, ''), '\\s+', ' ', 'g')), '') AS site FROM parcels WHERE processed IS NULL AND objectid IS NOT NULL),
-      z AS (SELECT p.id, min(c.zip5) AS zip5 FROM p JOIN zip_areas c ON lng BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy GROUP BY p.id), best AS (SELECT zip5, city FROM zip_cities QUALIFY row_number() OVER (PARTITION BY zip5 ORDER BY is_preferred DESC, city) = 1)
-      SELECT id, lower(site) AS site_norm, zip5, city, site || CASE WHEN city IS NOT NULL AND zip5 IS NOT NULL THEN ', ' || city || ', GA ' || zip5 WHEN city IS NOT NULL THEN ', ' || city || ', GA' WHEN zip5 IS NOT NULL THEN ', GA ' || zip5 ELSE '' END AS display FROM p LEFT JOIN z USING (id) LEFT JOIN best USING (zip5)""").replace(" , p AS", ", p AS"),
+      z AS (SELECT p.id, min(c.zip5) AS zip5 FROM p JOIN zip_areas c ON IN_ZIP GROUP BY p.id), best AS (SELECT zip5, city FROM zip_cities QUALIFY row_number() OVER (PARTITION BY zip5 ORDER BY is_preferred DESC, city) = 1)
+      SELECT id, lower(site) AS site_norm, zip5, city, site || CASE WHEN city IS NOT NULL AND zip5 IS NOT NULL THEN ', ' || city || ', GA ' || zip5 WHEN city IS NOT NULL THEN ', ' || city || ', GA' WHEN zip5 IS NOT NULL THEN ', GA ' || zip5 ELSE '' END AS display FROM p LEFT JOIN z USING (id) LEFT JOIN best USING (zip5)""").replace(" , p AS", ", p AS").replace("IN_ZIP", in_zip_sql("lng", "lat")),
     "text_search": f"""WITH q AS (SELECT lower(CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, length(p_name) - 2) WHEN 1 THEN substr(p_name, 2) || 's' ELSE p_name END) AS q, min(p_partkey) AS query_id FROM part GROUP BY 1),
       t AS (SELECT DISTINCT lower(p_name) AS text FROM part), tg AS (SELECT text, {_GRAMS("text")} AS g FROM t), qg AS (SELECT query_id, q, {_GRAMS("q")} AS h FROM q),
       fuzzy AS (SELECT query_id, text, 2 AS stage, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) AS similarity FROM tg, qg WHERE length(q) >= 5),

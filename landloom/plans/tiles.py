@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.functions.geo import CELLS, WORLD, area, bbox, buffer_pixels, cell, centroid, clipped, intersects, mercator_x, mercator_y, point_on_surface, preview_path, square, tile_envelope, tile_x, tile_y
+from landloom.functions.geo import CELLS, WORLD, area, bbox, buffer_pixels, cell, centroid_of, clipped, meets_box, mercator_x, mercator_y, point_on_surface, preview_path, square, tile_envelope, tile_x, tile_y
 from landloom.functions.normalize import feature_id
 from landloom.plans.taxes import taxed_parcels
 from landloom.sources.tables import counties, parcels, with_tables
@@ -90,7 +90,7 @@ def county_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda x, y: F.struct(mercator_x(F.col(x)).alias("x"), mercator_y(F.col(y)).alias("y"))
     ring = F.array(at("minx", "miny"), at("maxx", "miny"), at("maxx", "maxy"), at("minx", "maxy"), at("minx", "miny"))
     c = c.select("county_id", F.array(F.array(ring)).alias("geom")).withColumn("bbox", bbox(F.col("geom")))
-    return c.withColumn("label", F.coalesce(centroid(F.col("geom")[0][0]), point_on_surface(F.col("geom")[0][0])))
+    return c.withColumn("label", F.coalesce(centroid_of(F.col("geom")), point_on_surface(F.col("geom")[0][0])))
 
 
 def tile_cover(boundaries: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def tile_cover(boundaries: DataFrame, tiles: DataFrame) -> DataFrame:
     spread = tiles_touched(boundaries, (COARSE,)).select("county_id", "geom", F.col("x").alias("cx"), F.col("y").alias("cy"))
     up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("z") - COARSE)).cast("int")
     met = tiles.withColumn("cx", up("x")).withColumn("cy", up("y")).join(F.broadcast(spread), ["cx", "cy"])  # a few rows for each county
-    return met.where(intersects(F.col("geom")[0][0], tile_envelope(F.col("z"), F.col("x"), F.col("y")))).select("county_id", "z", "x", "y")
+    return met.where(meets_box(F.col("geom"), tile_envelope(F.col("z"), F.col("x"), F.col("y")))).select("county_id", "z", "x", "y")
 
 
 def q12_tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,16 @@ def zip_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select((30000 + F.col("county_id")).cast("string").alias("zip5"), *grown)
 
 
+def zip_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """zip5, geom: ZIP areas without their upper right corner and with a hole; a second part lies in the missing corner."""
+    at = lambda low, high, share: F.col(low) + share * (F.col(high) - F.col(low))
+    x, y = (lambda share: at("minx", "maxx", share)), (lambda share: at("miny", "maxy", share))
+    ring = lambda *corners: F.array(*[F.struct(x(a).alias("x"), y(b).alias("y")) for a, b in (*corners, corners[0])])
+    box = lambda low, high: ring((low, low), (high, low), (high, high), (low, high))
+    notched = ring((0, 0), (1, 0), (1, 0.6), (0.6, 0.6), (0.6, 1), (0, 1))
+    return zip_areas(spark, sf_dir).select("zip5", F.array(F.array(notched, box(0.1, 0.3)), F.array(box(0.7, 0.9))).alias("geom"))
+
+
 def zip_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     i = F.col("n_nationkey")
@@ -111,6 +121,15 @@ def _sql_border(i: str, j: str, upright: bool) -> str:
     return f"list_transform(range(1, {LOT_STEPS + 1}), lambda t: CASE WHEN ({a}) % 4 = 0 THEN (CASE WHEN ({i} + {j}) % 2 = 0 THEN 6 ELSE -6 END) * least(t, 10 - t) ELSE ({b} + t * 5) % 3 - 1 END)"
 
 
+def in_zip_sql(x: str, y: str) -> str:
+    """Whether the ZIP area of a row of zip_areas covers a point."""
+    at = lambda low, high, share: f"({low} + {share}::DOUBLE * ({high} - {low}))"
+    mx, my = (lambda share: at("minx", "maxx", share)), (lambda share: at("miny", "maxy", share))
+    hole = f"({x} > {mx(0.1)} AND {x} < {mx(0.3)} AND {y} > {my(0.1)} AND {y} < {my(0.3)})"
+    notched = f"{x} BETWEEN minx AND {mx(1)} AND {y} BETWEEN miny AND {my(1)} AND ({y} <= {my(0.6)} OR {x} <= {mx(0.6)}) AND NOT {hole}"
+    return f"(({notched}) OR ({x} BETWEEN {mx(0.7)} AND {mx(0.9)} AND {y} BETWEEN {my(0.7)} AND {my(0.9)}))"
+
+
 _K = "c_custkey"
 _SITE = f"(100 + {_K} % 60)::VARCHAR || ' ' || {_sql_pick(STREET, f'{_K} % 5')} || ' ' || {_sql_pick(KIND, f'({_K} // 7) % 4')}"
 
