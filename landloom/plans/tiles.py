@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landloom.functions.geo import CELLS, WORLD, area, bbox, buffer_pixels, cell, centroid_of, clipped, meets_box, mercator_x, mercator_y, point_on_surface, preview_path, square, tile_envelope, tile_x, tile_y
-from landloom.functions.normalize import feature_id
+from landloom.functions.normalize import feature_id, site_number
+from landloom.operators.staging import shared_folder
+from landloom.operators.tile_store import lookup_tiles, upsert_tiles
 from landloom.plans.taxes import taxed_parcels
 from landloom.sources.tables import counties, parcels, with_tables
 
@@ -34,23 +38,18 @@ def q15_tax_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles_touched(features: DataFrame, zooms: tuple[int, ...]) -> DataFrame:
-    """features (with bbox) and z, x, y of every tile that their box touches: an equi-key for tile joins."""
-    span = lambda low, high: F.sequence(low, high)
-    rows = []
-    for z in zooms:
-        b = F.col("bbox")
-        at = features.withColumn("z", F.lit(z)).withColumn("x", F.explode(span(tile_x(b["minx"], z), tile_x(b["maxx"], z))))
-        rows.append(at.withColumn("y", F.explode(span(tile_y(b["maxy"], z), tile_y(b["miny"], z)))))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """features (with bbox) and z, x, y of every tile that their box touches: an equi-key for tile joins. Features are read once for all zooms."""
+    b = F.col("bbox")
+    spans = F.array(*[F.struct(F.lit(z).alias("z"), tile_x(b["minx"], z).alias("x0"), tile_x(b["maxx"], z).alias("x1"), tile_y(b["maxy"], z).alias("y0"), tile_y(b["miny"], z).alias("y1")) for z in zooms])
+    tiles = F.flatten(F.transform(spans, lambda s: F.flatten(F.transform(F.sequence(s["x0"], s["x1"]), lambda x: F.transform(F.sequence(s["y0"], s["y1"]), lambda y: F.struct(s["z"].alias("z"), x.alias("x"), y.alias("y")))))))
+    return features.withColumn("_tile", F.explode(tiles)).select(*features.columns, "_tile.z", "_tile.x", "_tile.y")
 
 
 def parcel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parcels(spark, sf_dir).where("processed IS NULL AND objectid IS NOT NULL")
     shape = square(F.col("mx"), F.col("my"), F.col("side"))
-    return p.select(feature_id(F.col("county_id"), F.col("objectid")).alias("feature_id"), "id", "county_id", "mx", "my", "side", shape.alias("geom")).withColumn("bbox", bbox(F.col("geom")))
+    number = site_number(F.coalesce("site_address", F.lit("")))
+    return p.select(feature_id(F.col("county_id"), F.col("objectid")).alias("feature_id"), "id", "county_id", number.alias("site_number"), "mx", "my", "side", shape.alias("geom")).withColumn("bbox", bbox(F.col("geom")))
 
 
 def _extent(points: Column) -> list[Column]:
@@ -60,18 +59,30 @@ def _extent(points: Column) -> list[Column]:
     return [low("x").alias("px0"), low("y").alias("py0"), high("x").alias("px1"), high("y").alias("py1")]
 
 
-def q13_parcel_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of every parcel tile with the extent of their clipped shapes; label_count counts those whose centre, and so whose label, the tile owns."""
-    f = parcel_features(spark, sf_dir)
-    cx, cy = F.col("mx") + F.col("side") / 2, F.col("my") + F.col("side") / 2
+def tile_rows(features: DataFrame, zooms: tuple[int, ...] = PARCEL_ZOOMS) -> DataFrame:
+    """z, x, y, features (id, shape clipped to the tile, whether the tile owns its label), feature_count, label_count of parcel tiles.
+
+    A label stands at the feature's point on its surface; features without a site number have none.
+    """
+    on = point_on_surface(F.col("geom")[0][0])
     own = F.lit(False)
-    for z in PARCEL_ZOOMS:
-        own = own | ((F.col("z") == z) & (F.col("x") == tile_x(cx, z)) & (F.col("y") == tile_y(cy, z)))
+    for z in zooms:
+        own = own | ((F.col("z") == z) & (F.col("x") == tile_x(F.col("label.x"), z)) & (F.col("y") == tile_y(F.col("label.y"), z)))
     shape = clipped(F.col("geom"), F.col("z"), F.col("x"), F.col("y"), buffer_pixels(F.col("z")))
-    told = tiles_touched(f, PARCEL_ZOOMS).withColumn("owned", own).withColumn("shape", shape).select("z", "x", "y", "feature_id", "owned", *_extent(F.col("shape")))
-    sides = [g(c).alias(c) for g, c in ((F.min, "px0"), (F.min, "py0"), (F.max, "px1"), (F.max, "py1"))]
-    tiles = told.groupBy("z", "x", "y").agg(F.sort_array(F.collect_list("feature_id")).alias("ids"), F.count("*").alias("feature_count"), F.count_if("owned").alias("label_count"), *sides)
-    return tiles.select("z", "x", "y", F.array_join("ids", ",").alias("feature_ids"), "feature_count", "label_count", "px0", "py0", "px1", "py1")
+    labelled = features.withColumn("label", F.when(F.coalesce(F.col("site_number"), F.lit("")) != "", on))
+    told = tiles_touched(labelled, zooms).select("z", "x", "y", F.struct("feature_id", shape.alias("shape"), F.coalesce(own, F.lit(False)).alias("owned")).alias("feature")).where("feature.shape IS NOT NULL")
+    return told.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list("feature")).alias("features"), F.count("*").alias("feature_count"), F.count_if("feature.owned").alias("label_count"))
+
+
+def tile_summary(tiles: DataFrame) -> DataFrame:
+    """Tiles with the ids of their features and the extent of the shapes."""
+    shapes = F.transform("features", lambda f: f["shape"])
+    return tiles.select("z", "x", "y", F.array_join(F.transform("features", lambda f: f["feature_id"]), ",").alias("feature_ids"), "feature_count", "label_count", *_extent(F.flatten(shapes)))
+
+
+def q13_parcel_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of every parcel tile with the extent of their clipped shapes; label_count counts those whose label the tile owns."""
+    return tile_summary(tile_rows(parcel_features(spark, sf_dir)))
 
 
 def geo_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,14 +143,34 @@ def q16_tax_parcel_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"), F.count("*").alias("feature_count"), F.round(F.sum("tax_amount"), 4).alias("tax"), *[g(c).alias(c) for g, c in ((F.min, "px0"), (F.min, "py0"), (F.max, "px1"), (F.max, "py1"))])
 
 
+def _store(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/landloom/tiles-{uuid.uuid4().hex}"
+
+
 def q24_tile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored tiles of asked keys: at each parcel zoom the tile of every corner, null where nothing is stored."""
-    p = parcels(spark, sf_dir)
-    asked = None
-    for z in PARCEL_ZOOMS:
-        at = p.select(F.lit(z).alias("z"), tile_x(F.col("mx"), z).alias("x"), tile_y(F.col("my"), z).alias("y"))
-        asked = asked.unionByName(at) if asked else at
-    return asked.distinct().join(q13_parcel_tiles(spark, sf_dir), ["z", "x", "y"], "left")
+    """Stored tiles of asked keys: at each parcel zoom the tile of every corner, null where nothing is stored. Tiles are built and stored once; the lookup reads their ranges."""
+    path = _store(spark)
+    upsert_tiles(tile_rows(parcel_features(spark, sf_dir)).withColumn("layer", F.lit("parcels")), path, list(PARCEL_ZOOMS))
+    at = F.array(*[F.struct(F.lit(z).alias("z"), tile_x(F.col("mx"), z).alias("x"), tile_y(F.col("my"), z).alias("y")) for z in PARCEL_ZOOMS])
+    asked = parcels(spark, sf_dir).select(F.explode(at).alias("t")).select(F.lit("parcels").alias("layer"), "t.*").distinct()
+    return tile_summary(lookup_tiles(spark, path, asked))
+
+
+def snk5_tile_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of zooms 13 to 15 after a second write that builds them anew from the parcels of counties 3 and 7 alone: these tiles replace what was stored, others stay."""
+    path, f, zooms = _store(spark), parcel_features(spark, sf_dir), PARCEL_ZOOMS[:3]
+    for part in (f, f.where("county_id IN (3, 7)")):
+        upsert_tiles(tile_rows(part, zooms).withColumn("layer", F.lit("parcels")), path, list(zooms))
+    return tile_summary(spark.read.parquet(path).where("layer = 'parcels'"))
+
+
+def agg16_build_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles stored and empty by zoom of a build over all tiles that touch a county, counted in the writing pass."""
+    zooms = (10, 11, 12)
+    candidates = tiles_touched(county_features(spark, sf_dir), zooms).select("z", "x", "y").distinct()
+    tiles = candidates.join(tile_rows(parcel_features(spark, sf_dir), zooms), ["z", "x", "y"], "left").withColumn("layer", F.lit("parcels"))
+    outcomes = upsert_tiles(tiles, _store(spark), list(zooms))
+    return spark.createDataFrame([(z, o["stored"], o["empty"]) for z, o in outcomes.items()], "z int, stored long, empty long")
 
 
 def q5_parcel_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +197,7 @@ def agg12_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.where(small & (F.col("over").isNull() | (F.col("over") >= 500))).select("z", "x", "y", "n")
 
 
-QUERIES = {f.__name__: f for f in (q15_tax_heatmap, q13_parcel_tiles, geo_measures, q12_tile_cover, q14_county_tiles, q16_tax_parcel_tiles, q24_tile_lookup, q5_parcel_previews, agg12_regions)}
+QUERIES = {f.__name__: f for f in (q15_tax_heatmap, q13_parcel_tiles, geo_measures, q12_tile_cover, q14_county_tiles, q16_tax_parcel_tiles, q24_tile_lookup, snk5_tile_upsert, agg16_build_outcomes, q5_parcel_previews, agg12_regions)}
 _W = repr(WORLD)
 _CLIP = lambda b, x0, y0, x1, y1: f"round((greatest({x0}, ex0 - w * {b} / 4096) - ex0) / w * 4096)::INT AS px0, round((ey1 - least({y1}, ey1 + w * {b} / 4096)) / w * 4096)::INT AS py0, round((least({x1}, ex0 + w + w * {b} / 4096) - ex0) / w * 4096)::INT AS px1, round((ey1 - greatest({y0}, ey1 - w - w * {b} / 4096)) / w * 4096)::INT AS py1"
 ORACLES = {
@@ -174,7 +205,7 @@ ORACLES = {
       cells AS (SELECT z, tax_year, floor(mx / ({_W} / pow(2, z) / {CELLS}))::BIGINT AS ix, floor(my / ({_W} / pow(2, z) / {CELLS}))::BIGINT AS iy, tax_amount FROM parcels JOIN taxes ON id = taxes.parcel_id, levels WHERE tax_amount > 0 AND processed IS NULL AND objectid IS NOT NULL)
       SELECT z, tax_year, ix, iy, (floor(ix / {CELLS}) + pow(2, z - 1))::BIGINT AS x, (pow(2, z - 1) - 1 - floor(iy / {CELLS}))::BIGINT AS y, round(avg(tax_amount), 6) AS mean_tax, count(*) AS n FROM cells GROUP BY ALL""").replace(" , levels", ", levels"),
     "q13_parcel_tiles": with_tables("parcels", f""", levels AS (SELECT unnest(range(13, 20))::INT AS z), p AS (SELECT *, county_id::VARCHAR || '_' || objectid::VARCHAR AS fid, ({_W} / pow(2, z)) AS w FROM parcels, levels WHERE processed IS NULL AND objectid IS NOT NULL),
-      r AS (SELECT *, floor((mx + {_W} / 2) / w)::INT AS x0, floor((mx + side + {_W} / 2) / w)::INT AS x1, floor(({_W} / 2 - (my + side)) / w)::INT AS y0, floor(({_W} / 2 - my) / w)::INT AS y1, floor((mx + side / 2 + {_W} / 2) / w)::INT AS cx, floor(({_W} / 2 - (my + side / 2)) / w)::INT AS cy FROM p),
+      r AS (SELECT *, floor((mx + {_W} / 2) / w)::INT AS x0, floor((mx + side + {_W} / 2) / w)::INT AS x1, floor(({_W} / 2 - (my + side)) / w)::INT AS y0, floor(({_W} / 2 - my) / w)::INT AS y1, CASE WHEN site_address IS NOT NULL THEN floor((mx + side / 2 + {_W} / 2) / w)::INT END AS cx, floor(({_W} / 2 - (my + side / 2)) / w)::INT AS cy FROM p),
       t AS (SELECT *, x::INT AS tx, unnest(range(y0, y1 + 1))::INT AS ty FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM r)),
       e AS (SELECT *, tx * w - {_W} / 2 AS ex0, {_W} / 2 - ty * w AS ey1, CASE WHEN z >= 18 THEN 16 WHEN z >= 17 THEN 32 ELSE 256 END AS px FROM t), s AS (SELECT z, tx, ty, fid, cx, cy, {_CLIP("px", "mx", "my", "mx + side", "my + side")} FROM e)
       SELECT z, tx AS x, ty AS y, string_agg(fid, ',' ORDER BY fid) AS feature_ids, count(*) AS feature_count, count(*) FILTER (tx = cx AND ty = cy) AS label_count, min(px0) AS px0, min(py0) AS py0, max(px1) AS px1, max(py1) AS py1 FROM s GROUP BY ALL""").replace(" , levels", ", levels"),
@@ -200,4 +231,12 @@ ORACLES |= {
     "agg12_regions": with_tables("parcels", f"""{_LEVELS(6, 17)}, c AS (SELECT z, floor((mx + {_W} / 2) / ({_W} / pow(2, z)))::INT AS x, floor(({_W} / 2 - my) / ({_W} / pow(2, z)))::INT AS y, count(*) AS n FROM parcels, levels WHERE processed IS NULL AND objectid IS NOT NULL GROUP BY ALL)
       SELECT c.z, c.x, c.y, c.n FROM c LEFT JOIN c AS u ON u.z = c.z - 1 AND u.x = c.x // 2 AND u.y = c.y // 2 WHERE (c.n < 500 OR c.z = 16) AND (u.n IS NULL OR u.n >= 500)"""),
 }
+_Q13 = ORACLES["q13_parcel_tiles"]
+_FEW = _Q13.replace("range(13, 20)", "range(13, 16)")
+ORACLES |= {
+    "snk5_tile_upsert": f"WITH old AS ({_FEW}), new AS ({_FEW.replace('objectid IS NOT NULL)', 'objectid IS NOT NULL AND county_id IN (3, 7))')}) SELECT * FROM new UNION ALL SELECT * FROM old ANTI JOIN new USING (z, x, y)",
+    "agg16_build_outcomes": with_tables("counties", f"""{_LEVELS(10, 13)}, c AS (SELECT {_MERC}, z, {_W} / pow(2, z) AS w FROM counties, levels), r AS (SELECT *, unnest(range(floor((bx0 + {_W} / 2) / w)::INT, floor((bx1 + {_W} / 2) / w)::INT + 1))::INT AS x FROM c),
+      t AS (SELECT DISTINCT z, x, y FROM (SELECT z, x, unnest(range(floor(({_W} / 2 - by1) / w)::INT, floor(({_W} / 2 - by0) / w)::INT + 1))::INT AS y FROM r)), held AS ({_Q13.replace("range(13, 20)", "range(10, 13)")})
+      SELECT z, count(feature_count) AS stored, count(*) - count(feature_count) AS empty FROM t LEFT JOIN held USING (z, x, y) GROUP BY z"""),
+}
 ORACLES = {k: v.replace(" , levels", ", levels") for k, v in ORACLES.items()}
