@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landloom.functions.normalize import trigrams
+from landloom.operators.staging import staged
 
 THRESHOLD = 0.3
 
@@ -35,9 +36,9 @@ def similar_texts(queries: DataFrame, texts: DataFrame, threshold: float = THRES
     many as leave too few for the threshold without one of them; so very common ones
     hardly meet. shared / (a + b - shared) is the similarity.
     """
-    a = queries.select("query_id", F.col("q").alias("text"), trigrams(F.col("q")).alias("grams"))
-    b = texts.where(F.col("text").isNotNull()).select("text").distinct().withColumn("grams", trigrams(F.col("text")))
-    held = b.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("held"))
+    a = staged(queries.select("query_id", F.col("q").alias("text"), trigrams(F.col("q")).alias("grams")))
+    b = staged(texts.where(F.col("text").isNotNull()).select("text").distinct().withColumn("grams", trigrams(F.col("text"))))
+    held = staged(b.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("held")))
 
     def posted(side: DataFrame, key: str) -> DataFrame:
         rows = side.select(key, F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(held, "gram", "left")

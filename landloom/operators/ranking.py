@@ -34,3 +34,33 @@ def running_totals(rows: DataFrame, group: list[str], order: list[str], sums: di
 def ranked(rows: DataFrame, group: list[str], order: list[str], name: str = "nth") -> DataFrame:
     """rows with their number (from 1) in their group by `order`, nulls first."""
     return running_totals(rows, group, order, {name: F.lit(1).cast("long")})
+
+
+def exact_percentiles(rows: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
+    """group and p (array, one for each share) of the values that are not null, between neighbours by straight lines.
+
+    Values are ranked by ranges; only the one or two rows that a share falls on go on, so no task holds a group's values.
+    """
+    held = ranked(rows.where(F.col(value).isNotNull()).select(*group, value), group, [value])
+    counts = staged(held.groupBy(*group).agg(F.max("nth").alias("n")))
+    places = counts.select(*group, "n", F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("_i", "_share"))
+    at = (F.col("n") - 1) * F.col("_share") + 1
+    sought = places.select(*group, "_i", at.alias("_at"), F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("nth"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*group, "nth")]
+    found = held.alias("l").join(sought.alias("r"), same).select(*[f"r.{c}" for c in group], "_i", "_at", "r.nth", F.col(f"l.{value}").alias("_v"))
+    low, high = F.min_by("_v", "nth"), F.max_by("_v", "nth")
+    each = found.groupBy(*group, "_i").agg((low + (high - low) * (F.first("_at") - F.min("nth"))).alias("_p"))
+    return each.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda s: s["_p"]).alias("p"))
+
+
+def paged(rows: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
+    """rows with nth (from 1) in their group, page (from 1) and pages of their group. Any page is a slice of a range of (group, order)."""
+    held = staged(ranked(rows, group, order))
+    counts = held.groupBy(*group).agg(F.ceil(F.max("nth") / size).alias("pages"))
+    joined = held.join(counts, group) if group else held.crossJoin(F.broadcast(counts))  # one row
+    return joined.withColumn("page", F.ceil(F.col("nth") / size))
+
+
+def keyset_bounds(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """page, first_key, last_key, n of pages of so many rows by a unique key: page k is asked for as the rows with last_key(k - 1) < key <= last_key(k)."""
+    return ranked(rows.where(F.col(key).isNotNull()).select(key), [], [key]).groupBy(F.ceil(F.col("nth") / size).alias("page")).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("n"))

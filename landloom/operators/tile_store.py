@@ -49,7 +49,7 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if exists else None
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def remove_folder(spark: SparkSession, folder: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -80,7 +80,7 @@ def upsert_tiles(tiles: DataFrame, path: str, zooms: list[int] | None = None) ->
     if old is not None:  # a range of which no tile is left has no row that would overwrite it
         left = rows.select("layer", "z", "range").distinct()
         for r in told.select("layer", "z", "range").distinct().join(left, ["layer", "z", "range"], "left_anti").collect():
-            _remove(spark, f"{path}/layer={r['layer']}/z={r['z']}/range={r['range']}")
+            remove_folder(spark, f"{path}/layer={r['layer']}/z={r['z']}/range={r['range']}")
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "z", "range").parquet(path)
     got = seen.get if counts else {}
     return {z: {name: got[f"{name}_{z}"] for name in ("stored", "empty")} for z in asked}

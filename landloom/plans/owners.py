@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landloom.functions.geo import haversine_miles, lat_of, lng_of
 from landloom.functions.normalize import confidence_band, feature_id, overlap_ratio, owner_address, owner_name, subset_ratio, surname
-from landloom.operators.staging import staged
+from landloom.operators.group_tables import GroupTables
+from landloom.operators.ranking import keyset_bounds, paged
+from landloom.operators.staging import shared_folder, staged
 from landloom.sources.tables import counties, parcels, with_tables
 
 #: Confidence of a group by the kind of its key; points and limits of a match.
@@ -150,7 +154,32 @@ def q9_owner_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("reasons", F.array_join("reasons", "; "))
 
 
-QUERIES = {f.__name__: f for f in (q10_owner_groups, q9_owner_properties)}
+#: Fixed value: parcels on a page of an owner's results; rows of a keyset page.
+PAGE, KEYSET_PAGE = 25, 1_000
+
+
+def top10_owner_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every owner group's parcels in pages of 25, by county and id: any page of any group."""
+    rows = owner_keys(parcels(spark, sf_dir)).select("group_key", "county_id", "id")
+    return paged(rows, ["group_key"], ["county_id", "id"], PAGE).select("group_key", "page", "pages", "nth", "id")
+
+
+def top9_keyset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last id of each page of active parcels, by which a reader asks for one page after another."""
+    return keyset_bounds(parcels(spark, sf_dir).where("processed IS NULL AND objectid IS NOT NULL"), "id", KEYSET_PAGE)
+
+
+def snk7_scoped_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner groups left after county 3 was reset, with the members they still have."""
+    keys = owner_keys(parcels(spark, sf_dir))
+    tables = GroupTables(spark, f"{shared_folder(spark)}/landloom/groups-{uuid.uuid4().hex}")
+    tables.write(keys.select("group_key", F.col("id").alias("parcel_id"), "county_id"), keys.groupBy("group_key").agg(F.min("key_type").alias("key_type")))
+    tables.reset(3)
+    members = tables.members().groupBy("group_key").agg(F.count("*").alias("members"))
+    return tables.groups().join(members, "group_key").select("group_key", "key_type", "members")
+
+
+QUERIES = {f.__name__: f for f in (q10_owner_groups, q9_owner_properties, top10_owner_pages, top9_keyset_pages, snk7_scoped_reset)}
 _WORDS = "MAP {'STREET': 'ST', 'ROAD': 'RD', 'AVENUE': 'AVE', 'NORTH': 'N'}"
 _TOKENS = lambda c: f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda t: t <> '')"
 _FORMS = f""", a AS (SELECT *, upper(trim(coalesce(owner_address, ''))) AS up,
@@ -185,3 +214,9 @@ ORACLES = {
       both_ AS (SELECT anchor_id, id, confidence, source, reasons, total, n_counties, county_name, site_address FROM mem UNION ALL SELECT anchor_id, id, confidence, source, reasons, total, n_counties, county_name, site_address FROM kept JOIN nc USING (anchor_id))
       SELECT anchor_id, row_number() OVER (PARTITION BY anchor_id ORDER BY confidence DESC, county_name, site_address NULLS LAST, id) AS rank, id, confidence, source, reasons, total, n_counties, CASE WHEN confidence >= 85 THEN 'high' WHEN confidence >= 55 THEN 'medium' ELSE 'low' END AS band FROM both_ QUALIFY rank <= 25""").replace(" , a AS", ", a AS"),
 }
+ORACLES |= {
+    "top10_owner_pages": with_tables("parcels", f"""{_FORMS}, {_KEYS}, n AS (SELECT group_key, id, row_number() OVER (PARTITION BY group_key ORDER BY county_id, id) AS nth, count(*) OVER (PARTITION BY group_key) AS held FROM f)
+      SELECT group_key, (nth + {PAGE - 1}) // {PAGE} AS page, (held + {PAGE - 1}) // {PAGE} AS pages, nth, id FROM n""").replace(" , a AS", ", a AS"),
+    "top9_keyset_pages": with_tables("parcels", f"SELECT (nth + {KEYSET_PAGE - 1}) // {KEYSET_PAGE} AS page, min(id) AS first_key, max(id) AS last_key, count(*) AS n FROM (SELECT id, row_number() OVER (ORDER BY id) AS nth FROM parcels WHERE processed IS NULL AND objectid IS NOT NULL) GROUP BY 1"),
+    "snk7_scoped_reset": with_tables("parcels", f"""{_FORMS}, {_KEYS} SELECT group_key, min(key_type) AS key_type, count(*) AS members FROM f WHERE county_id <> 3 GROUP BY group_key""").replace(" , a AS", ", a AS"),
+}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from landloom.functions.normalize import collapsed, tokens, trigrams
 from landloom.operators.fuzzy import similar_texts, similarity, starting_with
+from landloom.operators.staging import staged
 from landloom.plans.places import ORACLES as PLACES
 from landloom.plans.places import q11_parcel_search
 from landloom.sources.tables import counties, parcels, with_tables
@@ -35,9 +36,9 @@ def _ranked(queries: DataFrame, rows: DataFrame, asked: str, text: str, prefix_o
     texts = rows.select(F.col(text).alias("text"))
     full = lambda met: met.join(rows.withColumnRenamed(text, "text"), "text").join(queries.drop("text"), "query_id")
     by = lambda order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    first = full(starting_with(told, texts)).withColumn("nth", by(prefix_order)).where(F.col("nth") <= limit).select("query_id", "id", "nth")
+    first = staged(full(starting_with(told, texts)).withColumn("nth", by(prefix_order)).where(F.col("nth") <= limit).select("query_id", "id", "nth"))
     counts = first.groupBy("query_id").agg(F.count("*").alias("held"))
-    lacking = queries.where(F.length("q") >= FUZZY_FROM).join(counts, "query_id", "left").withColumn("needed", limit - F.coalesce("held", F.lit(0))).where("needed > 0").drop("held")
+    lacking = staged(queries.where(F.length("q") >= FUZZY_FROM).join(counts, "query_id", "left").withColumn("needed", limit - F.coalesce("held", F.lit(0))).where("needed > 0").drop("held"))
     similar = similar_texts(lacking.select("query_id", F.col(asked).alias("q")), texts).select("query_id", "text")
     scored = full(similar).join(lacking.select("query_id", "needed"), "query_id").withColumn("score", F.round(fuzzy_score, 9))
     scored = scored.withColumn("pick", by(first_order)).where(F.col("pick") <= FUZZY_TIMES * F.col("needed")).withColumn("nth", by(fuzzy_order))
@@ -56,7 +57,7 @@ def _place_ranks(city: str) -> list[Column]:
 
 def search_address(raw: DataFrame, rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """rows: id, site_norm, display, place_city, zip5."""
-    queries = query_parts(raw).withColumnRenamed("city", "city_token")
+    queries = staged(query_parts(raw)).withColumnRenamed("city", "city_token")
     exact = F.when(F.col("text") == F.col("street"), 0).otherwise(1)
     shown = F.coalesce("display", F.lit(""))
     score = F.greatest(similarity(trigrams(F.col("text")), trigrams(F.col("street"))), similarity(trigrams(shown), trigrams(F.col("q"))))
@@ -66,7 +67,7 @@ def search_address(raw: DataFrame, rows: DataFrame, limit: int = LIMIT) -> DataF
 
 def search_owner(raw: DataFrame, rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """rows: id, owner_name."""
-    queries = query_parts(raw).select("query_id", "q")
+    queries = staged(query_parts(raw).select("query_id", "q"))
     named = rows.where("owner_name <> ''").withColumn("low", F.lower("owner_name"))
     exact = F.when(F.col("text") == F.col("q"), 0).when(F.startswith("text", F.concat("q", F.lit(" "))), 1).otherwise(2)
     score = similarity(trigrams(F.col("text")), trigrams(F.col("q")))
@@ -86,14 +87,14 @@ def _asked(rows: DataFrame, text: Column, tail: Callable[[Column], Column]) -> D
 
 
 def q7_search_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search_rows(spark, sf_dir)
+    rows = staged(search_rows(spark, sf_dir))
     return search_address(_asked(rows, F.col("site_norm"), lambda t: F.concat(t, F.lit(", "), F.coalesce("place_city", F.lit("x")), F.lit(" GA "), F.coalesce("zip5", F.lit("")))), rows)
 
 
 def q8_search_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the active parcels of the state, as the reference restricts owners to it."""
-    home = F.broadcast(counties(spark, sf_dir).where("state = 'GA'").select("county_id"))  # a row for each county
-    rows = parcels(spark, sf_dir).where("processed IS NULL AND objectid IS NOT NULL").join(home, "county_id").select("id", "owner_name")
+    home = counties(spark, sf_dir).where("state = 'GA'").select("county_id")
+    rows = staged(parcels(spark, sf_dir).where("processed IS NULL AND objectid IS NOT NULL").join(home, "county_id").select("id", "owner_name"))
     return search_owner(_asked(parcels(spark, sf_dir), F.coalesce("owner_name", F.lit("")), lambda t: F.concat(F.substring(t, F.lit(1), F.lit(1)), F.lit("x"), F.substring(t, F.lit(3), F.lit(99)))), rows)
 
 

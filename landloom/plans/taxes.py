@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landloom.functions.normalize import feature_id
+from landloom.operators.ranking import exact_percentiles
+from landloom.operators.staging import staged
 from landloom.operators.upserts import last_write_wins, upsert_columns
 from landloom.sources.tables import class_codes, counties, parcel_taxes, parcels, with_tables
 
@@ -24,8 +26,9 @@ def taxed_parcels(spark: SparkSession, sf_dir: str, active_only: bool = False) -
 
 def q3_tax_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tax distribution of every county and year."""
-    points = F.percentile("tax_amount", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    stats = taxed_parcels(spark, sf_dir).groupBy("county_id", "tax_year").agg(F.min("tax_amount").alias("least"), F.max("tax_amount").alias("most"), F.avg("tax_amount").alias("mean"), points.alias("p"), F.count("*").alias("n"))
+    rows = staged(taxed_parcels(spark, sf_dir).select("county_id", "tax_year", "tax_amount"))
+    stats = rows.groupBy("county_id", "tax_year").agg(F.min("tax_amount").alias("least"), F.max("tax_amount").alias("most"), F.avg("tax_amount").alias("mean"), F.count("*").alias("n"))
+    stats = stats.join(exact_percentiles(rows, ["county_id", "tax_year"], "tax_amount", [0.1, 0.5, 0.9]), ["county_id", "tax_year"])
     rounded = lambda c: F.round(c, 7)
     return stats.select("county_id", "tax_year", "least", "most", rounded(F.col("mean")).alias("mean"), rounded(F.col("p")[0]).alias("p10"), rounded(F.col("p")[1]).alias("p50"), rounded(F.col("p")[2]).alias("p90"), "n")
 
@@ -33,8 +36,8 @@ def q3_tax_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q1_parcel_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active parcels with county and class."""
     p = parcels(spark, sf_dir).where("processed IS NULL AND objectid IS NOT NULL")
-    c = F.broadcast(counties(spark, sf_dir).select("county_id", "county_name", "state"))
-    k = F.broadcast(class_codes(spark, sf_dir))
+    c = counties(spark, sf_dir).select("county_id", "county_name", "state")
+    k = class_codes(spark, sf_dir)
     return p.join(c, "county_id").join(k.withColumnRenamed("code", "classification"), ["county_id", "classification"], "left").select(feature_id(F.col("county_id"), F.col("objectid")).alias("feature_id"), "parcel_id", "county_name", "state", "category", F.coalesce("is_residential", F.lit(False)).alias("is_residential"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landloom.functions.geo import parsed_geometry, parsed_wkt
+from landloom.functions.geo import let, parsed_geometry, parsed_wkt
 from landloom.functions.normalize import collapsed, preferred_flag, title_words, zip5
 
 _GEOJSON = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
@@ -17,7 +17,7 @@ _PLACES = "`post code` string, places array<struct<`place name`:string,`state ab
 
 #: Names under which a feed may hold a ZIP code, in order, and aliases of the columns of a ZIP and city file.
 ZIP_NAMES = ["zip5", "ZIP5", "zip", "ZIP", "zipcode", "ZIPCODE", "ZCTA5CE10", "ZCTA5CE20", "GEOID10", "GEOID20", "postalcode", "POSTALCODE"]
-CITY_COLUMNS = {"zip": "zip5", "zip5": "zip5", "zipcode": "zip5", "postalcode": "zip5", "city": "city", "cityname": "city", "primarycity": "city", "state": "state", "stateabbr": "state", "preferred": "preferred", "ispreferred": "preferred", "primary": "preferred"}
+CITY_COLUMNS = {"zip": "zip5", "zipcode": "zip5", "zip5": "zip5", "zcta5": "zip5", "city": "city", "cityname": "city", "preferredcity": "city", "uspscity": "city", "state": "state", "stateabbr": "state", "ispreferred": "preferred", "preferred": "preferred", "primary": "preferred", "defaultcity": "preferred"}
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def features(docs: DataFrame) -> DataFrame:
     of_esri = lambda g: F.when(F.size(g["rings"]) > 0, F.array(F.transform(g["rings"], ring))).when((g["x"] != 0) | (g["y"] != 0), point(g))
     plain = F.transform("geo.features", lambda f: F.struct(f["properties"].alias("props"), parsed_geometry(f["geometry"]["type"], f["geometry"]["coordinates"]).alias("geom")))
     esri = F.transform("esri.features", lambda f: F.struct(f["attributes"].alias("props"), of_esri(f["geometry"]).alias("geom")))
-    read = docs.withColumn("geo", F.from_json("doc", _GEOJSON)).withColumn("esri", F.from_json("doc", _ESRI))
+    only = lambda mark, schema: F.from_json(F.when(F.contains("doc", F.lit(mark)), F.col("doc")), schema)  # noqa: E731  a document of the other kind isn't parsed for this one
+    read = docs.withColumn("geo", only('"properties"', _GEOJSON)).withColumn("esri", only('"attributes"', _ESRI))
     is_esri = F.exists(F.coalesce("esri.features", F.array()), lambda f: f["attributes"].isNotNull())
     return read.select(*rest, F.explode(F.when(is_esri, esri).otherwise(plain)).alias("f")).select(*rest, "f.props", "f.geom")
 
@@ -78,17 +79,21 @@ def bill_links(pages: DataFrame, base: str) -> DataFrame:
 
 
 def bill_fields(html: Column) -> Column:
-    """The fields of a bill page as text, '' where absent: from cells with a label and from the summary's rows."""
+    """The fields of a bill page as text, '' where absent: from cells with a label and from the summary's rows. Each table is cut from the page once."""
     table = lambda name: F.regexp_extract(html, rf'(?is)<table[^>]*(?:id|class)="[^"]*\b{name}\b.*?</table>', 0)
     labelled = lambda of, label, css="": plain_text(F.regexp_extract(of, rf'(?is)<td(?=[^>]*data-label="{label}")(?=[^>]*{css})[^>]*>(.*?)</td>', 1))
-    row = lambda label: plain_text(F.regexp_extract(table("tbl_tax_detail_sumary"), rf"(?is)<tr[^>]*>\s*<td[^>]*>(?:\s|<strong>)*{label}(?:\s|</strong>)*</td>\s*<td[^>]*>(.*?)</td>", 1))
-    owner, item = table("tbl_temp"), table("tbl_tax_bill_item")
-    return F.struct(
-        labelled(owner, "Tax Payer:").alias("payer_name"), labelled(owner, "Location:").alias("location"), labelled(owner, "District:").alias("district"),
-        labelled(item, "Building Value:", "tax_item_building_value").alias("building_value"), labelled(item, "Land Value:", "tax_item_land_value").alias("land_value"),
-        labelled(item, "Fair Market Value:", "tax_item_f_m_value").alias("fair_market_value"), labelled(item, "Due Date:", "tax_item_due_date").alias("due_date"),
-        row("Current Due").alias("tax_amount"), row("Back Taxes").alias("back_taxes"), row("Total Due").alias("total_due"), row("Paid Date").alias("paid_date"),
-    )
+    row = lambda of, label: plain_text(F.regexp_extract(of, rf"(?is)<tr[^>]*>\s*<td[^>]*>(?:\s|<strong>)*{label}(?:\s|</strong>)*</td>\s*<td[^>]*>(.*?)</td>", 1))
+
+    def told(tables: Column) -> Column:
+        owner, item, summary = tables["owner"], tables["item"], tables["summary"]
+        return F.struct(
+            labelled(owner, "Tax Payer:").alias("payer_name"), labelled(owner, "Location:").alias("location"), labelled(owner, "District:").alias("district"),
+            labelled(item, "Building Value:", "tax_item_building_value").alias("building_value"), labelled(item, "Land Value:", "tax_item_land_value").alias("land_value"),
+            labelled(item, "Fair Market Value:", "tax_item_f_m_value").alias("fair_market_value"), labelled(item, "Due Date:", "tax_item_due_date").alias("due_date"),
+            row(summary, "Current Due").alias("tax_amount"), row(summary, "Back Taxes").alias("back_taxes"), row(summary, "Total Due").alias("total_due"), row(summary, "Paid Date").alias("paid_date"),
+        )
+
+    return let(F.struct(table("tbl_temp").alias("owner"), table("tbl_tax_bill_item").alias("item"), table("tbl_tax_detail_sumary").alias("summary")), told)
 
 
 def detail_fields(html: Column) -> Column:

@@ -63,3 +63,51 @@ def test_load_resumes_and_stops_at_rejects(spark, tmp_path):
     with pytest.raises(Exception, match="1 of 2 rows"):
         load(most_rejects=0.4)
     assert load() == [(1, "a"), (2, "B"), (3, ""), (4, "d")]
+
+
+def test_files_rewrite_touched_buckets_only(spark, tmp_path):
+    import os
+
+    result = T.StructType.fromDDL("id long, seq int, v string")
+    target = f"{tmp_path}/out"
+    imports.create_target(spark, target, result)
+    for number, (first, n) in enumerate(((0, 500), (0, 1), (0, 1), (0, 1))):
+        imports.merge_batch(spark.range(first, first + n).select("id", F.lit(number).alias("seq"), F.lit(f"b{number}").alias("v")), target, number, ["id"], "seq")
+    assert {(r.v, r["count"]) for r in imports.current(spark, target).groupBy("v").count().collect()} == {("b0", 499), ("b3", 1)}
+    versions = [(d, b) for d in os.listdir(f"{target}/rows") if d.startswith("bucket") for b in os.listdir(f"{target}/rows/{d}") if b.startswith("batch") and b != "batch=-1"]
+    assert len(versions) == imports.BUCKETS + 1  # the last version and one before it, of the touched bucket only
+
+
+def test_pages_halve_stop_and_resume(spark, tmp_path):
+    result = T.StructType.fromDDL("id long, v string, processed boolean")
+    target, checkpoints, asked = f"{tmp_path}/out", f"{tmp_path}/state", []
+    feed = {"n": 1500, "fails": lambda last, size: False, "refuses": lambda last, size: False}
+
+    def fetch(last, size):
+        asked.append((last, size))
+        start = -1 if last is None else last
+        rows = spark.range(start + 1, min(start + 1 + size, feed["n"])).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"), F.when(F.col("id") % 100 == 7, False).alias("processed"))
+        if feed["refuses"](last, size):
+            return rows.withColumn("v", F.udf(lambda v: (_ for _ in ()).throw(imports.Refused("403")))("v"))
+        return rows.withColumn("v", F.raise_error(F.lit("too much")).cast("string")) if feed["fails"](last, size) else rows
+
+    def run(**kw):
+        return imports.import_pages(spark, "parcels", fetch, target, checkpoints, result, ["id"], "id", "id", **kw)
+
+    feed["fails"] = lambda last, size: size > 300  # 1000, 500, 250
+    feed["refuses"] = lambda last, size: last == 749
+    with pytest.raises(imports.Stopped, match="refused 3 times"):
+        run()
+    assert asked == [(None, 1000), (None, 500), (None, 250), (249, 250), (499, 250), *[(749, 250)] * 3]
+    p = imports.progress_of(spark, checkpoints, "parcels")
+    assert (p.status, p.last_id, p.processed, p.failed, p.size) == ("STOPPED", 749, 750, 8, 250) and imports.current(spark, target).count() == 750
+    feed["refuses"] = lambda last, size: False
+    assert run().status == "COMPLETE" and imports.current(spark, target).count() == 1500
+    with pytest.raises(imports.AlreadyComplete):
+        run()
+    feed["n"] = 1510
+    assert (run(resume=True).processed, imports.current(spark, target).count()) == (1510, 1510)
+    feed["n"], feed["fails"], asked[:] = 2000, lambda last, size: True, []
+    with pytest.raises(imports.Stopped, match="failed at 100 records after 1509"):
+        run(resume=True)
+    assert [size for _, size in asked] == [250, 125, 100] and imports.progress_of(spark, checkpoints, "parcels").status == "FAILED"
