@@ -255,6 +255,12 @@ def point_on_surface(ring: Column) -> Column:
     return let((F.array_min(ys) + F.array_max(ys)) / 2, widest)
 
 
+def search_point(geometry: Column) -> Column:
+    """lat, lng (degrees) of the point on the surface of the largest part of polygons in Web Mercator metres; null without a geometry."""
+    largest = F.array_max(F.transform(geometry, lambda rings: F.struct(F.abs(ring_sums(rings[0])["area"]).alias("area"), rings[0].alias("ring"))))["ring"]
+    return F.when(F.size(geometry) > 0, let(let(largest, point_on_surface), lambda p: F.struct(lat_of(p["y"]).alias("lat"), lng_of(p["x"]).alias("lng"))))
+
+
 def preview_path(geometry: Column, box: int = 64, pad: int = 5) -> Column:
     """The rings as a path in a square box, y downwards, two decimals."""
 

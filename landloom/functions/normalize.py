@@ -180,10 +180,10 @@ def copy_address(c: Column) -> Column:
 
 
 def log_position(value: Column, low: Column, high: Column, steps: int = 1000) -> Column:
-    """Place of a value on a logarithmic scale of steps between low and high, held inside."""
+    """Place of a value on a logarithmic scale of steps between low and high, held inside; log_value finds the value again."""
     inside = F.greatest(low, F.least(high, value))
     span = F.log1p(high - low)
-    return F.when(high > low, F.round(F.log1p(inside - low) / span * steps)).otherwise(0.0)
+    return F.when(high > low, F.log1p(inside - low) / span * steps).otherwise(0.0)
 
 
 def log_value(position: Column, low: Column, high: Column, steps: int = 1000) -> Column:
