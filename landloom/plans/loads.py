@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from landloom.functions.geo import bbox, centroid
+from landloom.functions.geo import area, bbox, centroid_of
 from landloom.functions.mapping import FieldMapping, mapped_parcels
 from landloom.functions.normalize import html_acres, html_owner, merged_district, money, owner_block, site_number
+from landloom.operators.staging import staged
+from landloom.operators.topology import simplified_rings
 from landloom.operators.upserts import insert_ignore, last_write_wins, update_non_empty
 from landloom.sources import feeds
 from landloom.sources.tables import counties, parcels, table, with_tables, zip_cities
 
-#: Features of a document.
-DOCUMENT = 20
+#: Features of a document; fixed value: degrees by which a county's simplified outline may differ.
+DOCUMENT, COUNTY_TOLERANCE = 20, 0.005
 
 EVEN = [
     FieldMapping("PARCEL_NO", "parcel_id", "TRIM"), FieldMapping("OBJECTID", "objectid"), FieldMapping("OWNER", "owner_name", "UPPER"), FieldMapping("ADDR,CITY,STATE,ZIP", "owner_address", "CONCAT_ADDRESS"),
@@ -173,13 +175,17 @@ def q22_zip_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q23_load_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counties of documents with one feature, with box and centroid."""
+    """Counties of documents with one feature, with box, centroid and what is left of their outline (sides with a shallow bay each) at a tolerance of 0.005 degrees."""
     c, i = counties(spark, sf_dir), F.col("county_id")
-    ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))])
+    x0, y0, x1, y1 = (F.col(c) for c in ("minx", "miny", "maxx", "maxy"))
+    midx, midy, bay = (x0 + x1) / 2, (y0 + y1) / 2, 0.002
+    ring = F.array(*[F.array(x, y) for x, y in ((x0, y0), (midx, y0 + bay), (x1, y0), (x1 - bay, midy), (x1, y1), (midx, y1 - bay), (x0, y1), (x0 + bay, midy), (x0, y0))])
     feature = F.struct(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct(F.col("county_name").alias("NAME10"), (i * 100).alias("totpop10"), F.when(i % 4 == 0, "").otherwise("R").alias("Reg_Comm"), (i * 2.5).alias("Acres"), (i % 3 * 1.5).alias("Sq_Miles")).alias("properties"))
     docs = c.select(F.to_json(F.struct(F.when(i % 11 == 10, F.array(feature, feature)).otherwise(F.array(feature)).alias("features"))).alias("doc"))
-    f = feeds.county_features(docs).withColumn("box", bbox(F.col("geom"))).withColumn("mid", centroid(F.col("geom")[0][0]))
-    return f.select("name", "population", "region", "acres", "square_miles", "box.*", F.round("mid.x", 6).alias("lng"), F.round("mid.y", 6).alias("lat"))
+    f = feeds.county_features(docs).withColumn("box", bbox(F.col("geom"))).withColumn("mid", centroid_of(F.col("geom")))
+    f = staged(f)
+    thin = simplified_rings(f.select(F.col("name").alias("id"), "geom"), COUNTY_TOLERANCE).select(F.col("id").alias("name"), F.size(F.col("geom")[0][0]).cast("long").alias("simplified_points"), F.round(area(F.col("geom")), 6).alias("simplified_area"))
+    return f.join(thin, "name", "left").select("name", "population", "region", "acres", "square_miles", "box.*", F.round("mid.x", 6).alias("lng"), F.round("mid.y", 6).alias("lat"), "simplified_points", "simplified_area")
 
 
 QUERIES = {f.__name__: f for f in (q17_load_parcels, q18_load_wkt, q19_enrich_parcels, q20_load_taxes_json, q21_load_taxes_html, q22_zip_reference, q23_load_counties)}
@@ -212,5 +218,5 @@ ORACLES = {
       SELECT parcel_id, tax_year, lpad(o::VARCHAR, 12, '0') AS bill_no, '{BILL_SITE}/bill?bill_id=' || o AS bill_url, 'PAYER ' || parcel_id AS payer_name, '12/20' AS due_date, '11/02' AS paid_date, tax AS tax_amount, fair AS appraised, fair * 0.40::DOUBLE AS assessed,
         CASE WHEN fair > 0 THEN tax / (fair * 0.40::DOUBLE) * 1000 ELSE 0 END::DOUBLE AS millage, (c * 3) / 100.0::DOUBLE AS building_value, -(c / 100.0::DOUBLE) AS land_value, (c // 20) / 100.0::DOUBLE AS total_due, 0.0::DOUBLE AS back_taxes FROM v""",
     "q22_zip_reference": with_tables("counties zip_cities", "SELECT (30000 + county_id)::VARCHAR AS zip5, city, CASE WHEN city IS NOT NULL THEN 'GA' END AS state, is_preferred, minx, maxy FROM counties LEFT JOIN zip_cities ON zip5 = (30000 + county_id)::VARCHAR WHERE county_id % 3 <> 2"),
-    "q23_load_counties": with_tables("counties", "SELECT county_name AS name, nullif(county_id * 100, 0)::INT AS population, CASE WHEN county_id % 4 <> 0 THEN 'R' END AS region, nullif(county_id * 2.5, 0)::DOUBLE AS acres, nullif(county_id % 3 * 1.5, 0)::DOUBLE AS square_miles, minx, miny, maxx, maxy, round((minx + maxx) / 2, 6) AS lng, round((miny + maxy) / 2, 6) AS lat FROM counties WHERE county_id % 11 <> 10"),
+    "q23_load_counties": with_tables("counties", "SELECT county_name AS name, nullif(county_id * 100, 0)::INT AS population, CASE WHEN county_id % 4 <> 0 THEN 'R' END AS region, nullif(county_id * 2.5, 0)::DOUBLE AS acres, nullif(county_id % 3 * 1.5, 0)::DOUBLE AS square_miles, minx, miny, maxx, maxy, round((minx + maxx) / 2, 6) AS lng, round((miny + maxy) / 2, 6) AS lat, 5 AS simplified_points, round((maxx - minx) * (maxy - miny), 6) AS simplified_area FROM counties WHERE county_id % 11 <> 10"),
 }

@@ -7,14 +7,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.functions.geo import CELLS, WORLD, area, bbox, buffer_pixels, cell, centroid_of, clipped, meets_box, mercator_x, mercator_y, point_on_surface, preview_path, square, tile_envelope, tile_x, tile_y
+from landloom.functions.geo import CELLS, WORLD, area, bbox, buffer_pixels, cell, centroid_of, clipped, lat_of, lng_of, meets_box, mercator_x, mercator_y, point_on_surface, preview_path, square, tile_envelope, tile_x, tile_y
 from landloom.functions.normalize import feature_id, site_number
-from landloom.operators.staging import shared_folder
+from landloom.operators.staging import shared_folder, staged
 from landloom.operators.tile_store import lookup_tiles, upsert_tiles
+from landloom.operators.topology import simplified_together
 from landloom.plans.taxes import taxed_parcels
 from landloom.sources.tables import counties, parcels, with_tables
 
 FINEST, COARSEST = 16, 6
+#: Degrees by which a preview may differ, and its decimals.
+PREVIEW = (0.00001, 5)
 PARCEL_ZOOMS = (13, 14, 15, 16, 17, 18, 19)
 
 
@@ -174,12 +177,17 @@ def agg16_build_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q5_parcel_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preview paths of asked feature ids (those divisible by 100, and ones that are not valid): ids are parsed and meet parcels by equality."""
+    """Preview paths, and outlines simplified together, of asked feature ids (those divisible by 100, and ones that are not valid): ids are parsed and meet parcels by equality."""
     p = parcel_features(spark, sf_dir)
     asked = parcels(spark, sf_dir).where("id % 100 = 0").select(F.concat(F.lit(" "), (F.col("county_id") + F.when(F.col("id") % 300 == 0, 100).otherwise(0)).cast("string"), F.when(F.col("id") % 700 == 0, "-").otherwise("_"), F.col("id").cast("string")).alias("asked"))
     parts = F.split(F.trim("asked"), "_", 2)
     keys = asked.select("asked", F.get(parts, F.lit(0)).try_cast("int").alias("county_id"), F.get(parts, F.lit(1)).try_cast("long").alias("id")).where("county_id > 0 AND id > 0")
-    return p.join(keys, ["county_id", "id"]).select("feature_id", preview_path(F.col("geom")).alias("path"))
+    asked = staged(p.join(keys, ["county_id", "id"]).select("feature_id", "geom"))
+    degrees = F.transform("geom", lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda q: F.struct(lng_of(q["x"]).alias("x"), lat_of(q["y"]).alias("y")))))
+    thin = simplified_together(asked.select(F.col("feature_id").alias("id"), degrees.alias("geom")).distinct(), *PREVIEW).withColumnRenamed("id", "feature_id").withColumnRenamed("geom", "thin")
+    coordinates = F.transform("thin", lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda q: F.array(q["x"], q["y"]))))
+    told = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates")))
+    return asked.join(thin, "feature_id").select("feature_id", preview_path(F.col("geom")).alias("path"), told.alias("geometry"))
 
 
 def agg12_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +235,9 @@ ORACLES |= {
       SELECT z, x, y, tax_year, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, count(*) AS feature_count, round(sum(tax_amount), 4) AS tax, min(px0) AS px0, min(py0) AS py0, max(px1) AS px1, max(py1) AS py1 FROM k JOIN taxes ON id = taxes.parcel_id WHERE tax_amount > 0 GROUP BY ALL"""),
     "q24_tile_lookup": with_tables("parcels", f"""{_LEVELS(13, 20)}, asked AS (SELECT DISTINCT z, floor((mx + {_W} / 2) / w)::INT AS x, floor(({_W} / 2 - my) / w)::INT AS y FROM (SELECT *, {_W} / pow(2, z) AS w FROM parcels, levels)), tiles AS ({ORACLES["q13_parcel_tiles"]})
       SELECT z, x, y, feature_ids, feature_count, label_count, px0, py0, px1, py1 FROM asked LEFT JOIN tiles USING (z, x, y)"""),
-    "q5_parcel_previews": with_tables("parcels", "SELECT county_id::VARCHAR || '_' || objectid::VARCHAR AS feature_id, 'M5.0 59.0 L59.0 59.0 L59.0 5.0 L5.0 5.0 L5.0 59.0 Z' AS path FROM parcels WHERE processed IS NULL AND objectid IS NOT NULL AND id % 100 = 0 AND id % 300 <> 0 AND id % 700 <> 0 AND county_id > 0"),
+    "q5_parcel_previews": with_tables("parcels", """SELECT county_id::VARCHAR || '_' || objectid::VARCHAR AS feature_id, 'M5.0 59.0 L59.0 59.0 L59.0 5.0 L5.0 5.0 L5.0 59.0 Z' AS path,
+      '{"type":"MultiPolygon","coordinates":[[[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]]}' AS geometry
+      FROM (SELECT *, round(degrees(mx / 6378137.0), 5) AS x0, round(degrees((mx + side) / 6378137.0), 5) AS x1, round(degrees(2 * atan(exp(my / 6378137.0)) - pi() / 2), 5) AS y0, round(degrees(2 * atan(exp((my + side) / 6378137.0)) - pi() / 2), 5) AS y1 FROM parcels) WHERE processed IS NULL AND objectid IS NOT NULL AND id % 100 = 0 AND id % 300 <> 0 AND id % 700 <> 0 AND county_id > 0"""),
     "agg12_regions": with_tables("parcels", f"""{_LEVELS(6, 17)}, c AS (SELECT z, floor((mx + {_W} / 2) / ({_W} / pow(2, z)))::INT AS x, floor(({_W} / 2 - my) / ({_W} / pow(2, z)))::INT AS y, count(*) AS n FROM parcels, levels WHERE processed IS NULL AND objectid IS NOT NULL GROUP BY ALL)
       SELECT c.z, c.x, c.y, c.n FROM c LEFT JOIN c AS u ON u.z = c.z - 1 AND u.x = c.x // 2 AND u.y = c.y // 2 WHERE (c.n < 500 OR c.z = 16) AND (u.n IS NULL OR u.n >= 500)"""),
 }
