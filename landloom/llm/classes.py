@@ -26,6 +26,32 @@ def components(links: DataFrame, vertices: tuple[str, str] = ("a", "b")) -> Data
         labels = moved.select("id", F.col("next").alias("root"))
 
 
+def contracted(links: DataFrame, vertices: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Links (a, b) with the same components, but fewer where many join one group: the links that a batch of rows holds are joined there, and each of its
+    vertices is linked to the least one it is connected with. Links come by their lesser vertex, so one group's mostly share a batch; a batch is held, no group."""
+    u, v = vertices
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            above: dict[int, int] = {}
+
+            def root_of(r: int) -> int:
+                while (up := above.setdefault(r, r)) != r:  # noqa: B023
+                    above[r] = above[up]  # noqa: B023
+                    r = up
+                return r
+
+            for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                x, y = root_of(x), root_of(y)
+                above[max(x, y)] = min(x, y)
+            pairs = [(root_of(m), m) for m in above]
+            a, b = zip(*[p for p in pairs if p[0] != p[1]], strict=True) if any(p[0] != p[1] for p in pairs) else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    sides = links.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
+    return sides.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(stars, "a long, b long").distinct()
+
+
 def pivot_pairs(met: DataFrame, bucket: list[str], small: int) -> DataFrame:
     """a, b of the pivots of buckets of over `small` members with all other members. met: bucket, rep, n (members of the bucket).
 

@@ -18,7 +18,7 @@ Cases: images equal in size and pixels are one class from the start; null or emp
 pixels, or sizes that don't fit them, have no corner and are alike to equal ones
 only; images smaller than a patch have no corner; pictures with a side over
 MAX_SIDE are halved until it fits; ties between corners go to the upper, then the left one; rows
-with a null id are left out; rows of one id are described by one picture of it; an empty
+with a null id are left out; rows of one id with different pictures are pictures of their own, each with its class; an empty
 table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm.classes import components, joined_in_blocks, joining, pivot_pairs
+from landloom.llm.classes import components, contracted, joined_in_blocks, joining, pivot_pairs
 from landloom.llm.common import read, staged
 
 #: Pixels for each corner, corners of the smallest pictures, longest side that is described, and scales of the pyramid.
@@ -186,11 +186,12 @@ def image_features(images: DataFrame) -> DataFrame:
 
 def image_copies(images: DataFrame) -> DataFrame:
     """image_id, class_id (the least image_id of its class)."""
-    images = images.where("image_id IS NOT NULL")
-    table = staged(images.select("image_id", F.md5(F.concat_ws(":", F.col("width"), F.col("height"), F.hex("pixels"))).alias("key")))
-    reps = staged(table.groupBy("key").agg(F.min("image_id").alias("rep")))
-    kept = reps.select(F.col("rep").alias("image_id"))
-    feats = staged(image_features(images.join(kept, "image_id", "left_semi").dropDuplicates(["image_id"])).withColumnRenamed("image_id", "rep"))
+    pixel_key = F.md5(F.concat_ws(":", F.col("width"), F.col("height"), F.hex("pixels")))
+    images = images.where("image_id IS NOT NULL").select("image_id", "width", "height", "pixels", pixel_key.alias("key"))
+    table = staged(images.select("image_id", "key"))
+    reps = staged(table.groupBy("key").agg(F.min("image_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()))  # different pictures are numbered
+    firsts = images.join(reps, "key").where("image_id = least").dropDuplicates(["rep"])
+    feats = staged(image_features(firsts.select(F.col("rep").alias("image_id"), "width", "height", "pixels")).withColumnRenamed("image_id", "rep"))
     entries = feats.select("rep", F.explode("keys").alias("table_key"))
     crowds = entries.groupBy("table_key").agg(F.count("*").alias("n")).where("n > 1")
     met = staged(entries.join(crowds, "table_key"))
@@ -205,14 +206,15 @@ def image_copies(images: DataFrame) -> DataFrame:
 
     sides = [feats.select(F.col("rep").alias(c), F.col("geometry").alias(f"g{c}"), F.col("words").alias(f"w{c}")) for c in "ab"]
     judged = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "ga", "wa", "gb", "wb").mapInArrow(verify, "a long, b long, linked boolean")
-    roots = components(staged(judged.where("linked").select("a", "b")))
+    roots = components(staged(contracted(staged(judged.where("linked").select("a", "b")))))
     sizes = feats.select("rep", (F.octet_length("words") / (BITS // 8)).alias("size"))
     rooted = large.join(roots, F.col("rep") == F.col("id"), "left").select("table_key", "rep", F.coalesce("root", "rep").alias("root")).join(sizes, "rep")
     payloads = feats.select("rep", F.struct("geometry", "words").alias("payload"))
-    joined = components(staged(joined_in_blocks(staged(rooted), payloads, ["table_key"], BLOCK_IMAGES, BLOCK_CORNERS, lambda _, xs, ys: block_links(xs, ys))))
-    classes = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("id"))
-    classes = classes.join(joined, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
-    return table.join(classes, "key").select("image_id", "class_id")
+    joined = components(staged(contracted(staged(joined_in_blocks(staged(rooted), payloads, ["table_key"], BLOCK_IMAGES, BLOCK_CORNERS, lambda _, xs, ys: block_links(xs, ys))))))
+    classes = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "least", F.coalesce("root", "rep").alias("id"))
+    classes = staged(classes.join(joined, "id", "left").select("key", "least", F.coalesce("root", "id").alias("class")))
+    named = classes.groupBy("class").agg(F.min("least").alias("class_id"))
+    return table.join(classes.join(named, "class").select("key", "class_id"), "key").select("image_id", "class_id")
 
 
 def pictures(vectors: DataFrame, tiles: int = 24, pixels: int = 2) -> DataFrame:

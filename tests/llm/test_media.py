@@ -80,3 +80,23 @@ def test_repeated_ids_clashing_names_and_large_pictures(spark):
 
 def test_empty(spark):
     assert M.image_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_two_pictures_under_one_id_keep_their_copies(spark):
+    one, other = scene(21), scene(22)
+    rows = [row(1, one), row(1, other), row(2, one * 0.8 + 20), row(3, other[4:, 6:]), row(0, scene(23))]
+    got = sorted(tuple(r) for r in M.image_copies(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_contracted_links_keep_components(spark):
+    import random
+
+    from landloom.llm.classes import components, contracted
+
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, j) for i in range(400, 440) for j in range(i)  if j >= 400] + [(7, 7)]
+    df = spark.createDataFrame([p for p in links if p[0] != p[1]], "a long, b long")
+    few = contracted(df)
+    assert few.where("a >= 400").count() < 40 * 5
+    assert {tuple(r) for r in components(few).collect()} == {tuple(r) for r in components(df).collect()}
