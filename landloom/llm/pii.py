@@ -86,7 +86,7 @@ BASE = {
 GENERATORS = {
     "email_like": r"(?<![^\s<>\"'(),;])[^\s<>\"'(),;@]++(?:@|\(at\)|\[at\])[^\s<>\"'(),;@]++",
     "dotted": r"(?<![0-9.])[0-9]{1,4}+(?:\.[0-9]{1,4}+){2,7}+",
-    "digits": r"(?<![0-9+])\+?+\(?+[0-9](?:[\x20()./-]{0,2}+[0-9]){6,}+",
+    "digits": r"(?<![0-9A-Za-z+])\+?+\(?+[0-9](?:[\x20()./-]{0,2}+[0-9]){6,}+(?![A-Za-z])",
 }
 
 #: What is planted: whether it is personal, its form ({n}: n digits, {w}: letters), and words that often stand before it.
