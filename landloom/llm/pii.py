@@ -278,10 +278,8 @@ class BoostedTrees:
 
     def selected(self, x: Column) -> Column:
         """Whether the candidate reaches its generator's threshold."""
-        out = F.lit(False)
-        for g, t in sorted(self.thresholds.items()):
-            out = out | ((x[0] == g) & (self.probability(x) >= t))
-        return out
+        limits = F.array(*[F.lit(float(self.thresholds.get(g, 2))) for g in range(len(GENERATORS))])  # no candidate reaches 2
+        return self.probability(x) >= F.get(limits, x[0])
 
 
 def find_pii(docs: DataFrame, model: BoostedTrees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

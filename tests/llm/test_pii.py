@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from landloom.llm import pii as P
 
 KINDS = {
@@ -91,3 +93,10 @@ def test_repeated_rows_and_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, candidates string")
     found = P.find_pii(df, P.BoostedTrees([])).select("doc_id", P.listed(P.F.col("base"))).collect()
     assert sorted(map(tuple, found), key=repr) == [(1, "email:5:11"), (1, "email:5:11"), (None, "phone:0:15")]
+
+
+def test_digits_within_letters_are_no_candidates(spark):
+    texts = ["token = 1eb9c654e721b4f812088970e66a", "part AB1234567890", "1234567890XY", "call 555 123 4567 now", "(404) 555-0199"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["c"] if s["kind"] == "digits"] for r in df.select("doc_id", P.candidate_spans(F.col("text")).alias("c")).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: ["555 123 4567"], 4: ["(404) 555-0199"]}
