@@ -49,21 +49,56 @@ def test_every_source_meets_its_target_whatever_its_size(spark, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
-def test_quotas_are_sainte_lague_apportionment(spark, monkeypatch):
-    """A source's quotas over the shards against highest quotients of the same cells: both within one token of every due, and equal in all."""
+def highest_quotients(votes, seats):
+    """Seats handed out one by one to the highest votes / (2 won + 1), ties to the first."""
+    won = [0] * len(votes)
+    for _ in range(seats):
+        best = max(range(len(votes)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
+        won[best] += 1
+    return won
+
+
+def test_apportionment_against_handing_out_seats(spark):
+    """Groups of many sizes: no seats, fewer seats than places, votes of 0, ties, one competitor with nearly all votes, fractions."""
+    rng = random.Random(4)
+    groups = [([0], 0), ([5], 7), ([1, 1, 1], 2), ([10**9, 1, 1, 1], 500), ([0, 3, 0], 4), ([2.5, 7.25, 0.1], 40)]
+    groups += [([rng.choice([0, 1, 3, 50, 50, 997, 10**6]) + (rng.random() if rng.random() < 0.3 else 0) for _ in range(rng.randint(1, 60))], rng.randint(1, 900)) for _ in range(40)]
+    groups = [(v, n) for v, n in groups if sum(v) or not n]
+    rows = [(g, i, float(x), float(sum(v)), len(v), n) for g, (v, n) in enumerate(groups) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "g long, shard long, votes double, total double, places long, seats long")
+    got = {(r.g, r.shard): r.won for r in M.apportioned(df, ["g"], ["shard"]).collect()}
+    for g, (votes, seats) in enumerate(groups):
+        assert [got[g, i] for i in range(len(votes))] == highest_quotients(votes, seats), (votes, seats)
+
+
+def test_taken_against_brute_force(spark, monkeypatch):
+    """Every document's words recomputed: sources compete for blocks, shards for their source's blocks, the seeded order fills the quotas."""
     monkeypatch.setattr(M, "DOCS_PER_SHARD", 50)
-    rows = [(i, "ab"[i % 2], 3 + i % 11) for i in range(2000)]
-    got = M.mix_sources(spark.createDataFrame(rows, SCHEMA))
-    shard = M.F.pmod(M.F.xxhash64(M.F.xxhash64("doc_id", M.F.lit(42))), M.F.lit(40))
-    cells = [tuple(r) for r in got.groupBy("source", shard.alias("s")).agg(M.F.sum("size"), M.F.sum("taken"), M.F.first("target"), M.F.first("source_size")).collect()]
-    for source in "ab":
-        own = sorted((r for r in cells if r[0] == source), key=lambda r: r[1])
-        seats, total = [0] * len(own), int(own[0][4] + 0.5)
-        for _ in range(total):  # highest quotient of cell / (2 seats + 1)
-            best = max(range(len(own)), key=lambda i: (own[i][2] / (2 * seats[i] + 1), -i))
-            seats[best] += 1
-        assert sum(r[3] for r in own) == sum(seats) == total
-        assert all(abs(r[3] - n) <= 1 for r, n in zip(own, seats, strict=True))
+    monkeypatch.setattr(M, "BLOCKS_PER_SHARD", 16)
+    rng = random.Random(6)
+    rows = [(i, ["a", "a", "a", "b", None][i % 5], rng.choice([0, 3, 40, 41, 200])) for i in range(1500)] + [(5000 + i, "tiny", 900) for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.taken for r in M.mix_sources(df.repartition(5)).collect()}
+    draw = {r.doc_id: (r.d, r.s) for r in df.select("doc_id", M.F.xxhash64("doc_id", M.F.lit(42)).alias("d")).withColumn("s", M.F.xxhash64("d")).collect()}
+    names = [None, "a", "b", "tiny"]
+    own = {s: [r for r in rows if r[1] == s] for s in names}
+    target = expected_targets({s: sum(r[2] for r in own[s]) for s in names})
+    shards = {s: -(-len(own[s]) // 50) for s in names}
+    block = max(1, min(256, int(min(target[s] / shards[s] for s in names) / 16)))
+    assert block > 1
+    blocks = dict(zip(names, highest_quotients([target[s] for s in names], round(sum(target.values()) / block)), strict=True))
+    want = {}
+    for s in names:
+        cells = [sorted((r for r in own[s] if draw[r[0]][1] % shards[s] == k), key=lambda r: draw[r[0]][0]) for k in range(shards[s])]
+        sizes = [sum(r[2] for r in c) for c in cells]
+        for cell, size, won in zip(cells, sizes, highest_quotients(sizes, blocks[s]), strict=True):
+            left = min(won * block, 2 * size)
+            want |= {r[0]: 0 for r in cell}
+            for r in cell * 2:
+                want[r[0]] += min(r[2], left)
+                left -= min(r[2], left)
+        assert abs(sum(want[r[0]] for r in own[s]) - target[s]) <= block * (1 + shards[s] / 2)
+    assert got == want
 
 
 def test_empty_and_clashing_names(spark):
