@@ -26,9 +26,10 @@ def components(links: DataFrame, vertices: tuple[str, str] = ("a", "b")) -> Data
         labels = moved.select("id", F.col("next").alias("root"))
 
 
-def contracted(links: DataFrame, vertices: tuple[str, str] = ("a", "b")) -> DataFrame:
+def contracted(links: DataFrame, vertices: tuple[str, str] = ("a", "b"), passes: int = 2) -> DataFrame:
     """Links (a, b) with the same components, but fewer where many join one group: the links that a batch of rows holds are joined there, and each of its
-    vertices is linked to the least one it is connected with. Links come by their lesser vertex, so one group's mostly share a batch; a batch is held, no group."""
+    vertices is linked to the least one it is connected with; a batch is held, no group. By turns links come by their lesser vertex, so that one group's
+    share batches, and by their greater one, so that a member that was linked to the leasts of many batches keeps about one link."""
     u, v = vertices
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,12 +45,15 @@ def contracted(links: DataFrame, vertices: tuple[str, str] = ("a", "b")) -> Data
             for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
                 x, y = root_of(x), root_of(y)
                 above[max(x, y)] = min(x, y)
-            pairs = [(root_of(m), m) for m in above]
-            a, b = zip(*[p for p in pairs if p[0] != p[1]], strict=True) if any(p[0] != p[1] for p in pairs) else ((), ())
+            pairs = [(root, m) for m in above if (root := root_of(m)) != m]
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    sides = links.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
-    return sides.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(stars, "a long, b long").distinct()
+    left = links.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
+    for n in range(passes):
+        order = ["a", "b"] if n % 2 == 0 else ["b", "a"]
+        left = staged(left.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(stars, "a long, b long").distinct())
+    return left
 
 
 def pivot_pairs(met: DataFrame, bucket: list[str], small: int) -> DataFrame:

@@ -206,11 +206,11 @@ def image_copies(images: DataFrame) -> DataFrame:
 
     sides = [feats.select(F.col("rep").alias(c), F.col("geometry").alias(f"g{c}"), F.col("words").alias(f"w{c}")) for c in "ab"]
     judged = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "ga", "wa", "gb", "wb").mapInArrow(verify, "a long, b long, linked boolean")
-    roots = components(staged(contracted(staged(judged.where("linked").select("a", "b")))))
+    roots = components(contracted(staged(judged.where("linked").select("a", "b"))))
     sizes = feats.select("rep", (F.octet_length("words") / (BITS // 8)).alias("size"))
     rooted = large.join(roots, F.col("rep") == F.col("id"), "left").select("table_key", "rep", F.coalesce("root", "rep").alias("root")).join(sizes, "rep")
     payloads = feats.select("rep", F.struct("geometry", "words").alias("payload"))
-    joined = components(staged(contracted(staged(joined_in_blocks(staged(rooted), payloads, ["table_key"], BLOCK_IMAGES, BLOCK_CORNERS, lambda _, xs, ys: block_links(xs, ys))))))
+    joined = components(contracted(staged(joined_in_blocks(staged(rooted), payloads, ["table_key"], BLOCK_IMAGES, BLOCK_CORNERS, lambda _, xs, ys: block_links(xs, ys)))))
     classes = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "least", F.coalesce("root", "rep").alias("id"))
     classes = staged(classes.join(joined, "id", "left").select("key", "least", F.coalesce("root", "id").alias("class")))
     named = classes.groupBy("class").agg(F.min("least").alias("class_id"))
