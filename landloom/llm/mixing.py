@@ -6,7 +6,7 @@ blocks of the mix, their targets being the votes; then the shards of a source co
 its blocks, their tokens being the votes. So each shard has an integer quota of blocks, and
 the quotas of a source are its blocks. A source is dealt into shards of about
 DOCS_PER_SHARD documents by a hash of the document, small sources into one. A block is so
-small that it is a 256th of the least share of a target that a shard has on average
+small that it is a 2048th of the least share of a target that a shard has on average
 (MAX_BLOCK at most, one token at least): no source is too small to win blocks.
 
 A shard's documents are laid end to end in an order drawn by the seed and cut into blocks;
@@ -38,7 +38,7 @@ from landloom.operators.ranking import running_totals
 #: Documents a shard holds on average; bounds what a shard's window sorts, whatever share of the rows a source has.
 DOCS_PER_SHARD = 512
 #: Tokens of a block at most, and blocks of a shard's share at least (unless a block is one token).
-MAX_BLOCK, BLOCKS_PER_SHARD = 256, 256
+MAX_BLOCK, BLOCKS_PER_SHARD = 256, 2048
 #: Weights of the sources in order, repeating (fixed values of the task).
 WEIGHTS = (3, 1, 2)
 #: Sources whose targets are broadcast; more of them are joined by a shuffle, each source's rows dealt by so many salts.
