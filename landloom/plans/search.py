@@ -30,21 +30,43 @@ def query_parts(raw: DataFrame) -> DataFrame:
     return rows.select("query_id", "q", F.regexp_extract("q", _ZIP, 1).alias("zip"), city.alias("city"), F.when(street == "", F.col("q")).otherwise(street).alias("street"))
 
 
-def _ranked(queries: DataFrame, rows: DataFrame, asked: str, text: str, prefix_order: list[Column], fuzzy_score: Column, first_order: list[Column], fuzzy_order: list[Column], limit: int) -> DataFrame:
-    """query_id, rank, id, stage (0 prefix, 1 similar): prefix rows first, then similar ones that are not among them until there are limit."""
+def _alike(rows: DataFrame, most: int) -> DataFrame:
+    """Rows that are alike but for their id as one: id, the least, and ids, the first so many in order."""
+    columns = [c for c in rows.columns if c != "id"]
+    kept = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*columns).orderBy("id"))).where(F.col("_nth") <= most)
+    return kept.groupBy(*columns).agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def _ranked(asking: DataFrame, rows: DataFrame, asked: str, text: str, prefix_order: list[Column], fuzzy_score: Column, first_order: list[Column], fuzzy_order: list[Column], limit: int, query_grams: dict[str, Column], row_grams: dict[str, Column]) -> DataFrame:
+    """query_id, rank, id, stage (0 prefix, 1 similar): prefix rows first, then similar ones that are not among them until there are limit.
+
+    Every order ends with the id. So of rows that are alike but for it only the first FUZZY_TIMES * limit can be told, and rows that one of the first n
+    groups of alike rows holds (by their least ids) are before those of all later groups: groups are scored and ranked, and the first n alone give their rows. Queries that are alike are asked once.
+    """
+    asking = asking.withColumn("_asked", F.to_json(F.struct(*[c for c in asking.columns if c != "query_id"])))
+    members = staged(asking.select("query_id", "_asked"))
+    queries = staged(asking.drop("query_id").dropDuplicates(["_asked"]).withColumnRenamed("_asked", "query_id").withColumns(query_grams))
+    groups = staged(_alike(rows, FUZZY_TIMES * limit).withColumnRenamed(text, "text").withColumns(row_grams))
     told = queries.select("query_id", F.col(asked).alias("q"))
-    texts = rows.select(F.col(text).alias("text"))
-    full = lambda met: met.join(rows.withColumnRenamed(text, "text"), "text").join(queries.drop("text"), "query_id")
+    texts = groups.select("text")
+    full = lambda met: met.join(groups, "text").join(queries, "query_id")
     by = lambda order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    first = staged(full(starting_with(told, texts)).withColumn("nth", by(prefix_order)).where(F.col("nth") <= limit).select("query_id", "id", "nth"))
+
+    def best_rows(found: DataFrame, order: list[Column], most: Column) -> DataFrame:
+        """The first rows of a query's groups, as nth."""
+        few = found.withColumn("nth", by(order)).where(F.col("nth") <= most)
+        each = few.select(*[c for c in few.columns if c not in ("id", "ids", "nth")], F.explode("ids").alias("id"))
+        return each.withColumn("nth", by(order)).where(F.col("nth") <= most)
+
+    first = staged(best_rows(full(starting_with(told, texts)), prefix_order, F.lit(limit)).select("query_id", "id", "nth"))
     counts = first.groupBy("query_id").agg(F.count("*").alias("held"))
     lacking = staged(queries.where(F.length("q") >= FUZZY_FROM).join(counts, "query_id", "left").withColumn("needed", limit - F.coalesce("held", F.lit(0))).where("needed > 0").drop("held"))
     similar = similar_texts(lacking.select("query_id", F.col(asked).alias("q")), texts).select("query_id", "text")
     scored = full(similar).join(lacking.select("query_id", "needed"), "query_id").withColumn("score", F.round(fuzzy_score, 9))
-    scored = scored.withColumn("pick", by(first_order)).where(F.col("pick") <= FUZZY_TIMES * F.col("needed")).withColumn("nth", by(fuzzy_order))
+    scored = best_rows(scored, first_order, FUZZY_TIMES * F.col("needed")).withColumn("nth", by(fuzzy_order))
     both = first.select("query_id", "id", F.lit(0).alias("stage"), "nth").unionByName(scored.select("query_id", "id", F.lit(1).alias("stage"), "nth"))
     best = both.groupBy("query_id", "id").agg(F.min(F.struct("stage", "nth")).alias("at")).withColumn("rank", by(["at"])).where(F.col("rank") <= limit)
-    return best.select("query_id", "rank", "id", F.col("at.stage").alias("stage"))
+    return best.select(F.col("query_id").alias("_asked"), "rank", "id", F.col("at.stage").alias("stage")).join(members, "_asked").select("query_id", "rank", "id", "stage")
 
 
 def _place_ranks(city: str) -> list[Column]:
@@ -57,22 +79,23 @@ def _place_ranks(city: str) -> list[Column]:
 
 def search_address(raw: DataFrame, rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """rows: id, site_norm, display, place_city, zip5."""
-    queries = staged(query_parts(raw)).withColumnRenamed("city", "city_token")
+    queries = query_parts(raw).withColumnRenamed("city", "city_token")
     exact = F.when(F.col("text") == F.col("street"), 0).otherwise(1)
     shown = F.coalesce("display", F.lit(""))
-    score = F.greatest(similarity(trigrams(F.col("text")), trigrams(F.col("street"))), similarity(trigrams(shown), trigrams(F.col("q"))))
+    score = F.greatest(similarity(F.col("text_grams"), F.col("street_grams")), similarity(F.col("shown_grams"), F.col("q_grams")))
+    grams = {"q_grams": trigrams(F.col("q")), "street_grams": trigrams(F.col("street"))}, {"text_grams": trigrams(F.col("text")), "shown_grams": trigrams(shown)}
     places = _place_ranks("place_city")
-    return _ranked(queries, rows.where("site_norm <> ''"), "street", "site_norm", [exact, *places, F.length(shown), shown, F.col("id")], score, [F.desc("score"), F.col("id")], [F.desc("score"), *places, F.col("id")], limit)
+    return _ranked(queries, rows.where("site_norm <> ''"), "street", "site_norm", [exact, *places, F.length(shown), shown, F.col("id")], score, [F.desc("score"), F.col("id")], [F.desc("score"), *places, F.col("id")], limit, *grams)
 
 
 def search_owner(raw: DataFrame, rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """rows: id, owner_name."""
-    queries = staged(query_parts(raw).select("query_id", "q"))
+    queries = query_parts(raw).select("query_id", "q")
     named = rows.where("owner_name <> ''").withColumn("low", F.lower("owner_name"))
     exact = F.when(F.col("text") == F.col("q"), 0).when(F.startswith("text", F.concat("q", F.lit(" "))), 1).otherwise(2)
-    score = similarity(trigrams(F.col("text")), trigrams(F.col("q")))
+    score = similarity(F.col("text_grams"), F.col("q_grams"))
     order = [F.desc("score"), F.col("owner_name"), F.col("id")]
-    return _ranked(queries, named, "q", "low", [exact, F.length("owner_name"), F.col("owner_name"), F.col("id")], score, order, order, limit)
+    return _ranked(queries, named, "q", "low", [exact, F.length("owner_name"), F.col("owner_name"), F.col("id")], score, order, order, limit, {"q_grams": trigrams(F.col("q"))}, {"text_grams": trigrams(F.col("text"))})
 
 
 def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
