@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.functions.geo import CELLS, WORLD, area, bbox, buffer_pixels, cell, centroid_of, clipped, lat_of, lng_of, meets_box, mercator_x, mercator_y, point_on_surface, preview_path, square, tile_envelope, tile_x, tile_y
+from landloom.functions.geo import CELLS, WORLD, area, bbox, buffer_pixels, cell, centroid_of, clipped, lat_of, let, lng_of, meets_box, mercator_x, mercator_y, point_on_surface, preview_path, square, tile_envelope, tile_x, tile_y
 from landloom.functions.normalize import feature_id, site_number
 from landloom.operators.staging import shared_folder, staged
 from landloom.operators.tile_store import lookup_tiles, upsert_tiles
@@ -55,11 +55,21 @@ def parcel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(feature_id(F.col("county_id"), F.col("objectid")).alias("feature_id"), "id", "county_id", number.alias("site_number"), "mx", "my", "side", shape.alias("geom")).withColumn("bbox", bbox(F.col("geom")))
 
 
-def _extent(points: Column) -> list[Column]:
-    flat = F.flatten(F.flatten(points))
-    low = lambda f: F.array_min(F.transform(flat, lambda p: p[f]))
-    high = lambda f: F.array_max(F.transform(flat, lambda p: p[f]))
-    return [low("x").alias("px0"), low("y").alias("py0"), high("x").alias("px1"), high("y").alias("py1")]
+def _with_extent(rows: DataFrame, points: Column) -> DataFrame:
+    """rows with px0, py0, px1, py1 of polygons, whose points are laid out once for all four."""
+
+    def of(flat: Column) -> Column:
+        low = lambda f: F.array_min(F.transform(flat, lambda p: p[f]))
+        high = lambda f: F.array_max(F.transform(flat, lambda p: p[f]))
+        return F.struct(low("x").alias("px0"), low("y").alias("py0"), high("x").alias("px1"), high("y").alias("py1"))
+
+    return rows.withColumn("_extent", let(F.flatten(F.flatten(points)), of)).select(*rows.columns, "_extent.*")
+
+
+def _with_shape(rows: DataFrame, pixels: Column) -> DataFrame:
+    """rows (geom, z, x, y) with their shape clipped to the tile; those that leave none go. It comes out of a generator, so that the optimizer can't clip once for the filter and again for the row."""
+    shape = clipped(F.col("geom"), F.col("z"), F.col("x"), F.col("y"), pixels)
+    return rows.withColumn("shape", F.explode(F.array_compact(F.array(shape))))
 
 
 def tile_rows(features: DataFrame, zooms: tuple[int, ...] = PARCEL_ZOOMS) -> DataFrame:
@@ -71,16 +81,16 @@ def tile_rows(features: DataFrame, zooms: tuple[int, ...] = PARCEL_ZOOMS) -> Dat
     own = F.lit(False)
     for z in zooms:
         own = own | ((F.col("z") == z) & (F.col("x") == tile_x(F.col("label.x"), z)) & (F.col("y") == tile_y(F.col("label.y"), z)))
-    shape = clipped(F.col("geom"), F.col("z"), F.col("x"), F.col("y"), buffer_pixels(F.col("z")))
     labelled = features.withColumn("label", F.when(F.coalesce(F.col("site_number"), F.lit("")) != "", on))
-    told = tiles_touched(labelled, zooms).select("z", "x", "y", F.struct("feature_id", shape.alias("shape"), F.coalesce(own, F.lit(False)).alias("owned")).alias("feature")).where("feature.shape IS NOT NULL")
-    return told.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list("feature")).alias("features"), F.count("*").alias("feature_count"), F.count_if("feature.owned").alias("label_count"))
+    told = _with_shape(tiles_touched(labelled, zooms), buffer_pixels(F.col("z"))).select("z", "x", "y", F.struct("feature_id", "shape", F.coalesce(own, F.lit(False)).alias("owned")).alias("feature"))
+    return told.groupBy("z", "x", "y").agg(F.sort_array(F.collect_list("feature")).alias("features"), F.count("*").alias("feature_count"), F.count_if("feature.owned").alias("label_count"))
 
 
 def tile_summary(tiles: DataFrame) -> DataFrame:
     """Tiles with the ids of their features and the extent of the shapes."""
     shapes = F.transform("features", lambda f: f["shape"])
-    return tiles.select("z", "x", "y", F.array_join(F.transform("features", lambda f: f["feature_id"]), ",").alias("feature_ids"), "feature_count", "label_count", *_extent(F.flatten(shapes)))
+    told = _with_extent(tiles.select("z", "x", "y", "features", "feature_count", "label_count"), F.flatten(shapes))
+    return told.withColumn("feature_ids", F.array_join(F.transform("features", lambda f: f["feature_id"]), ",")).drop("features")
 
 
 def q13_parcel_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +138,8 @@ def q12_tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q14_county_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of county tiles: outlines clipped to the tile's grid (its extent told), and labels, each owned by one tile."""
     f = county_features(spark, sf_dir)
-    shapes = tiles_touched(f, COUNTY_ZOOMS).withColumn("shape", clipped(F.col("geom"), F.col("z"), F.col("x"), F.col("y"), F.lit(256))).where("shape IS NOT NULL")
-    outlines = shapes.select("z", "x", "y", F.lit("counties").alias("sublayer"), "county_id", *_extent(F.col("shape")))
+    shapes = _with_shape(tiles_touched(f, COUNTY_ZOOMS), F.lit(256)).select("z", "x", "y", F.lit("counties").alias("sublayer"), "county_id", "shape")
+    outlines = _with_extent(shapes, F.col("shape")).drop("shape")
     label = None
     for z in COUNTY_ZOOMS:
         at = f.select(F.lit(z).alias("z"), tile_x(F.col("label.x"), z).alias("x"), tile_y(F.col("label.y"), z).alias("y"), F.lit("county_labels").alias("sublayer"), "county_id")
@@ -140,7 +150,7 @@ def q14_county_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q16_tax_parcel_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of taxed parcels by year: features, their tax, and the extent of their clipped shapes. A shape is clipped once, whatever its years."""
     f = parcel_features(spark, sf_dir).select("id", "geom", "bbox")
-    shapes = tiles_touched(f, PARCEL_ZOOMS).withColumn("shape", clipped(F.col("geom"), F.col("z"), F.col("x"), F.col("y"), F.lit(16))).where("shape IS NOT NULL").select("z", "x", "y", "id", *_extent(F.col("shape")))
+    shapes = _with_extent(_with_shape(tiles_touched(f, PARCEL_ZOOMS), F.lit(16)).select("z", "x", "y", "id", "shape"), F.col("shape")).drop("shape")
     taxes = taxed_parcels(spark, sf_dir, True).select("id", "tax_year", "tax_amount")
     tiles = shapes.join(taxes, "id").groupBy("z", "x", "y", "tax_year")
     return tiles.agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"), F.count("*").alias("feature_count"), F.round(F.sum("tax_amount"), 4).alias("tax"), *[g(c).alias(c) for g, c in ((F.min, "px0"), (F.min, "py0"), (F.max, "px1"), (F.max, "py1"))])
