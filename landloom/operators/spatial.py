@@ -14,6 +14,8 @@ from landloom.operators.staging import staged
 
 #: Cells along a polygon's longer side: about the root of its edges, within these.
 LEAST_CELLS, MOST_CELLS = 8, 256
+#: Points that a polygon's rings may have to be tested as a whole when polygons meet.
+FEW_EDGES = 64
 
 
 def _edges(geometry: Column) -> Column:
@@ -41,6 +43,16 @@ def _on(e: Column, x: Column, y: Column) -> Column:
     return (_cross(e, x, y) == 0) & x.between(_low(e, "x"), _high(e, "x")) & y.between(_low(e, "y"), _high(e, "y"))
 
 
+def box_cells(polygons: DataFrame) -> DataFrame:
+    """A covering of small polygons without computing: the one to four cells, about as large as a polygon, that its box touches, each with all its edges."""
+    shapes = polygons.where("geom IS NOT NULL").select("id", _edges(F.col("geom")).alias("edges"), bbox(F.col("geom")).alias("box")).where("size(edges) > 0")
+    wide = F.greatest(F.col("box.maxx") - F.col("box.minx"), F.col("box.maxy") - F.col("box.miny"), F.lit(1e-9))
+    sized = shapes.withColumn("z", F.ceil(F.log2(wide)).cast("int"))
+    at = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.col("z"))).cast("long")
+    told = sized.withColumn("gx", F.explode(F.sequence(at("box.minx"), at("box.maxx")))).withColumn("gy", F.explode(F.sequence(at("box.miny"), at("box.maxy"))))
+    return told.select("id", "z", "gx", "gy", "edges", F.lit(0).alias("odd"))
+
+
 def covering(polygons: DataFrame) -> DataFrame:
     """id, z, gx, gy, edges, odd: cells (of side 2^z, finer for polygons of many edges) that a polygon touches.
 
@@ -82,19 +94,26 @@ def covering(polygons: DataFrame) -> DataFrame:
     return kept.select("id", "z", "gx", "gy", F.when(border, F.concat("near", "partly")).otherwise(F.slice("near", 1, 0)).alias("edges"), F.when(border, F.col("odd")).otherwise(1).alias("odd"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """points (x, y, further columns) with the id of each polygon that covers them, a row for each.
+def points_in_polygons(points: DataFrame, polygons: DataFrame, few: int = 0, known: DataFrame | None = None) -> DataFrame:
+    """points (x, y, further columns) with the id of each polygon that covers them, a row for each; those of known (columns of points, id) are passed over before they are tested.
 
     Points meet cells by equality, once for each side of cells in use (asked first, a few numbers). One cell of many points
-    is a skewed key of a small other side, which Spark splits.
+    is a skewed key of a small other side, which Spark splits. Polygons of few edges at most take the cells of their box and all their edges
+    (the better way where there are about as many of them as points, which are then never sent to all tasks).
     """
-    cells = staged(covering(polygons))
+    if few:
+        edges = F.aggregate(F.flatten("geom"), F.lit(0), lambda s, ring: s + F.size(ring))
+        cells = staged(covering(polygons.where(edges > few)).unionByName(box_cells(polygons.where(edges <= few)))).hint("merge")
+    else:
+        cells = staged(covering(polygons))
     levels = sorted(r[0] for r in cells.select("z").distinct().collect())
     if not levels:
         return points.select("*", F.lit(None).cast(cells.schema["id"].dataType).alias("id")).where(F.lit(False))
     spread = points.withColumn("z", F.explode(F.array(*map(F.lit, levels))))
     at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("z"))).cast("long")
     met = spread.withColumn("gx", at("x")).withColumn("gy", at("y")).join(cells, ["z", "gx", "gy"])
+    if known is not None:
+        met = met.join(known.hint("merge"), known.columns, "left_anti")
     x, y = F.col("x"), F.col("y")
     inside = (F.size("edges") == 0) | F.exists("edges", lambda e: _on(e, x, y)) | ((F.size(F.filter("edges", lambda e: _left_of(e, x, y))) + F.col("odd")) % 2 == 1)
     return met.where(inside).select(*points.columns, "id")
@@ -126,13 +145,14 @@ def polygons_meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id of polygons (id, geom each) with a point in common.
 
     Either borders touch: segments meet by grid cells about as large as they are. Or a part lies wholly inside: the first point of each ring's
-    part is looked up in the other side's covering. No pair is tried that shares no cell.
+    part is looked up in the other side's covering, unless borders of the pair touch. No pair is tried that shares no cell. Ids may have several rows.
     """
     s, t = staged(_segments(left)), staged(_segments(right))
     cell = s.unionByName(t.select(*s.columns)).agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0] or 1.0
     other = spread_segments(t, 2 * cell).select("gx", "gy", *[F.col(k).alias(f"o_{k}") for k in t.columns])
-    borders = spread_segments(s, 2 * cell).join(other, ["gx", "gy"]).where(touch()).select(F.col("id").alias("left_id"), F.col("o_id").alias("right_id"))
+    met = spread_segments(s, 2 * cell).join(other.hint("merge"), ["gx", "gy"]).where(touch())  # files of segments are small, their rows are not: no side is sent to all tasks
+    borders = staged(met.select(F.col("id").alias("left_id"), F.col("o_id").alias("right_id")).distinct())
     first = lambda side, name: side.where("geom IS NOT NULL").select(F.col("id").alias(name), F.explode("geom").alias("rings")).select(name, F.col("rings")[0][0]["x"].alias("x"), F.col("rings")[0][0]["y"].alias("y"))
-    in_right = points_in_polygons(first(left, "left_id"), right).select("left_id", F.col("id").alias("right_id"))
-    in_left = points_in_polygons(first(right, "right_id"), left).select(F.col("id").alias("left_id"), "right_id")
+    in_right = points_in_polygons(first(left, "left_id"), right, FEW_EDGES, borders.withColumnRenamed("right_id", "id")).select("left_id", F.col("id").alias("right_id"))
+    in_left = points_in_polygons(first(right, "right_id"), left, FEW_EDGES, borders.withColumnRenamed("left_id", "id")).select(F.col("id").alias("left_id"), "right_id")
     return borders.unionByName(in_right).unionByName(in_left).distinct()

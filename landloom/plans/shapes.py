@@ -1,14 +1,14 @@
-"""Shapes as a whole: simplified together, dissolved into outlines."""
+"""Shapes as a whole: simplified together, measured by the outlines of their unions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.functions.geo import area, bbox, edges_of_ring
+from landloom.functions.geo import area, edges_of_ring
 from landloom.operators.spatial import polygons_meeting
 from landloom.operators.staging import staged
-from landloom.operators.topology import dissolved, simplified_together
+from landloom.operators.topology import outline_measures, simplified_together
 from landloom.sources.tables import lots, with_tables
 
 #: Metres by which a simplified border may differ.
@@ -24,17 +24,17 @@ def geo10_shared_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo9_county_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union of all lots of each county: area (holes off), extent and number of segments of its outline."""
-    whole = dissolved(lots(spark, sf_dir).select(F.col("county_id").alias("id"), "geom"))
-    segments = F.aggregate(F.flatten("geom"), F.lit(0), lambda s, ring: s + F.size(ring) - 1)
-    return whole.select(F.col("id").alias("county_id"), area(F.col("geom")).alias("area"), bbox(F.col("geom")).alias("box"), segments.alias("n_segments")).select("county_id", "area", "box.*", "n_segments")
+    """The union of all lots of each county: area (holes off), extent and number of segments of its outline, summed over the outline as it is spread over tasks."""
+    return outline_measures(lots(spark, sf_dir).select(F.col("county_id").alias("id"), "geom")).withColumnRenamed("id", "county_id")
 
 
 def jn12_counties_met(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every lot with the counties whose outline (the union of their lots) it meets: its own and those of lots around it, also in a corner only."""
-    held = lots(spark, sf_dir)
-    outlines = staged(dissolved(held.select(F.col("county_id").alias("id"), "geom")))
-    return polygons_meeting(held.select("id", "geom"), outlines).select(F.col("left_id").alias("id"), F.col("right_id").alias("county_id"))
+    """Every lot with the counties whose outline (the union of their lots) it meets: its own and those of lots around it, also in a corner only.
+
+    A shape meets a union if and only if it meets one of its members, so no county has to be one row.
+    """
+    held = staged(lots(spark, sf_dir))
+    return polygons_meeting(held.select("id", "geom"), held.select(F.col("county_id").alias("id"), "geom")).select(F.col("left_id").alias("id"), F.col("right_id").alias("county_id"))
 
 
 QUERIES = {f.__name__: f for f in (geo10_shared_borders, geo9_county_outlines, jn12_counties_met)}
