@@ -19,7 +19,8 @@ def geo10_shared_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lot simplified together with its neighbours: points, area, and how many of its segments a neighbour has too."""
     thin = staged(simplified_together(lots(spark, sf_dir), TOLERANCE, 3))
     segments = thin.select("id", F.explode(edges_of_ring(F.col("geom")[0][0])).alias("e")).select("id", F.least("e.a", "e.b").alias("low"), F.greatest("e.a", "e.b").alias("high"))
-    shared = segments.join(segments.groupBy("low", "high").agg(F.count("*").alias("n")).where("n = 2"), ["low", "high"]).groupBy("id").agg(F.count("*").alias("shared"))
+    pairs = segments.groupBy("low", "high").agg(F.count("*").alias("n"), F.min("id").alias("one"), F.max("id").alias("other")).where("n = 2")
+    shared = pairs.select(F.explode(F.array("one", "other")).alias("id")).groupBy("id").agg(F.count("*").alias("shared"))
     return thin.join(shared, "id").select("id", F.size(F.col("geom")[0][0]).alias("n_points"), area(F.col("geom")).alias("area"), "shared")
 
 
