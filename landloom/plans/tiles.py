@@ -67,8 +67,8 @@ def _with_extent(rows: DataFrame, points: Column) -> DataFrame:
 
 
 def _with_shape(rows: DataFrame, pixels: Column) -> DataFrame:
-    """rows (geom, z, x, y) with their shape clipped to the tile; those that leave none go. It comes out of a generator, so that the optimizer can't clip once for the filter and again for the row."""
-    shape = clipped(F.col("geom"), F.col("z"), F.col("x"), F.col("y"), pixels)
+    """rows (geom, bbox, z, x, y) with their shape clipped to the tile; those that leave none go. It comes out of a generator, so that the optimizer can't clip once for the filter and again for the row."""
+    shape = clipped(F.col("geom"), F.col("z"), F.col("x"), F.col("y"), pixels, box=F.col("bbox"))
     return rows.withColumn("shape", F.explode(F.array_compact(F.array(shape))))
 
 
