@@ -57,14 +57,15 @@ def contracted(links: DataFrame, vertices: tuple[str, str] = ("a", "b"), passes:
 
 
 def pivot_pairs(met: DataFrame, bucket: list[str], small: int) -> DataFrame:
-    """a, b of the pivots of buckets of over `small` members with all other members. met: bucket, rep, n (members of the bucket).
+    """a, b of the pivots of buckets of over `small` members with all other members. met: bucket, rep, n (members of the bucket); with root, the class so far, only with those of other classes.
 
     A bucket's pivot is the member that most others meet in all buckets, so that buckets of one group mostly have one pivot.
     """
     weights = met.groupBy("rep").agg(F.sum("n").alias("weight"))
     large = met.where(F.col("n") > small).join(weights, "rep")
-    pivots = large.groupBy(*bucket).agg(F.max(F.struct("weight", "rep")).alias("pivot")).select(*bucket, F.col("pivot.rep").alias("pivot"))
-    return large.join(pivots, bucket).where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    of = "root" if "root" in met.columns else "rep"
+    pivots = large.groupBy(*bucket).agg(F.max(F.struct("weight", "rep", *{of} - {"rep"})).alias("pivot")).select(*bucket, F.col("pivot.rep").alias("pivot"), F.col(f"pivot.{of}").alias("pivots"))
+    return large.join(pivots, bucket).where(f"{of} <> pivots").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
 
 def joined_in_blocks(members: DataFrame, payloads: DataFrame, bucket: list[str], rows: int, size: int, links: Callable[..., list[tuple[int, int]]]) -> DataFrame:

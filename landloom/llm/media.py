@@ -9,6 +9,10 @@ descriptors are matched, and a pair is linked if enough of the matches agree on
 scale, turn and shift (each match proposes one, the others vote). Classes are the
 connected components of the links.
 
+First the least keys of each table alone are asked, by which most copies of a large group find
+their class; then all keys, but those that only images of one class have, since their
+pairs would join nothing.
+
 A key that up to SMALL_BUCKET images have pairs them all. One that more have pairs each
 with its pivot, the image that most others meet; what then is not one class is compared in blocks, every image
 outside the key's largest class with all members of other classes, so that no pair that
@@ -192,12 +196,6 @@ def image_copies(images: DataFrame) -> DataFrame:
     reps = staged(table.groupBy("key").agg(F.min("image_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()))  # different pictures are numbered
     firsts = images.join(reps, "key").where("image_id = least").dropDuplicates(["rep"])
     feats = staged(image_features(firsts.select(F.col("rep").alias("image_id"), "width", "height", "pixels")).withColumnRenamed("image_id", "rep"))
-    entries = feats.select("rep", F.explode("keys").alias("table_key"))
-    crowds = entries.groupBy("table_key").agg(F.count("*").alias("n")).where("n > 1")
-    met = staged(entries.join(crowds, "table_key"))
-    small, large = met.where(F.col("n") <= SMALL_BUCKET), met.where(F.col("n") > SMALL_BUCKET)
-    x, y = (small.select("table_key", F.col("rep").alias(c)) for c in "ab")
-    pairs = x.join(y, "table_key").where("a < b").select("a", "b").union(pivot_pairs(met, ["table_key"], SMALL_BUCKET)).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,8 +203,24 @@ def image_copies(images: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.bool_())], ["a", "b", "linked"])
 
     sides = [feats.select(F.col("rep").alias(c), F.col("geometry").alias(f"g{c}"), F.col("words").alias(f"w{c}")) for c in "ab"]
-    judged = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "ga", "wa", "gb", "wb").mapInArrow(verify, "a long, b long, linked boolean")
-    roots = components(contracted(staged(judged.where("linked").select("a", "b"))))
+
+    def links(met: DataFrame) -> DataFrame:
+        x, y = (met.where(F.col("n") <= SMALL_BUCKET).select("table_key", "root", F.col("rep").alias(c)) for c in "ab")
+        pairs = x.join(y.withColumnRenamed("root", "other"), "table_key").where("a < b AND root <> other").select("a", "b").union(pivot_pairs(met, ["table_key"], SMALL_BUCKET)).distinct()
+        judged = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "ga", "wa", "gb", "wb").mapInArrow(verify, "a long, b long, linked boolean")
+        return staged(judged.where("linked").select("a", "b"))
+
+    def mixed(entries: DataFrame) -> DataFrame:
+        """entries (rep, root, table_key) of keys that images of several classes have, and how many images have the key."""
+        crowds = entries.groupBy("table_key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("table_key", "n")
+        return staged(entries.join(crowds, "table_key"))
+
+    leads = F.filter("keys", lambda k, i: (i == 0) | (F.shiftright(k, KEY_BITS) != F.shiftright(F.get("keys", i - 1), KEY_BITS)))  # the least key of each table; keys are in order
+    early = components(contracted(links(mixed(feats.select("rep", F.col("rep").alias("root"), F.explode(leads).alias("table_key"))))))
+    so_far = feats.select("rep", "keys").join(early.withColumnRenamed("id", "rep"), "rep", "left")
+    met = mixed(so_far.select("rep", F.coalesce("root", "rep").alias("root"), F.explode("keys").alias("table_key")))
+    large = met.where(F.col("n") > SMALL_BUCKET).drop("root")
+    roots = components(contracted(links(met).union(early.where("id <> root").select("root", "id"))))
     sizes = feats.select("rep", (F.octet_length("words") / (BITS // 8)).alias("size"))
     rooted = large.join(roots, F.col("rep") == F.col("id"), "left").select("table_key", "rep", F.coalesce("root", "rep").alias("root")).join(sizes, "rep")
     payloads = feats.select("rep", F.struct("geometry", "words").alias("payload"))
